@@ -3,9 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, quality, urls
-from .common import documents
+from . import bpe, language, mixing, neardup, quality, suffixes, urls
+from .common import documents, id_crc
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_odd_sketch_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.classes(spark, documents(spark, sf_dir), width=3, percent=85)
+    return found.withColumn("kept", F.expr("doc_id <=> component_id"))
+
+
+def op3_column_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(documents(spark, sf_dir), 200)
+
+
+def op4_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(documents(spark, sf_dir), tokenizer_path())
 
 
 def op5_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +33,12 @@ def op5_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark, pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.pmod(id_crc(), F.lit(4)) == 2, F.lit(False))
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang").withColumn("held_out", held_out)
+    return language.identify(docs, ~held_out, ["doc_id", "held_out"])
+
+
 def op7_apportioned_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, documents(spark, sf_dir, "doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -21,5 +47,5 @@ def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir, "doc_id", "source", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op5_redirect_equivalence, op7_apportioned_mix, op9_line_frequency)}
+QUERIES = {f.__name__: f for f in (op2_odd_sketch_minhash, op3_column_bwt, op4_bpe_tree, op5_redirect_equivalence, op6_hyperdimensional_language, op7_apportioned_mix, op9_line_frequency)}
 SQL = {"op5_redirect_equivalence": urls.URL_SQL, "op7_apportioned_mix": mixing.MIX_SQL, "op9_line_frequency": quality.QUALITY_SQL}
