@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, mixing, neardup, quality, suffixes, urls
+from . import bpe, language, mixing, neardup, ppm, quality, suffixes, urls, vectors
 from .common import documents, id_crc
 
 
@@ -43,9 +43,20 @@ def op7_apportioned_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, documents(spark, sf_dir, "doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors.links(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.93)
+    return found.withColumn("kept", F.expr("vec_id <=> component_id"))
+
+
 def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir, "doc_id", "source", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_odd_sketch_minhash, op3_column_bwt, op4_bpe_tree, op5_redirect_equivalence, op6_hyperdimensional_language, op7_apportioned_mix, op9_line_frequency)}
+def op10_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.pmod(id_crc(), F.lit(5)) == 1, F.lit(False))
+    docs = documents(spark, sf_dir).withColumn("held_out", held_out)
+    return ppm.score(docs, ~held_out, ["doc_id", "held_out"])
+
+
+QUERIES = {f.__name__: f for f in (op2_odd_sketch_minhash, op3_column_bwt, op4_bpe_tree, op5_redirect_equivalence, op6_hyperdimensional_language, op7_apportioned_mix, op8_spherical_caps, op9_line_frequency, op10_partial_matching)}
 SQL = {"op5_redirect_equivalence": urls.URL_SQL, "op7_apportioned_mix": mixing.MIX_SQL, "op9_line_frequency": quality.QUALITY_SQL}
