@@ -154,12 +154,12 @@ def decode(tokens: DataFrame, path: str, ids: str = "token_ids", text: str = "de
     return tokens.mapInArrow(run, schema)
 
 
-def digest(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text, encoded and decoded in one pass so that neither ids nor texts leave the worker.
+def digest(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
+    """The kept columns, n_tokens, ids_sha256 and decoded_sha256 of every text, encoded and decoded in one pass so that neither ids nor texts leave the worker.
 
     Null text counts as empty; texts of any length are encoded whole; repeated rows give repeated rows.
     """
-    schema = docs.select(doc_id).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    schema = docs.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
@@ -171,6 +171,6 @@ def digest(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
                 counts[i] = len(ids)
                 a.append(hashlib.sha256(",".join(map(own.digits.__getitem__, ids)).encode()).hexdigest())
                 b.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(doc_id), pa.array(counts), pa.array(a, pa.string()), pa.array(b, pa.string())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(counts), pa.array(a, pa.string()), pa.array(b, pa.string())], names=schema.names)
 
-    return docs.select(doc_id, text).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)

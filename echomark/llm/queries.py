@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, mixing, neardup, ppm, quality, suffixes, urls, vectors
+from . import bpe, language, mixing, neardup, paragraphs, ppm, quality, suffixes, urls, vectors
 from .common import documents, id_crc
 
 
@@ -15,6 +15,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_paragraph_banding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.clusters(spark, documents(spark, sf_dir))
+
+
 def op2_odd_sketch_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.classes(spark, documents(spark, sf_dir), width=3, percent=85)
     return found.withColumn("kept", F.expr("doc_id <=> component_id"))
@@ -25,7 +29,7 @@ def op3_column_bwt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digest(documents(spark, sf_dir), tokenizer_path())
+    return bpe.digest(documents(spark, sf_dir), tokenizer_path(), ["doc_id"])
 
 
 def op5_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,5 +62,5 @@ def op10_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(docs, ~held_out, ["doc_id", "held_out"])
 
 
-QUERIES = {f.__name__: f for f in (op2_odd_sketch_minhash, op3_column_bwt, op4_bpe_tree, op5_redirect_equivalence, op6_hyperdimensional_language, op7_apportioned_mix, op8_spherical_caps, op9_line_frequency, op10_partial_matching)}
+QUERIES = {f.__name__: f for f in (op1_paragraph_banding, op2_odd_sketch_minhash, op3_column_bwt, op4_bpe_tree, op5_redirect_equivalence, op6_hyperdimensional_language, op7_apportioned_mix, op8_spherical_caps, op9_line_frequency, op10_partial_matching)}
 SQL = {"op5_redirect_equivalence": urls.URL_SQL, "op7_apportioned_mix": mixing.MIX_SQL, "op9_line_frequency": quality.QUALITY_SQL}
