@@ -83,7 +83,8 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: s
     base = base_rules(docs, text).withColumn("__text", key[1])
     out = base.join(removed, F.col(doc_id).eqNullSafe(F.col("__i")) & (F.col("__text") == F.col("__t")), "left").drop("__i", "__t", "__text")
     left = F.col("n_words") - F.col("n_removed_words")
-    return out.withColumn("kept", ~F.col("base_failed") & (left >= keep_words) & (left >= F.lit(keep_share) * F.col("n_words")))
+    # one expression of both sides: a filter on it is not split and pushed below the join, where its parts would be computed anew
+    return out.withColumn("kept", F.when(F.col("base_failed"), False).otherwise((left >= keep_words) & (left >= F.lit(keep_share) * F.col("n_words"))))
 
 
 QUALITY_SQL = r"""
