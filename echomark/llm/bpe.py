@@ -124,7 +124,8 @@ def codec(path: str) -> Codec:
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """The rows with an array<int> column of the text's ids. Null counts as empty: no ids."""
-    schema = StructType(docs.schema.fields).add(ids, ArrayType(IntegerType()))
+    docs = docs.drop(ids)
+    schema = StructType([*docs.schema.fields]).add(ids, ArrayType(IntegerType()))
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +141,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids
 
 def decode(tokens: DataFrame, path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """The rows with a string column of the ids' text; byte sequences that are not UTF-8 become U+FFFD, null ids the empty text."""
-    schema = StructType(tokens.schema.fields).add(text, "string")
+    tokens = tokens.drop(text)
+    schema = StructType([*tokens.schema.fields]).add(text, "string")
     columns = tokens.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -73,8 +73,9 @@ def mix(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", source: st
     Sainte-Lague, a source's blocks to its shards likewise. A shard repeats all its blocks as often as
     its quota allows and takes the remainder in a seeded order of blocks; taken counts the words of a
     document inside taken blocks. Null or empty texts have size 0 and nothing taken; a null source
-    is a source; repeated rows are separate documents; an empty table gives an empty one.
+    is a source; repeated rows are separate documents; an empty table gives an empty one; columns of the results' names are replaced.
     """
+    docs = docs.drop("size", "source_size", "target", "taken")
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.withColumn("size", size).withColumn("__source", F.col(source)).withColumn("__draw", draw(F.lit(seed), F.col(doc_id).cast("string"))).withColumn("__tie", draw(F.lit(seed + " order"), F.col(doc_id).cast("string")))
     cut = Cut(spark)

@@ -71,8 +71,10 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: s
 
     A line above its host's limit is removed; a document that keeps fewer than keep_words words or a
     smaller part of them than keep_share is rejected. A null host is a host of its own; repeated rows
-    are judged alike; an empty table gives an empty one; columns of other names pass through.
+    are judged alike; an empty table gives an empty one; columns of other names pass through, those of the
+    results' names are replaced.
     """
+    docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept")
     key = [F.col(doc_id).alias("__id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__text")]
     limits = line_frequency(docs, host, text, least_docs, share)
     own = F.array(F.struct(F.lit(None).cast("long").alias("line"), F.lit(0).cast("long").alias("words")))

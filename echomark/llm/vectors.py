@@ -176,7 +176,7 @@ def links(spark: SparkSession, vectors: DataFrame, least: float = 0.93, vec_id:
     component all pairs are then compared once to count links. Buckets and components are cut into blocks
     of about BLOCK members, and tasks return counts and least reachable members, never pairs.
 
-    Null labels, and vectors that are null, zero, or hold null or non-finite components link with nothing. A link
+    Null labels, and vectors that are null, zero, or hold null or non-finite components link with nothing; nor do rows with a null id. A link
     between components whose members share no cap at all stays unseen; the README has the measured recall.
     """
     cut = Cut(spark)
@@ -196,4 +196,4 @@ def links(spark: SparkSession, vectors: DataFrame, least: float = 0.93, vec_id:
     kinds = kinds.join(counts, "id", "left").join(comps.select(F.col("node").alias("id"), "component"), "id", "left").join(found.select("id", F.lit(1).alias("live")), "id")
     kinds = kinds.select(F.col("label").alias("__l"), F.col("vector").alias("__v"), (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
     out = rows.join(kinds, (F.col("label") == F.col("__l")) & (F.col("vector") == F.col("__v")), "left")
-    return out.select(F.col("vec").alias(vec_id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec").alias("component_id"))
+    return out.select(F.col("vec").alias(vec_id), F.when(F.col("vec").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), F.when(F.col("vec").isNotNull(), F.coalesce("component", "vec")).alias("component_id"))
