@@ -46,7 +46,8 @@ def parse_file_name(name: Column) -> dict[str, Column]:
     return {"artist": F.coalesce(F.nullif(artist, F.lit("")), F.lit("unknown")), "title": F.coalesce(F.nullif(title, F.lit("")), F.lit("untitled")), "year": F.coalesce(year.try_cast("int"), F.lit(0))}
 
 
-AUDIO = ("wav", "mp3", "flac", "m4a", "mp4", "aac", "ogg", "oga", "opus", "aif", "aiff", "wma")
+#: File extensions of a library scan (fixed values).
+AUDIO = ("wav", "flac", "mp3", "m4a", "mp4", "aac", "ogg", "wma", "aif", "aiff", "au", "opus")
 
 
 def classify_paths(paths: DataFrame, column: str = "path") -> DataFrame:

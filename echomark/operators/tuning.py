@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import hazen
 
 #: Margins that a sweep tries, and false-accept budgets of the summary table (fixed values).
-RHO_GRID = (1.0, 1.1, 1.25, 1.5, 1.75, 2.0, 2.25, 2.5, 3.0, 4.0, 5.0, 6.0)
+RHO_GRID = (1.0, 1.1, 1.25, 1.5, 1.75, 2.0, 2.5, 3.0, 4.0, 5.0, 7.0, 10.0)
 BUDGETS = (0.001, 0.005, 0.01, 0.02, 0.05, 0.10)
 TAUS = 120
 
@@ -19,6 +19,14 @@ def development_rows(results: DataFrame, lo: float = 0.0, hi: float = float("inf
     return results.withColumn("split", split).where(F.col("snr_db").between(lo, hi))
 
 
+def require_holdout(rows: DataFrame) -> DataFrame:
+    """The rows, if there are any and some are of unknown songs; else an error, as no false-accept rate could be measured."""
+    n, unknown = rows.agg(F.count("*"), F.count(F.when(~F.col("is_in_db"), 1))).first()
+    if not n or not unknown:
+        raise ValueError("no rows to tune on" if not n else "no rows of unknown songs")
+    return rows
+
+
 def tau_grid(rows: DataFrame) -> DataFrame:
     """0 and TAUS quantiles of norm_score from 0 to 0.999, without repeats."""
     xs = rows.agg(F.sort_array(F.collect_list("norm_score")).alias("xs"))

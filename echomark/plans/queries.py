@@ -11,6 +11,7 @@ from ..functions import columns as C
 from ..operators import catalog, evaluation, landmarks, matching, peaks, signals, tuning
 from ..sources import audio
 from . import bindings as B
+from . import studies
 from .config import SYSTEMS, Eval, baseline_config, resolve_query, system_config
 from .enrolment import enrol, identify_clips
 
@@ -368,16 +369,48 @@ def system_registry(spark, sf):
 def wav_selfmatch(spark, sf):
     """Synthetic WAV tracks end to end: every 10 s excerpt finds its own track."""
     cfg = baseline_config()
-    clips = audio.decoded(audio.toy_corpus(spark)).repartition(5, "clip")
+    clips = _tracks(spark)
     cut = clips.select("clip", F.slice("samples", F.col("fs") * 10 + 1, F.col("fs") * 10).alias("samples"), "fs")
     out = identify_clips(cut, enrol(clips, cfg), cfg)
     return out.select("query_id", "pred1", "score1", "accepted")
 
 
+def constellation_axes(spark, sf):
+    return _rounded(studies.constellation_axes(peaks_fixed(spark, sf).drop("mag_db"), B.SMALL), 6)
+
+
+def accuracy_series(spark, sf):
+    cells = B.results(spark, sf).where("is_in_db").groupBy("length_sec", "snr_db").agg(F.avg(F.col("correct").cast("double")).alias("top1"))
+    return _rounded(studies.accuracy_series(cells).drop("snr_db"))
+
+
+def repertoire_confusion(spark, sf):
+    songs = B.read(spark, sf, "customer").select(F.col("c_custkey").alias("song_id"), F.col("c_mktsegment").alias("repertoire"))
+    rows = B.read(spark, sf, "orders").select(F.col("o_custkey").alias("song_id"), (F.col("o_orderkey") % 40).alias("pred1"))
+    return studies.repertoire_confusion(rows, songs)
+
+
+def systematic_sample(spark, sf):
+    return studies.systematic_sample(B.read(spark, sf, "supplier").select("s_suppkey"), "s_suppkey", 7)
+
+
+def _tracks(spark):
+    return audio.decoded(audio.toy_corpus(spark)).repartition(5, "clip")
+
+
+def neighbourhood_sweep(spark, sf):
+    """Index sizes of the synthetic tracks for three neighbourhoods."""
+    return studies.neighbourhood_sweep(_tracks(spark), baseline_config(), (21, 17, 13))
+
+
+def enrol_gate(spark, sf):
+    return studies.enrol_gate(_tracks(spark), baseline_config())
+
+
 QUERIES = {f.__name__: f for f in (
     cells_db, peaks_fixed, peaks_adaptive, peaks_capped, peak_density, peaks_events, hash_pairs, hash_pairs_events, hash_pack_roundtrip, index_postings, index_lists, index_prune, index_stats,
     lookup, lookup_lists, offset_hist, offset_smooth, rank_topk, identify, open_set, query_manifest, manifest_invariants, demo_rows, subset_by_song, metrics, wilson, paired_comparison, mcnemar, verdicts,
     headroom, knee_probe, latest_runs, holdout_check, tau_grid, threshold_sweep, operating_point, budget_table, pareto, split_assign, id_assign, composition, merge_prior, retired, work_list, filename_parse,
     path_classify, catalog_coerce, missing_noise, sha_catalog, fnv_tag, preemphasis, rms_normalize, frame_energy, dft_bins, noise_spectrum, spectral_subtract, snr_mix, excerpt_gate, peak_budget,
-    query_config, system_registry, wav_selfmatch,
+    query_config, system_registry, constellation_axes, accuracy_series, repertoire_confusion, systematic_sample, wav_selfmatch, neighbourhood_sweep, enrol_gate,
 )}

@@ -199,6 +199,10 @@ SQL = {
       b as (select *, avg(x * x) over (partition by clip) as px, avg(v * v) over (partition by clip) as pn from a), c as (select *, case when pn = 0 then 0.0 when px = 0 then 1.0 else sqrt(px / (pn * pow(10.0::double, snr / 10))) end as gain from b),
       d as (select *, x + gain * v as y, max(abs(x + gain * v)) over (partition by clip) as top from c) select clip, i, round(case when top > 0.99 then y * 0.99 / top else y end, 6) as x, round(gain, 6) as gain from d""",
     "excerpt_gate": f"with {SIGNAL}, c as (select clip, i, sum(x * x) over (partition by clip order by i rows between current row and 23 following) as total, count(*) over (partition by clip order by i rows between current row and 23 following) as n from sig), e as (select clip, i // 8 as k, sum(x * x) as e, count(*) as n from sig group by 1, 2), md as (select clip, median(e) as m from e where n = 8 group by clip) select clip, i from c join md using (clip) where n = 24 and total * 8 / 24 >= 0.9::double * m",
+    "constellation_axes": f"with {CELLS}, {picked('p', 'cells')} select clip, t, f, round((t - 1) / 31.25, 6)::double as seconds, round((f - 1) * 62.5, 6)::double as hz from p",
+    "accuracy_series": f"with {results(7919, 'r')}, c as (select length_sec, snr_db, avg(correct::int) as top1 from r where is_in_db group by 1, 2) select length_sec, round(top1, 9) as top1, case when snr_db < 'inf'::double then snr_db else (select max(snr_db) from c where snr_db < 'inf'::double) + 5 end as x from c",
+    "repertoire_confusion": "select a.c_mktsegment as repertoire, coalesce(b.c_mktsegment, 'none') as predicted, count(*) as n from orders join customer a on a.c_custkey = o_custkey left join customer b on b.c_custkey = o_orderkey % 40 group by all",
+    "systematic_sample": "with r as (select s_suppkey, row_number() over (order by s_suppkey) as i, count(*) over () as n from supplier) select s_suppkey from r where i in (select cast(round(1 + k * (n - 1) / 6.0::double) as int) from range(0, 7) t(k))",
     "peak_budget": _budget(),
     "query_config": _query_config(),
     "system_registry": _registry(),

@@ -139,6 +139,8 @@ def test_tuning_refuses_other_splits(spark):
     rows = spark.createDataFrame([("test", 0.1, 2.0, True, True, 5.0)], "split string, norm_score double, margin double, is_in_db boolean, correct boolean, snr_db double")
     with pytest.raises(Exception, match="development"):
         tuning.development_rows(rows).collect()
+    with pytest.raises(ValueError, match="unknown songs"):
+        tuning.require_holdout(rows)
     with pytest.raises(ValueError):
         evaluation.metrics(rows, ["snr_db"])
 
@@ -159,6 +161,24 @@ def test_wav_and_ingest(spark):
     assert got["b.wav"]["action"] == "failed" and got["b.wav"]["message"]
 
 
+def test_experiment_end_to_end(spark):
+    from echomark.plans import studies
+    from echomark.plans.config import Eval
+    from echomark.plans.enrolment import enrol
+
+    cfg = system_config("baseline")
+    x = {k: dsp.resample(audio.toy_track(k, 16, 8000, -20.0), 8000, 8000) for k in (1, 2, 3)}
+    clips = spark.createDataFrame([(k, v.tolist(), 8000) for k, v in x.items()], "clip long, samples array<double>, fs int")
+    songs = spark.createDataFrame([(k, "opm", "holdout" if k == 3 else "db", "dev", len(v)) for k, v in x.items()], "song_id int, repertoire string, role string, split string, n_samples long")
+    hiss = np.random.default_rng(7).standard_normal(40000)
+    bank = spark.createDataFrame([("cafe", len(hiss), hiss.tolist())], "noise_type string, n_samples long, samples array<double>")
+    m = evaluation.manifest(spark, songs, replace(Eval(), lengths_sec=(5,), snr_db=(inf, 10), noise_types=("cafe",), reps_per_song=1), 42, 8000, bank)
+    index = enrol(clips.where("clip < 3"), cfg)
+    got = studies.run_experiment(m, clips.withColumnRenamed("clip", "song_id"), bank, index, cfg).collect()
+    assert len(got) == 6 and all(r["correct"] and r["pred1"] == r["song_id"] for r in got if r["is_in_db"]) and not any(r["correct"] for r in got if not r["is_in_db"])
+    assert all(r["snr_measured"] == pytest.approx(r["snr_db"], abs=0.1) for r in got if r["snr_db"] < inf)
+
+
 def test_catalog_round_trip_and_staleness(spark, tmp_path):
     names = [n for n, _, _ in catalog.SCHEMA]
     row = ("1", 'A "quoted", title', "é", "opm", "db", "dev", "", "x/y.wav", "", "1.5", "")
