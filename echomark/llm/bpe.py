@@ -21,7 +21,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Unsplit bytes from which a piece is halved and its halves are encoded apart.
 LEAF_BYTES = 256
 #: Distinct pieces whose ids a worker remembers; when full it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def byte_letters() -> dict[str, int]:

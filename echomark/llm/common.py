@@ -20,7 +20,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 #: Bytes of text that one kernel call works on, unless a single text is longer.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 # ---------------------------------------------------------------- lineage
