@@ -84,6 +84,18 @@ def components(spark: SparkSession, edges: DataFrame, a: str = "a", b: str = "b"
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+#: Ids that a semi or anti join broadcasts at most, after counting them; more are shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def join_ids(rows: DataFrame, column: str, ids: DataFrame, how: str) -> DataFrame:
+    """rows semi or anti joined with the single column of ids (a written table), without shuffling wide rows where the ids are few."""
+    name = ids.columns[0]
+    keys = ids.withColumnRenamed(name, "__ids")
+    few = keys.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(keys) if few else keys, F.col(column) == F.col("__ids"), how)
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import Cut, Sets, bands_for, binary_column, components, list_column, mix, overlap, shingles, sliced
+from .common import Cut, Sets, bands_for, binary_column, components, join_ids, list_column, mix, overlap, shingles, sliced
 
 #: Samples in a band, and the probability that a pair at the threshold meets in no band.
 ROWS = 5
@@ -77,8 +77,8 @@ def close_sketches(pairs: DataFrame, most: int) -> DataFrame:
 
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """The (a, b) with 100 * intersection >= percent * union of their full shingle sets, computed from whole texts."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
+    ids = Cut(docs.sparkSession).table(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    own = join_ids(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), "id", ids, "left_semi")
     both = pairs.join(own.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(own.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +148,7 @@ def unsettled_links(buckets: DataFrame, docs: DataFrame, width: int, percent: in
     A bucket is cut into blocks of about BLOCK members, and a cell of two blocks is compared in one task, however large the bucket is.
     """
     sizes = buckets.groupBy("key").agg(F.count("*").alias("n"))
-    own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(buckets.select("id").distinct(), "id", "left_semi")
+    own = join_ids(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), "id", Cut(docs.sparkSession).table(buckets.select("id").distinct()), "left_semi")
     rows = buckets.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "id", "component")
 
@@ -205,7 +205,12 @@ def classes(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int =
 
 def keep_one(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs without those that have a near-duplicate with a lesser id; of rows with one id one stays, those without an id all stay."""
-    gone = classes(spark, docs, width, percent, doc_id, text).where(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias("__gone")).distinct()
-    left = docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
-    first = F.row_number().over(Window.partitionBy(doc_id).orderBy(F.lit(1)))
-    return left.withColumn("__n", first).where((F.col("__n") == 1) | F.col(doc_id).isNull()).drop("__n")
+    cut = Cut(spark)
+    gone = cut.table(classes(spark, docs, width, percent, doc_id, text).where(F.col(doc_id) != F.col("component_id")).select(doc_id).distinct())
+    left = join_ids(docs, doc_id, gone, "left_anti")
+    repeated = cut.table(docs.groupBy(doc_id).count().where((F.col("count") > 1) & F.col(doc_id).isNotNull()).select(doc_id))
+    if repeated.isEmpty():
+        return left
+    first = Window.partitionBy(doc_id).orderBy(F.lit(1))
+    one = join_ids(left, doc_id, repeated, "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    return join_ids(left, doc_id, repeated, "left_anti").unionByName(one)

@@ -16,11 +16,10 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .blocks import arrow_schema, blocked, packed, rows_of, table_of, table_texts
-from .common import mix, powers, slices, span_hashes
+from .common import mix, slices, span_hashes
 
 #: Bytes of a k-mer.
 KMER = 16
