@@ -21,8 +21,9 @@ def with_length(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    """Lines above their host's limit are removed, and documents that the quality rules reject go."""
+    rows = quality.judge(docs).where("kept").withColumn("text", F.col("clean_text"))
+    return with_length(rows).select(*docs.columns)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,31 +59,41 @@ def line_frequency(docs: DataFrame, host: str, text: str, least_docs: int, share
     return counts.where(f"line is not null and docs > {least_docs}").join(hosts, F.col("host").eqNullSafe(F.col("own_host"))).where(F.col("docs") > F.lit(share) * F.col("host_docs")).select("host", "line")
 
 
+def normal_line(line: Column) -> Column:
+    return F.btrim(F.regexp_replace(F.regexp_replace(F.lower(line), SPACES, " "), "[0-9]+", "0"), F.lit(" "))
+
+
+def without_lines(text: str, hashes: str) -> Column:
+    """The text without the lines whose normalised forms have one of the hashes; without such lines it stays as it is, byte by byte."""
+    rest = F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains(F.col(hashes), F.xxhash64(normal_line(x))))
+    return F.when(F.size(hashes) > 0, F.array_join(rest, "\n")).otherwise(F.col(text))
+
+
 def line_hashes(text: str) -> Column:
     """(line, words) of every line that has a word: the hash of its normalised form (lower case, digit runs as 0, one space between words), and its number of words."""
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    normal = F.transform(lines, lambda x: F.btrim(F.regexp_replace(F.regexp_replace(F.lower(x), SPACES, " "), "[0-9]+", "0"), F.lit(" ")))
+    normal = F.transform(lines, normal_line)
     return F.transform(F.filter(normal, lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).cast("long").alias("words")))
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text", least_docs: int = 50, share: float = 0.02, keep_share: float = 0.3, keep_words: int = 10) -> DataFrame:
-    """The rows with the base rules' columns, n_removed_words and kept.
+    """The rows with the base rules' columns, n_removed_words, clean_text and kept.
 
-    A line above its host's limit is removed; a document that keeps fewer than keep_words words or a
+    A line above its host's limit is removed from clean_text, the text of what is kept; a document that keeps fewer than keep_words words or a
     smaller part of them than keep_share is rejected. A null host is a host of its own; repeated rows
     are judged alike; an empty table gives an empty one; columns of other names pass through, those of the
     results' names are replaced.
     """
-    docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept")
+    docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "clean_text", "kept")
     key = [F.col(doc_id).alias("__id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__text")]
     limits = line_frequency(docs, host, text, least_docs, share)
     own = F.array(F.struct(F.lit(None).cast("long").alias("line"), F.lit(0).cast("long").alias("words")))
     lines = docs.select(*key, F.col(host).alias("__host"), F.explode(F.concat(own, line_hashes(text))).alias("l")).select("__id", "__text", "__host", "l.*")
     hit = lines.join(limits.withColumnRenamed("line", "__line"), (F.col("line") == F.col("__line")) & F.col("__host").eqNullSafe(F.col("host")), "left")
-    removed = hit.groupBy("__id", "__text").agg(F.sum(F.when(F.col("__line").isNotNull(), F.col("words")).otherwise(0)).alias("__gone"), F.count(F.when(F.col("line").isNull(), 1)).alias("__rows"))
-    removed = removed.select(F.col("__id").alias("__i"), F.col("__text").alias("__t"), F.expr("__gone div __rows").alias("n_removed_words"))
+    removed = hit.groupBy("__id", "__text").agg(F.sum(F.when(F.col("__line").isNotNull(), F.col("words")).otherwise(0)).alias("__gone"), F.collect_set("__line").alias("__over"), F.count(F.when(F.col("line").isNull(), 1)).alias("__rows"))
+    removed = removed.select(F.col("__id").alias("__i"), F.col("__text").alias("__t"), F.expr("__gone div __rows").alias("n_removed_words"), "__over")
     base = base_rules(docs, text).withColumn("__text", key[1])
-    out = base.join(removed, F.col(doc_id).eqNullSafe(F.col("__i")) & (F.col("__text") == F.col("__t")), "left").drop("__i", "__t", "__text")
+    out = base.join(removed, F.col(doc_id).eqNullSafe(F.col("__i")) & (F.col("__text") == F.col("__t")), "left").withColumn("clean_text", without_lines(text, "__over")).drop("__i", "__t", "__text", "__over")
     left = F.col("n_words") - F.col("n_removed_words")
     # one expression of both sides: a filter on it is not split and pushed below the join, where its parts would be computed anew
     return out.withColumn("kept", F.when(F.col("base_failed"), False).otherwise((left >= keep_words) & (left >= F.lit(keep_share) * F.col("n_words"))))

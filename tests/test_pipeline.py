@@ -1,0 +1,37 @@
+"""Stages of the corpus pipeline against brute force."""
+
+import random
+import re
+
+import corpus_pipeline
+from echomark.llm import quality
+
+
+def prose(draw, n):
+    return " ".join("".join(draw.choices("abcdefghij", k=5)) for _ in range(n))
+
+
+def normal(line):
+    return re.sub("[0-9]+", "0", re.sub(r"[\x20\x09-\x0D]+", " ", line.lower())).strip(" ")
+
+
+def test_lines_above_the_limit_leave_the_text(spark, sf):
+    draw = random.Random(1)
+    boiler = ["Read  MORE about us: page {}", "all rights reserved {}"]
+    texts = [f"{prose(draw, 20)}\n{boiler[0].format(i)}\r\n\n{prose(draw, 20)}\n" + (boiler[1].format(i) if i % 2 else prose(draw, 2)) for i in range(120)] + ["  plain \n\n text\t" + prose(draw, 30) + "\n"]
+    rows = [(i, t, f"s{i % 2}" if i < 110 else "small", 0) for i, t in enumerate(texts)] + [(900, None, "s0", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").repartition(3)
+    limit = {s: max(50, 0.02 * len({t for _, t, o, _ in rows if o == s})) for s in ("s0", "s1", "small")}
+    held = {}
+    for _, t, s, _ in rows:
+        for x in {normal(x) for x in (t or "").split("\n")} - {""}:
+            held.setdefault((s, x), set()).add(t)
+    over = {k for k, v in held.items() if len(v) > limit[k[0]]}
+    assert {s for s, _ in over} == {"s0", "s1"}
+    want = {i: None if t is None else "\n".join(x for x in t.split("\n") if (s, normal(x)) not in over) for i, t, s, _ in rows}
+    judged = {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    assert {i: r["clean_text"] for i, r in judged.items()} == want
+    assert all(len((want[i] or "").split()) == r["n_words"] - r["n_removed_words"] for i, r in judged.items())
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.quality_rules(spark, docs, sf).collect()}
+    assert len(got) == len(texts) and sum(want[i] != t for i, t, _, _ in rows) == 110
+    assert got == {i: (want[i], len(want[i])) for i in want if want[i]}
