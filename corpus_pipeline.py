@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echomark.llm import bpe, mixing, neardup, quality, suffixes
-from echomark.llm.common import SPACES, Cut, remove
+from echomark.llm.common import SPACES, WORD, Cut, remove
 from echomark.llm.queries import tokenizer_path
 
 #: Length in bytes of a repeated string that is cut out.
@@ -38,13 +38,13 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document comes as often as the mix takes all of its words, and once more with its first words for the remainder."""
+    """A document comes as often as the mix takes all of its words, and once more with the words of the remainder's blocks, each with the white space after it but for the last."""
     rows = mixing.mix(spark, docs).where("taken > 0")
-    rest = F.expr("taken % size")
-    words = F.filter(F.split("text", SPACES), lambda w: w != "")
-    copies = F.concat(F.expr("if(taken >= size, array_repeat(size, cast(taken div size as int)), array())"), F.when(rest > 0, F.array(rest)).otherwise(F.expr("cast(array() as array<bigint>)")))
-    rows = rows.withColumn("__take", F.explode(copies))
-    text = F.when(F.col("__take") == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("__take").cast("int")), " "))
+    rows = rows.withColumn("__whole", F.explode(F.expr("concat(array_repeat(true, cast(taken div size as int)), if(taken % size > 0, array(false), cast(array() as array<boolean>)))")))
+    words = F.regexp_extract_all("text", F.lit(f"{WORD}(?:{SPACES})?"), F.lit(0))
+    # bound by a lambda, so that a text is cut into words once and not for every span
+    taken = F.flatten(F.transform(F.array(words), lambda w: F.flatten(F.transform("spans", lambda x: F.slice(w, (x["lo"] + 1).cast("int"), (x["hi"] - x["lo"]).cast("int"))))))
+    text = F.when(F.col("__whole"), F.col("text")).otherwise(F.regexp_replace(F.array_join(taken, ""), f"{SPACES}\\z", ""))
     return with_length(rows.withColumn("text", text)).select(*docs.columns)
 
 

@@ -66,16 +66,17 @@ CELLS = 1 << 20
 
 
 def mix(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, block: int = 32, shard_words: int = 200_000, seed: str = "mix") -> DataFrame:
-    """The rows with size, source_size, target and taken.
+    """The rows with size, source_size, target, taken and spans.
 
     Every source is a line of equal blocks of words, cut into shards of about shard_words words by a seeded
     hash of the document, so the largest source is dealt over many tasks. Blocks of all targets go to sources by
     Sainte-Lague, a source's blocks to its shards likewise. A shard repeats all its blocks as often as
     its quota allows and takes the remainder in a seeded order of blocks; taken counts the words of a
-    document inside taken blocks. Null or empty texts have size 0 and nothing taken; a null source
+    document inside taken blocks, and spans has the word ranges [lo, hi) of the document that lie in the
+    blocks of the remainder, the words beyond the whole repetitions, in the order of the text. Null or empty texts have size 0 and nothing taken; a null source
     is a source; repeated rows are separate documents; an empty table gives an empty one; columns of the results' names are replaced.
     """
-    docs = docs.drop("size", "source_size", "target", "taken")
+    docs = docs.drop("size", "source_size", "target", "taken", "spans")
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.withColumn("size", size).withColumn("__source", F.col(source)).withColumn("__draw", draw(F.lit(seed), F.col(doc_id).cast("string"))).withColumn("__tie", draw(F.lit(seed + " order"), F.col(doc_id).cast("string")))
     cut = Cut(spark)
@@ -100,7 +101,11 @@ def mix(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", source: st
         f"""if(size = 0, 0L, (__take div __n) * size + if(__take % __n = 0, 0L, aggregate(sequence((__end - size) div {block}, (__end - 1) div {block}), 0L,
             (a, j) -> a + if((j * (__step % __n) + __first) % __n < __take % __n, least(__end, (j + 1) * {block}) - greatest(__end - size, j * {block}), 0L))))"""
     )
-    return rows.withColumn("taken", taken).drop("__source", "__draw", "__tie", "__s", "__quota", "__shards", "__shard", "__end", "__s2", "__k", "__n", "__take", "__first", "__step")
+    spans = F.expr(
+        f"""transform(filter(if(size = 0 or __take % __n = 0, cast(array() as array<bigint>), sequence((__end - size) div {block}, (__end - 1) div {block})), j -> (j * (__step % __n) + __first) % __n < __take % __n),
+            j -> struct(greatest(__end - size, j * {block}) - __end + size as lo, least(__end, (j + 1) * {block}) - __end + size as hi))"""
+    )
+    return rows.withColumn("taken", taken).withColumn("spans", spans).drop("__source", "__draw", "__tie", "__s", "__quota", "__shards", "__shard", "__end", "__s2", "__k", "__n", "__take", "__first", "__step")
 
 
 MIX_SQL = r"""

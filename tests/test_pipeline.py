@@ -1,10 +1,12 @@
 """Stages of the corpus pipeline against brute force."""
 
+import hashlib
 import random
 import re
+from collections import Counter, defaultdict
 
 import corpus_pipeline
-from echomark.llm import quality
+from echomark.llm import mixing, quality
 
 
 def prose(draw, n):
@@ -35,3 +37,57 @@ def test_lines_above_the_limit_leave_the_text(spark, sf):
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.quality_rules(spark, docs, sf).collect()}
     assert len(got) == len(texts) and sum(want[i] != t for i, t, _, _ in rows) == 110
     assert got == {i: (want[i], len(want[i])) for i in want if want[i]}
+
+
+def draw_of(*parts):
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:15], 16)
+
+
+def mixed(rows, block=32):
+    """Copies of (id, text, source) rows, sources of one shard each and at most 200,000 words; targets and quotas by the definition."""
+    tokens = {i: re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", t or "") for i, t, _ in rows}
+    own = defaultdict(list)
+    for i, _, s in rows:
+        own[s].append(i)
+    names = sorted(own)
+    size, weight = {s: sum(len(tokens[i]) for i in own[s]) for s in names}, {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    full = set()
+    while True:
+        free = sum(size.values()) - sum(3 * size[s] for s in full)
+        target = {s: 3 * size[s] if s in full else free * weight[s] / sum(weight[x] for x in names if x not in full) for s in names}
+        more = {s for s in names if target[s] >= 3 * size[s]} - full
+        if not more:
+            break
+        full |= more
+    seats = int(sum(size.values()) / block + 0.5)
+    quota = Counter(s for _, s in sorted((-target[s] / (2 * i + 1), s) for s in names for i in range(seats))[:seats])
+    out, text = [], {i: t for i, t, _ in rows}
+    for s in names:
+        n = -(-size[s] // block)
+        take = min(quota[s], 3 * n)
+        first, at, line = draw_of("mix first", s, 0) % n, 0, sorted(own[s], key=lambda i: (draw_of("mix order", i), i))
+        chosen = {j for j in range(n) if (j * 1000003 + first) % n < take % n}
+        for i in line:
+            words = tokens[i]
+            part = [w for k, w in enumerate(words) if (at + k) // block in chosen]
+            at += len(words)
+            whole = take // n + (len(part) == len(words))
+            out += [(i, text[i])] * (whole if words else 0)
+            if 0 < len(part) < len(words):
+                out.append((i, "".join(part).rstrip(" \t\n\x0b\f\r")))
+    return out
+
+
+def test_partial_copies_are_the_blocks_that_the_mix_selects(spark, sf):
+    draw = random.Random(2)
+    gap = lambda: draw.choice([" ", " ", " ", "  ", "\n", "\t", "\r\n\n"])
+    rows = [(i, draw.choice(["", "\n "]) + "".join(w + gap() for w in prose(draw, draw.choice([1, 5, 40, 400, 900])).split()), draw.choice("abcdddddd")) for i in range(120)]
+    rows += [(200, None, "a"), (201, " \n", "d")]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, source string, n_chars int").repartition(3)
+    got, want = corpus_pipeline.source_mixing(spark, docs, sf).collect(), mixed(rows)
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted(want) and all(r["n_chars"] == len(r["text"]) for r in got)
+    whole = {i: t for i, t, _ in rows}
+    assert sum(whole[i] != t for i, t in want) > 20 and sum(not whole[i].lstrip().startswith(t) for i, t in want) > 20
+    for r in mixing.mix(spark, docs).collect():
+        assert all(0 <= x["lo"] < x["hi"] <= r["size"] for x in r["spans"])
+        assert r["size"] == 0 or (r["taken"] - sum(x["hi"] - x["lo"] for x in r["spans"])) % r["size"] == 0
