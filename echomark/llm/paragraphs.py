@@ -59,28 +59,27 @@ class Units:
         self.p_doc = doc[self.p_lo]
         self.p_number = np.arange(len(self.p_lo)) - first[self.p_doc]
         self.s_par = np.cumsum(p)[self.s_lo] - 1
+        self.s_unit = np.arange(len(self.s_lo)) - np.searchsorted(self.s_lo, bounds[:-1])[doc[self.s_lo]]
         self.s_number = np.arange(len(self.s_lo)) - np.searchsorted(self.s_lo, self.p_lo)[self.s_par]
 
 
-UNIT = "par int, sent int, words int, h long"
+UNIT = "par int, sent int, unit int, words int, h long"
 
 
 def units(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, par, sent, words, h) of all paragraphs (sent -1) and of the sentences of paragraphs that have several."""
+    """(id, par, sent, unit, words, h) of all paragraphs (sent and unit -1) and of all sentences; unit numbers the sentences of a document through its paragraphs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in sliced(batches, text):
             u = Units(data, offsets)
-            several = np.bincount(u.s_par, minlength=len(u.p_lo))[u.s_par] > 1
-            s = np.flatnonzero(several)
-            par = u.s_par[s]
-            doc = np.concatenate([u.p_doc, u.p_doc[par]])
+            doc, none = np.concatenate([u.p_doc, u.p_doc[u.s_par]]), np.full(len(u.p_lo), -1)
             columns = (
-                np.concatenate([u.p_number, u.p_number[par]]),
-                np.concatenate([np.full(len(u.p_lo), -1), u.s_number[s]]),
-                np.concatenate([u.p_hi - u.p_lo, u.s_hi[s] - u.s_lo[s]]),
+                np.concatenate([u.p_number, u.p_number[u.s_par]]),
+                np.concatenate([none, u.s_number]),
+                np.concatenate([none, u.s_unit]),
+                np.concatenate([u.p_hi - u.p_lo, u.s_hi - u.s_lo]),
             )
-            yield pa.RecordBatch.from_arrays([part.column(doc_id).take(pa.array(doc)), *(pa.array(x.astype(np.int32)) for x in columns), pa.array(np.concatenate([u.p_hash, u.s_hash[s]]))], names=["id", "par", "sent", "words", "h"])
+            yield pa.RecordBatch.from_arrays([part.column(doc_id).take(pa.array(doc)), *(pa.array(x.astype(np.int32)) for x in columns), pa.array(np.concatenate([u.p_hash, u.s_hash]))], names=["id", "par", "sent", "unit", "words", "h"])
 
     kind = docs.select(F.col(doc_id).alias("id")).schema["id"].dataType.simpleString()
     return docs.select(doc_id, text).mapInArrow(run, f"id {kind}, {UNIT}")
@@ -173,8 +172,9 @@ def clusters(spark: SparkSession, docs: DataFrame, percent: int = 80, least_word
     """(doc_id, paragraph, sentence, n_words, cluster_id, n_members, kept) of every repeated passage: all members of its cluster, of which the first in order of (doc_id, paragraph, sentence) is kept and the others are removals.
 
     Paragraphs of least_words words or more are repeated if equal, or if a chain of pairs with at least `percent` of their
-    five-word shingles in common connects them. In other paragraphs a sentence is repeated if it is equal to another one, and is listed if the run
-    of repeated sentences that it stands in has least_words words; sentence is null for whole paragraphs.
+    five-word shingles in common connects them. In other paragraphs, shorter ones included, a sentence (or a line without an end of one) is repeated if
+    it is equal to another one, and is listed if the run of repeated sentences that it stands in, which goes on over line breaks, has least_words words; sentence is null for
+    whole paragraphs.
     A-Z are lower-cased and white space is equal. Null and empty texts have no paragraphs; a row with a null id is
     left out; repeated rows repeat their paragraphs, which makes them members of a cluster.
     """
@@ -192,10 +192,15 @@ def clusters(spark: SparkSession, docs: DataFrame, percent: int = 80, least_word
     whole = grouped.groupBy("component", "s").agg(F.sum("n").alias("members"), F.min("first").alias("head")).where("members > 1")
     named = cut.table(grouped.join(whole, ["component", "s"]).select("h", "s", "members", "head"))
     rows = all_.join(named.select(F.col("h").alias("k"), "s", "members", "head"), (F.col("h") == F.col("k")) & (kind == F.col("s"))).drop("k", "h")
+    # dealt by document once, for all windows below; runs are found before sentences of repeated paragraphs are left out, which therefore do not break them
+    rows = rows.repartition("id")
+    line = Window.partitionBy("id", "s").orderBy("unit")
+    # repeated rows of a document do not lengthen its runs
+    once = F.when(F.lag("unit").over(line).eqNullSafe(F.col("unit")), 0).otherwise(F.col("words"))
+    rows = rows.withColumns({"island": F.col("unit") - F.dense_rank().over(line), "once": once})
+    rows = rows.withColumn("run", F.sum("once").over(Window.partitionBy("id", "s", "island")))
     rows = rows.withColumn("whole", F.max(F.when((F.col("sent") < 0) & (F.col("words") >= least_words), 1).otherwise(0)).over(Window.partitionBy("id", "par")))
-    rows = rows.where(((F.col("sent") < 0) & (F.col("words") >= least_words)) | ((F.col("sent") >= 0) & (F.col("whole") == 0)))
-    step = F.col("sent") - F.dense_rank().over(Window.partitionBy("id", "par", "s").orderBy("sent"))
-    rows = rows.withColumn("island", step).withColumn("run", F.sum("words").over(Window.partitionBy("id", "par", "s", "island"))).where((F.col("sent") < 0) | (F.col("run") >= least_words))
+    rows = rows.where(((F.col("sent") < 0) & (F.col("words") >= least_words)) | ((F.col("sent") >= 0) & (F.col("whole") == 0) & (F.col("run") >= least_words)))
     return rows.select(
         F.col("id").alias(doc_id),
         F.col("par").alias("paragraph"),
