@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,9 +28,11 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one of our own in local mode, an error on a cluster, whose machines do not see one another's folders."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -96,6 +99,12 @@ def join_ids(rows: DataFrame, column: str, ids: DataFrame, how: str) -> DataFram
     return rows.join(F.broadcast(keys) if few else keys, F.col(column) == F.col("__ids"), how)
 
 
+def join_counted(rows: DataFrame, table: DataFrame, on: str) -> DataFrame:
+    """rows joined with a written table of one row per key, which is broadcast where it has BROADCAST_IDS rows at most, after counting them."""
+    few = table.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(table) if few else table, on)
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
 
@@ -157,23 +166,6 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse, modulo 2^64."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        kept = []
-        for base in (_BASE, _INVERSE):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            kept.append(np.multiply.accumulate(x))
-        if size > 4 * SLICE_BYTES:  # for one long text: not held afterwards
-            return kept[0], kept[1]
-        _powers[:] = kept
-    return _powers[0], _powers[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -186,12 +178,42 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Bytes up to which a word is hashed in steps of eight bytes with all others; longer ones are digested each.
+STEPPED = 256
+_KEPT = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans; equal bytes have equal hashes wherever they stand."""
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of byte spans; equal bytes have equal hashes wherever they stand.
+
+    Every step mixes eight bytes into what came before, so that no sum or product of bytes is left that
+    texts of a regular pattern could bring to the same value.
+    """
+    sizes = ends - starts
+    out = mix(sizes.astype(np.uint64) + np.uint64(_BASE))
+    wide = np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=np.concatenate([data, np.zeros(8, np.uint8)]).data, strides=(1,))
+    open_ = np.flatnonzero(sizes <= STEPPED)
+    at, left = starts[open_], sizes[open_]
+    while len(open_):
+        out[open_] = mix(out[open_] ^ ((wide[at] & _KEPT[np.minimum(left, 8)]) * np.uint64(0xD6E8FEB86659FD93)))
+        more = np.flatnonzero(left > 8)
+        open_, at, left = open_[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(sizes > STEPPED).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def sequence_hashes(words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Hashes of sequences of words that follow one another without gaps; equal sequences have equal hashes.
+
+    A sum over words each mixed with its place, so that only chance makes two sequences equal.
+    """
+    sizes = hi - lo
+    place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    total = np.zeros(len(place) + 1, np.uint64)
+    np.cumsum(mix(words[int(lo[0]) if len(lo) else 0 :][: len(place)] ^ mix(place.astype(np.uint64) + np.uint64(_BASE))), out=total[1:])
+    ends = np.cumsum(sizes)
+    return mix((total[ends] - total[ends - sizes]) + sizes.astype(np.uint64) * np.uint64(_BASE)).view(np.int64)
 
 
 _MULTIPLIERS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import Cut, Sets, bands_for, binary_column, components, join_ids, list_column, mix, overlap, shingles, sliced
+from .cells import classes_of_buckets, links_in_cell
+from .common import Cut, Sets, bands_for, binary_column, join_ids, list_column, mix, overlap, shingles, sliced
 
 #: Samples in a band, and the probability that a pair at the threshold meets in no band.
 ROWS = 5
@@ -21,8 +22,6 @@ SKETCH_BITS = 512
 SLACK = 5.0
 #: Members of an unsettled bucket that are compared as one block.
 BLOCK = 512
-#: Shingles of a cell that are counted at a time.
-COLUMNS = 2048
 
 
 def odd_sketches(samples: np.ndarray) -> np.ndarray:
@@ -96,81 +95,28 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int, doc_id:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, pairs.select("a", "b").schema)
 
 
-def links_in_cell(table: pa.Table, p: int, q: int, width: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, row) links that span what is newly connected among the rows of a cell: pairs of the blocks p and q, of different components, by exact similarity of full sets.
+def linked_texts(width: int, percent: int):
+    """Links among the texts of a cell, from whole texts."""
 
-    Intersections of all pairs come from a product of incidence matrices over the shingles that at least two of the rows hold.
-    """
-    n = table.num_rows
-    part, comps = table.column("part").to_numpy(), table.column("component").to_pylist()
-    sets = [s for _, data, offsets in sliced(iter([pa.RecordBatch.from_arrays([table.column("text").combine_chunks()], names=["text"])]), "text") for s in shingles(data, offsets, width)]
-    sizes = np.array([len(x) for x in sets], np.int64)
-    rows, values = np.repeat(np.arange(n), sizes), np.concatenate(sets)
-    order = np.argsort(values, kind="stable")
-    rows, values = rows[order], values[order]
-    new = np.ones(len(values), bool)
-    new[1:] = values[1:] != values[:-1]
-    column = np.cumsum(new) - 1
-    shared = np.bincount(column)[column] > 1
-    rows, column = rows[shared], (np.cumsum(new & shared) - 1)[shared]
-    left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
-    common = np.zeros((len(left), len(right)), np.float32)
-    edges = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else 0) + COLUMNS + 1, COLUMNS))
-    block = np.zeros((n, COLUMNS), np.float32)
-    for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        at = rows[lo:hi], column[lo:hi] - COLUMNS * k
-        block[at] = 1
-        common += block[left] @ block[right].T
-        block[at] = 0
-    parent: dict = {}
-
-    def root(x):
-        while parent.get(x, x) != x:
-            x = parent[x]
-        return x
-
-    kept = []
-    for k, x in enumerate(left.tolist()):
-        met = common[k].astype(np.int64)
-        for y in right[100 * met >= percent * (sizes[x] + sizes[right] - met)].tolist():
-            if p != q or x < y:
-                a, b = root(comps[x]), root(comps[y])
-                if a != b:
-                    parent[a] = b
-                    kept.append((x, y))
-    found = np.array(kept, np.int64).reshape(-1, 2)
-    return found[:, 0], found[:, 1]
-
-
-def unsettled_links(buckets: DataFrame, docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """(a, b) links between different components that meet in one bucket, from rows (key, id, component); only such as connect something new within a cell.
-
-    A bucket is cut into blocks of about BLOCK members, and a cell of two blocks is compared in one task, however large the bucket is.
-    """
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("n"))
-    own = join_ids(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), "id", Cut(docs.sparkSession).table(buckets.select("id").distinct()), "left_semi")
-    rows = buckets.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "id", "component")
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        i, j = links_in_cell(table, key[1].as_py(), key[2].as_py(), width, percent)
-        ids = table.column("id")
-        return pa.table({"a": ids.take(pa.array(i)), "b": ids.take(pa.array(j))})
+    def run(table: pa.Table, part: np.ndarray, comps: list, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = pa.RecordBatch.from_arrays([table.column("text").combine_chunks()], names=["text"])
+        sets = [s for _, data, offsets in sliced(iter([rows]), "text") for s in shingles(data, offsets, width)]
+        return links_in_cell(sets, part, comps, p, q, percent)
 
-    return cells.join(own, "id").groupBy("key", "p", "q").applyInArrow(run, buckets.select(F.col("id").alias("a"), F.col("id").alias("b")).schema).distinct()
+    return run
 
 
 def classes(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): the size of each text's shingle set and the least id reachable by links.
 
     Texts with equal sets form a class at once. The classes' least members meet in bands of MinHash samples; in
-    each bucket all meet the least member, which finds the bulk of a group with one pair per member; these pairs
-    are judged by their odd sketches and confirmed on the full sets of whole texts. Buckets that still hold several
-    components are then compared in blocks, exactly, across these components, so no link between different
-    texts is lost and no group is expanded into rows for all its pairs.
+    each bucket all meet the least member, pairs are judged by their odd sketches and confirmed on the full sets of
+    whole texts; buckets that still hold several components are then compared in blocks, exactly, across these
+    components. A link is lost only if its texts meet in no band (MISS at the threshold, less above it).
 
     Null or empty texts have no shingles and link with nothing; ids should be distinct, rows with a null
-    id are their own component, of equal rows each gets the same answer; extra columns are ignored.
+    id are their own component, of equal rows each gets the same answer; texts of any length are taken whole, in
+    memory in proportion to the longest; an empty table gives an empty one; extra columns, also of the results' names, are ignored.
     """
     cut = Cut(spark)
     sets = Sets(bands_for(percent / 100, MISS, ROWS), ROWS)
@@ -178,26 +124,16 @@ def classes(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int =
     all_ = cut.table(features(docs, sets, width, doc_id, text))
     same = cut.table(all_.where("n_shingles > 0 and id is not null").groupBy("n_shingles", "set_a", "set_b").agg(F.min("id").alias("head")))
     heads = cut.table(all_.join(same.select(F.col("head").alias("id")), "id", "left_semi").dropDuplicates(["id"]))
-    members = heads.select("id", F.explode("bands").alias("key"))
-    hubs = members.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    members = cut.table(members.join(hubs, "key").select("key", "id", "a"))
     sketches = heads.select("id", "sketch")
 
-    def with_sketches(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-        return pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a")
-
-    stars = members.where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    links = cut.table(confirm(cut.table(close_sketches(with_sketches(stars), most)), docs, width, percent, doc_id, text))
-    comps = cut.table(components(spark, links))
-    labelled = members.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    # all pairs of a bucket of two were stars; buckets with the same members are one
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"))
-    mixed = mixed.where("lo <> hi and n > 2").groupBy("who", "n").agg(F.min("key").alias("key"))
-    rest = cut.table(labelled.join(mixed.select("key"), "key", "left_semi"))
-    if not rest.isEmpty():
-        more = unsettled_links(rest, docs, width, percent, doc_id, text)
-        comps = cut.table(components(spark, links.unionByName(more)))
+    def confirmed(stars: DataFrame) -> DataFrame:
+        pairs = stars.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b").join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a")
+        return confirm(cut.table(close_sketches(pairs, most)), docs, width, percent, doc_id, text)
+
+    def whole(ids: DataFrame) -> DataFrame:
+        return join_ids(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), "id", ids, "left_semi")
+
+    comps = classes_of_buckets(spark, heads.select("id", F.explode("bands").alias("key")), confirmed, whole, linked_texts(width, percent), BLOCK)
     heads = same.join(comps.select(F.col("node").alias("head"), "component"), "head", "left").select("n_shingles", "set_a", "set_b", F.coalesce("component", "head").alias("component"))
     out = all_.select("id", "n_shingles", "set_a", "set_b").join(heads, ["n_shingles", "set_a", "set_b"], "left")
     return out.select(F.col("id").alias(doc_id), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))

@@ -1,4 +1,4 @@
-"""Substring dedup by MinHash banding of paragraphs, with the sentences inside them compared for equality."""
+"""Substring dedup by MinHash banding of paragraphs, with the sentences and pieces of sentences inside them compared for equality."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import PART_BYTES, arrow_schema, packed, table_of
-from .common import LOWER, Cut, Sets, bands_for, components, mix, overlap, powers, shingle_hashes, sliced, span_hashes, word_bounds
+from .cells import classes_of_buckets, links_in_cell
+from .common import LOWER, Cut, Sets, bands_for, mix, overlap, sequence_hashes, shingle_hashes, sliced, span_hashes, word_bounds
 
 #: Words of a shingle, and samples in a band.
 WIDTH, ROWS = 5, 3
@@ -18,39 +18,57 @@ WIDTH, ROWS = 5, 3
 MISS = 1e-3
 #: Words from which a repeated paragraph, or run of repeated sentences, is removed.
 LEAST_WORDS = 20
-
-
-def unit_bounds(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every word: its text, the paragraph (text between line breaks) and the sentence (up to a word that ends with . ! or ?) that it opens, if any."""
+#: Words from which a sentence is cut into pieces, and words to either side of which a cut has the least hash.
+PIECE, REACH = 16, 4
+#: Members of an unsettled bucket that are compared as one block.
+BLOCK = 512
+#: Bytes that end a sentence, and those that may follow such an end.
+STOPS, CLOSERS = np.frombuffer(b".!?", np.uint8), np.frombuffer(b"\"')]}", np.uint8)
+
+
+def content_cuts(words: np.ndarray, par: np.ndarray) -> np.ndarray:
+    """Words at which the hash of a word and the next is less than at all words within REACH of the same paragraph: wherever a passage stands, its inner cuts are the same."""
+    top = np.uint64((1 << 64) - 1)
+    pair = np.full(len(words), top)
+    same = par[1:] == par[:-1]
+    pair[:-1][same] = mix(words[:-1] ^ mix(words[1:] + np.uint64(1)))[same]
+    least = np.full(len(words), top)
+    for d in range(1, REACH + 1):
+        near = par[d:] == par[:-d]
+        least[d:] = np.minimum(least[d:], np.where(near, pair[:-d], top))
+        least[:-d] = np.minimum(least[:-d], np.where(near, pair[d:], top))
+    return pair < least
+
+
+def unit_bounds(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every word: its text, and whether it opens a paragraph (text between line breaks), and a sentence (up to a word that ends with . ! or ?, closing quotes and brackets aside) or a piece of one of more than PIECE words."""
     n = len(starts)
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     breaks = np.concatenate([[0], np.cumsum(data == 10)])
     line = breaks[starts]
     new_paragraph = np.ones(n, bool)
     new_paragraph[1:] = (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])
-    stop = np.isin(data[ends - 1], np.frombuffer(b".!?", np.uint8)) if n else np.zeros(0, bool)
+    if not n:
+        return doc, new_paragraph, new_paragraph.copy()
+    last = ends - 1
+    for _ in range(2):
+        last = np.where(np.isin(data[last], CLOSERS), np.maximum(last - 1, starts), last)
     new_sentence = new_paragraph.copy()
-    new_sentence[1:] |= stop[:-1]
+    new_sentence[1:] |= np.isin(data[last], STOPS)[:-1]
+    own = np.cumsum(new_sentence) - 1
+    new_sentence |= content_cuts(words, np.cumsum(new_paragraph)) & (np.bincount(own)[own] > PIECE)
     return doc, new_paragraph, new_sentence
 
 
-def sequence_hashes(words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Hashes of word sequences; equal sequences have equal hashes."""
-    up, down = powers(len(words) + 1)
-    total = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * up[: len(words)], out=total[1:])
-    return mix((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64)).view(np.int64)
-
-
 class Units:
-    """Paragraphs and sentences of texts as ranges of words."""
+    """Paragraphs, and sentences or their pieces, as ranges of words."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         data = LOWER[data]
         starts, ends, bounds = word_bounds(data, offsets)
         with np.errstate(over="ignore"):
             self.words = span_hashes(data, starts, ends)
-            doc, p, s = unit_bounds(data, starts, ends, bounds)
+            doc, p, s = unit_bounds(data, starts, ends, bounds, self.words)
             n = len(starts)
             self.p_lo, self.s_lo = np.flatnonzero(p), np.flatnonzero(s)
             self.p_hi, self.s_hi = np.append(self.p_lo[1:], n)[: len(self.p_lo)], np.append(self.s_lo[1:], n)[: len(self.s_lo)]
@@ -85,11 +103,8 @@ def units(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(doc_id, text).mapInArrow(run, f"id {kind}, {UNIT}")
 
 
-BAND, BAND_ARROW = arrow_schema(part="long", keys="binary", h="binary")
-
-
-def candidates(docs: DataFrame, text: str, sets: Sets, parts: int, least_words: int) -> DataFrame:
-    """(a, b) hashes of different paragraphs that meet in a band: each with the bucket's first in an order that differs by band, so that a group of any size gives one pair per member and band."""
+def bucket_members(docs: DataFrame, text: str, sets: Sets, least_words: int) -> DataFrame:
+    """(key, id) of the paragraphs of least_words words or more: a row for each band, id being the hash of the paragraph's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in sliced(batches, text):
@@ -97,31 +112,12 @@ def candidates(docs: DataFrame, text: str, sets: Sets, parts: int, least_words:
             long_ = np.flatnonzero(u.p_hi - u.p_lo >= least_words)
             h, at = np.unique(u.p_hash[long_], return_index=True)
             own = long_[at]
-            if not len(own):
-                continue
-            with np.errstate(over="ignore"):
-                keys = sets.keys(paragraph_samples(u.words, u.p_lo[own], u.p_hi[own], sets)).view(np.uint64).reshape(-1)
-            h = np.repeat(h, sets.bands)
-            part = (keys % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[order], np.arange(parts + 1))
-            rows = [{"part": p} | packed(keys=keys[order[edges[p] : edges[p + 1]]], h=h[order[edges[p] : edges[p + 1]]]) for p in np.flatnonzero(np.diff(edges)).tolist()]
-            yield table_of(rows, BAND_ARROW).combine_chunks().to_batches()[0]
-
-    def meet(key: tuple, sent: pa.Table) -> pa.Table:
-        keys, h = np.frombuffer(b"".join(sent.column("keys").to_pylist()), np.uint64), np.frombuffer(b"".join(sent.column("h").to_pylist()), np.int64)
-        with np.errstate(over="ignore"):
-            rank = mix(h.view(np.uint64) ^ keys)
-        order = np.lexsort((rank, keys))
-        keys, h = keys[order], h[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = keys[1:] != keys[:-1]
-        hub = h[np.flatnonzero(new)][np.cumsum(new) - 1]
-        pair = np.stack([np.minimum(h, hub), np.maximum(h, hub)], axis=1)[h != hub]
-        pair = np.unique(pair, axis=0) if len(pair) else pair
-        return pa.table({"a": pair[:, 0], "b": pair[:, 1]})
+            if len(own):
+                with np.errstate(over="ignore"):
+                    keys = sets.keys(paragraph_samples(u.words, u.p_lo[own], u.p_hi[own], sets)).reshape(-1)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(h, sets.bands))], names=["key", "id"])
 
-    return docs.select(text).mapInArrow(run, BAND).groupBy("part").applyInArrow(meet, "a long, b long").distinct()
+    return docs.select(text).mapInArrow(run, "key long, id long")
 
 
 def paragraph_samples(words: np.ndarray, lo: np.ndarray, hi: np.ndarray, sets: Sets) -> np.ndarray:
@@ -135,9 +131,9 @@ def paragraph_samples(words: np.ndarray, lo: np.ndarray, hi: np.ndarray, sets: S
     return np.stack([np.minimum.reduceat((x * a + b) >> np.uint64(24), first) for a, b in zip(sets.a, sets.b, strict=True)], axis=1)
 
 
-def verified(pairs: DataFrame, places: DataFrame, docs: DataFrame, percent: int, doc_id: str, text: str) -> DataFrame:
-    """The (a, b) whose paragraphs' shingle sets have 100 * intersection >= percent * union. places has (h, id, par)."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(places, "h").groupBy("id").agg(F.collect_list(F.struct("par", "h")).alias("wanted"))
+def shingle_sets(ids: DataFrame, places: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, shingles) of the paragraphs of such hashes, from whole texts. places has (h, id, par): a document that holds the paragraph, and its number."""
+    wanted = ids.select(F.col("id").alias("h")).join(places, "h").groupBy("id").agg(F.collect_list(F.struct("par", "h")).alias("wanted"))
     own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).dropDuplicates(["id"]).join(wanted, "id")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,10 +147,14 @@ def verified(pairs: DataFrame, places: DataFrame, docs: DataFrame, percent: int,
                     with np.errstate(over="ignore"):
                         out.append(shingle_hashes(u.words[u.p_lo[k] : u.p_hi[k]], np.array([0, u.p_hi[k] - u.p_lo[k]]), WIDTH)[0].tobytes())
                     h.append(w["h"])
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(out, pa.binary())], names=["h", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(out, pa.binary())], names=["id", "shingles"])
+
+    return own.select("id", "text", "wanted").mapInArrow(pick, "id long, shingles binary")
 
-    found = own.select("id", "text", "wanted").mapInArrow(pick, "h long, shingles binary")
-    both = pairs.join(found.select(F.col("h").alias("a"), F.col("shingles").alias("x")), "a").join(found.select(F.col("h").alias("b"), F.col("shingles").alias("y")), "b")
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) whose shingle sets (id, shingles) have 100 * intersection >= percent * union."""
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,26 +168,43 @@ def verified(pairs: DataFrame, places: DataFrame, docs: DataFrame, percent: int,
     return both.select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
 
 
+def linked_sets(percent: int):
+    """Links among the sets of a cell."""
+
+    def run(table: pa.Table, part: np.ndarray, comps: list, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+        return links_in_cell([np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()], part, comps, p, q, percent)
+
+    return run
+
+
 def clusters(spark: SparkSession, docs: DataFrame, percent: int = 80, least_words: int = LEAST_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, paragraph, sentence, n_words, cluster_id, n_members, kept) of every repeated passage: all members of its cluster, of which the first in order of (doc_id, paragraph, sentence) is kept and the others are removals.
 
     Paragraphs of least_words words or more are repeated if equal, or if a chain of pairs with at least `percent` of their
-    five-word shingles in common connects them. In other paragraphs, shorter ones included, a sentence (or a line without an end of one) is repeated if
-    it is equal to another one, and is listed if the run of repeated sentences that it stands in, which goes on over line breaks, has least_words words; sentence is null for
-    whole paragraphs.
+    five-word shingles in common connects them: of pairs that meet in a band none is lost, and MISS is the probability that a pair at the threshold meets in none.
+    In other paragraphs, shorter ones included, a sentence (or a line without an end of one, or a piece of a long sentence between cuts that its own words set) is repeated if
+    it is equal to another one, and is listed if the run of repeated ones that it stands in, which goes on over line breaks, has least_words words; sentence is its number in the
+    paragraph, and null for whole paragraphs.
     A-Z are lower-cased and white space is equal. Null and empty texts have no paragraphs; a row with a null id is
-    left out; repeated rows repeat their paragraphs, which makes them members of a cluster.
+    left out; repeated rows repeat their paragraphs, which makes them members of a cluster; an empty table gives an empty one; texts of any length are taken
+    whole, in memory in proportion to the longest; other columns are ignored.
     """
     cut = Cut(spark)
     docs = docs.select(doc_id, text).where(F.col(doc_id).isNotNull())
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     sets = Sets(bands_for(percent / 100, MISS, ROWS), ROWS)
     all_ = cut.table(units(docs, doc_id, text))
     kind = F.col("sent") >= 0
     groups = cut.table(all_.groupBy("h", kind.alias("s")).agg(F.count("*").alias("n"), F.min(F.struct("id", "par", "sent")).alias("first")).where((F.col("n") > 1) | ~F.col("s")))
-    pairs = cut.table(candidates(docs, text, sets, max(1, -(-size // PART_BYTES)), max(least_words, WIDTH)))
     places = groups.where("not s").select("h", "first.id", "first.par")
-    near = components(spark, cut.table(verified(pairs, places, docs, percent, doc_id, text)))
+    members = cut.table(bucket_members(docs, text, sets, max(least_words, WIDTH)))
+    held: dict[str, DataFrame] = {}
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        held["sets"] = cut.table(shingle_sets(ids, places, docs, doc_id, text))
+        return verified(pairs, held["sets"], percent)
+
+    near = classes_of_buckets(spark, members, confirmed, lambda ids: held["sets"], linked_sets(percent), BLOCK)
     grouped = groups.join(near.select(F.col("node").alias("h"), "component"), "h", "left").withColumn("component", F.when(F.col("s"), F.col("h")).otherwise(F.coalesce("component", "h")))
     whole = grouped.groupBy("component", "s").agg(F.sum("n").alias("members"), F.min("first").alias("head")).where("members > 1")
     named = cut.table(grouped.join(whole, ["component", "s"]).select("h", "s", "members", "head"))

@@ -1,9 +1,9 @@
 """Language-model scores by prediction by partial matching over byte contexts, with symbol exclusion.
 
 The model is the trie of all byte contexts of up to ORDER bytes of the training texts. A node's counts are needed only where
-its two latest bytes are known, so parts of the key space by those two bytes hold whole branches; blocks of documents
-ask for the grams that they hold and get the log-probability of each. Nothing of the corpus is pruned
-or held in one place but the counts of byte pairs, of which there are 65,536 at most.
+its two latest bytes are known, so parts of the key space by those two bytes hold whole branches; the branch of a frequent pair of bytes is dealt
+by three bytes. Blocks of documents ask for the grams that they hold and get the log-probability of each. Nothing of the corpus is pruned
+or held in one place but the counts of byte pairs, of which there are 65,536 at most, and what follows the frequent ones, 256 counts each.
 """
 
 from __future__ import annotations
@@ -99,18 +99,21 @@ class Counts:
         return keys, counts
 
 
-def gram_part(keys: np.ndarray, parts: int) -> np.ndarray:
-    return (mix((keys >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(parts)).astype(np.int64)
+def gram_part(keys: np.ndarray, parts: int, heavy: np.ndarray) -> np.ndarray:
+    """Parts of grams by the two bytes before their symbols, or three where heavy says so of these two."""
+    pair = (keys >> np.uint64(8)) & np.uint64(0xFFFF)
+    branch = np.where(heavy[pair.astype(np.int64)], (keys >> np.uint64(8)) & np.uint64(0xFFFFFF) | np.uint64(1 << 24), pair)
+    return (mix(branch) % np.uint64(parts)).astype(np.int64)
 
 
-def token_part(keys: np.ndarray, parts: int) -> np.ndarray:
+def token_part(keys: np.ndarray, parts: int, heavy: np.ndarray | None = None) -> np.ndarray:
     return (mix(keys) % np.uint64(parts)).astype(np.int64)
 
 
 class Block:
     """What a block asks for: its distinct grams and tokens in the order of their parts."""
 
-    def __init__(self, table: pa.Table, text: str, parts: int):
+    def __init__(self, table: pa.Table, text: str, parts: int, heavy: np.ndarray):
         self.data, self.offsets = table_texts(table, text)
         train = np.array(table.column("__train").to_pylist(), bool)
         grams, tokens = Counts(), Counts()
@@ -121,7 +124,7 @@ class Block:
         self.kinds = []
         for into, part_of in ((grams, gram_part), (tokens, token_part)):
             keys, counts = into.close()
-            part = part_of(keys, parts)
+            part = part_of(keys, parts, heavy)
             order = np.argsort(part, kind="stable")
             self.kinds.append((keys, counts, order, np.searchsorted(part[order], np.arange(parts + 1))))
 
@@ -133,9 +136,9 @@ ASK, ASK_ARROW = arrow_schema(part="long", block="long", kind="long", keys="bina
 SAY, SAY_ARROW = arrow_schema(block="long", part="long", kind="long", values="binary")
 
 
-def ask(text: str, parts: int):
+def ask(text: str, parts: int, heavy: np.ndarray):
     def run(key: tuple, docs: pa.Table) -> pa.Table:
-        own, rows = Block(docs, text, parts), []
+        own, rows = Block(docs, text, parts, heavy), []
         for kind, (keys, counts, order, bounds) in enumerate(own.kinds):
             for part in np.flatnonzero(np.diff(bounds)).tolist():
                 at = order[bounds[part] : bounds[part + 1]]
@@ -173,14 +176,24 @@ class Level:
         return tuple(np.where(has, x[at], 0) for x in (self.total, self.symbols, self.below))
 
 
-def levels_of(grams: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> list[Level]:
-    """Levels 0 to ORDER; pairs has the training counts of all pairs of bytes, from which levels 0 and 1 come."""
-    known = np.flatnonzero(pairs).astype(np.uint64)
+class Shared:
+    """What every part knows: the training counts of all pairs of bytes, which pairs are heavy, and the counts of their triples (a heavy pair and the byte after it)."""
+
+    def __init__(self, pairs: np.ndarray, heavy: np.ndarray, triples: np.ndarray, counts: np.ndarray):
+        self.pairs, self.heavy, self.triples, self.counts = pairs, heavy, triples, counts
+
+
+def levels_of(grams: np.ndarray, counts: np.ndarray, shared: Shared) -> list[Level]:
+    """Levels 0 to ORDER: 0 and 1 from the pairs, 2 from the part's own grams and the triples of heavy pairs, the others from its own grams."""
+    known = np.flatnonzero(shared.pairs).astype(np.uint64)
     own = counts > 0
-    out = [Level(0, known, pairs[known.astype(np.int64)])]
-    out.append(Level(1, known, pairs[known.astype(np.int64)], out[0]))
-    for k in range(2, ORDER + 1):
-        out.append(Level(k, grams[own], counts[own], out[-1]))
+    grams, counts = grams[own], counts[own]
+    out = [Level(0, known, shared.pairs[known.astype(np.int64)])]
+    out.append(Level(1, known, shared.pairs[known.astype(np.int64)], out[0]))
+    light = ~shared.heavy[((grams >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int64)]
+    out.append(Level(2, np.concatenate([grams[light], shared.triples]), np.concatenate([counts[light], shared.counts]), out[1]))
+    for k in range(3, ORDER + 1):
+        out.append(Level(k, grams, counts, out[-1]))
     return out
 
 
@@ -212,7 +225,7 @@ def log_probabilities(grams: np.ndarray, levels: list[Level]) -> np.ndarray:
     return out
 
 
-def say(pairs: np.ndarray):
+def say(shared: Shared):
     def run(key: tuple, asked: pa.Table) -> pa.Table:
         rows, out = list(rows_of(asked)), []
         for kind in (0, 1):
@@ -221,7 +234,7 @@ def say(pairs: np.ndarray):
                 continue
             keys, counts = np.frombuffer(b"".join(r["keys"] for r in mine), np.uint64), np.frombuffer(b"".join(r["counts"] for r in mine), np.uint32).astype(np.int64)
             distinct, total = counted(keys, counts)
-            values = log_probabilities(distinct, levels_of(distinct, total, pairs)).astype(np.float32) if kind == 0 else total
+            values = log_probabilities(distinct, levels_of(distinct, total, shared)).astype(np.float32) if kind == 0 else total
             for r in mine:
                 at = np.searchsorted(distinct, np.frombuffer(r["keys"], np.uint64))
                 out.append({"block": r["block"], "part": r["part"], "kind": kind} | packed(values=values[at]))
@@ -307,6 +320,35 @@ def corpus_facts(docs: DataFrame, text: str, parts: int) -> tuple[np.ndarray, in
     return pairs, tokens, different + (tokens > 0)
 
 
+def heavy_pairs(pairs: np.ndarray, parts: int) -> np.ndarray:
+    """Pairs of bytes that come more often than half of a part's even share of all."""
+    return (parts > 1) & (2 * parts * pairs > pairs.sum())
+
+
+def triples_of(docs: DataFrame, text: str, parts: int, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the training rows: the triples that begin with a heavy pair, and their counts; 256 for each heavy pair at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Counts()
+        for _, data, offsets in sliced(batches, text):
+            keys = gram_keys(data, offsets)[0] & np.uint64(0xFFFFFF)
+            keys = keys[heavy[(keys >> np.uint64(8)).astype(np.int64)]]
+            held.add(keys, np.ones(len(keys), bool))
+        keys, counts = held.close()
+        part = token_part(keys >> np.uint64(8), parts)
+        order = np.argsort(part, kind="stable")
+        bounds = np.searchsorted(part[order], np.arange(parts + 1))
+        rows = [{"part": p} | packed(keys=keys[order[bounds[p] : bounds[p + 1]]], counts=counts[order[bounds[p] : bounds[p + 1]]]) for p in np.flatnonzero(np.diff(bounds)).tolist()]
+        yield table_of(rows, ASK_ARROW).combine_chunks().to_batches()[0] if rows else pa.RecordBatch.from_pylist([], ASK_ARROW)
+
+    def merge(key: tuple, sent: pa.Table) -> pa.Table:
+        keys, counts = counted(np.frombuffer(b"".join(sent.column("keys").to_pylist()), np.uint64), np.frombuffer(b"".join(sent.column("counts").to_pylist()), np.int64))
+        return table_of([{"part": key[0].as_py()} | packed(keys=keys, counts=counts)], ASK_ARROW)
+
+    found = docs.select(text).mapInArrow(run, ASK).groupBy("part").applyInArrow(merge, ASK).collect()
+    return np.frombuffer(b"".join(bytes(r["keys"]) for r in found), np.uint64), np.frombuffer(b"".join(bytes(r["counts"]) for r in found), np.int64)
+
+
 OUT = {"n_tokens": "long", "n_known": "long", "train_tokens": "long", "base_score": "double", "score": "double"}
 
 
@@ -315,19 +357,22 @@ def score(docs: DataFrame, train: Column, keep: list[str], doc_id: str = "doc_id
 
     score is the log10 probability of the text's bytes and its end under the model of the training rows; base_score that of
     its words and its end under their smoothed frequencies. Null text counts as empty: one token, the end. Repeated rows
-    count and are scored each; without training rows all symbols are equally likely; an empty table gives an empty one.
+    count and are scored each; without training rows all symbols are equally likely; an empty table gives an empty one. A text of any length is
+    scored whole, in memory in proportion to its block; columns of docs that are not kept are ignored, of kept ones those of the results' names are an error.
     """
     rows, parts = blocked(docs.select(*dict.fromkeys([*keep, doc_id, text]), train.alias("__train")), doc_id, text, BLOCK_BYTES)
     pairs, n, v = corpus_facts(docs.where(train).select(text), text, parts)
+    heavy = heavy_pairs(pairs, parts)
+    triples, counts = triples_of(docs.where(train).select(text), text, parts, heavy) if heavy.any() else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     schema = docs.select(*keep).schema
     for name, kind in OUT.items():
         schema = schema.add(name, kind)
     arrow = to_arrow_schema(schema)
-    said = rows.groupBy("__block").applyInArrow(ask(text, parts), ASK).groupBy("part").applyInArrow(say(pairs), SAY)
+    said = rows.groupBy("__block").applyInArrow(ask(text, parts, heavy), ASK).groupBy("part").applyInArrow(say(Shared(pairs, heavy, triples, counts)), SAY)
     scale = np.log10(n + 0.5 * (v + 1))
 
     def run(docs: pa.Table, said: pa.Table) -> pa.Table:
-        own = Block(docs, text, parts)
+        own = Block(docs, text, parts, heavy)
         values = [np.zeros(len(own.kinds[0][0]), np.float32), np.zeros(len(own.kinds[1][0]), np.int64)]
         for r in rows_of(said):
             _, _, order, bounds = own.kinds[r["kind"]]

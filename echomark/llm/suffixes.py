@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .blocks import arrow_schema, blocked, packed, rows_of, table_of, table_texts
-from .common import mix, slices, span_hashes
+from .common import SLICE_BYTES, mix, slices
 
 #: Bytes of a k-mer.
 KMER = 16
@@ -77,15 +77,60 @@ def fragments_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+#: Bases of the hashes of fragments: one modulo 2^64, one modulo the prime below.
+BASE, SMALL_BASE, PRIME = 0x9E3779B97F4A7C15, 1_000_000_007, (1 << 31) - 1
+
+
+_kept: dict[tuple[int, int | None], np.ndarray] = {}
+
+
+def powers(base: int, n: int, modulus: int | None = None) -> np.ndarray:
+    """The first n powers of a base, modulo 2^64 or a modulus below 2^32; those that a slice needs are kept."""
+    most = SLICE_BYTES + 1
+    if n <= most:
+        if (base, modulus) not in _kept:
+            _kept[base, modulus] = computed_powers(base, most, modulus)
+        return _kept[base, modulus][:n]
+    return computed_powers(base, n, modulus)
+
+
+def computed_powers(base: int, n: int, modulus: int | None) -> np.ndarray:
+    out = np.ones(1, np.uint64)
+    step = base
+    while len(out) < n:
+        more = out * np.uint64(step)
+        out = np.concatenate([out, more % np.uint64(modulus) if modulus else more])
+        step = step * step % (modulus or 1 << 64)
+    return out[:n]
+
+
+class SpanHashes:
+    """Hashes of long spans of bytes that overlap: differences of running sums over powers of two bases. Modulo 2^64 alone, texts of a regular pattern could meet; the prime keeps them apart."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        self.down = powers(pow(BASE, -1, 1 << 64), n + 1)
+        self.small_down = powers(pow(SMALL_BASE, -1, PRIME), n + 1, PRIME)
+        self.sums, self.small = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        symbols = data.astype(np.uint64) + np.uint64(1)
+        np.cumsum(symbols * powers(BASE, n), out=self.sums[1:])
+        np.cumsum(symbols * powers(SMALL_BASE, n, PRIME), out=self.small[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        p = np.uint64(PRIME)
+        small = (self.small[ends] - self.small[starts]) % p * self.small_down[starts] % p  # below 2^62 in between
+        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64)) ^ mix(small + np.uint64(BASE))
+
+
 class Fragments:
     """All fragments of a block's texts, and the distinct ones in the order of their parts."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, parts: int):
         found = []
         with np.errstate(over="ignore"):
-            for lo, hi in slices(offsets, 1 << 20):
+            for lo, hi in slices(offsets):
                 a, place, first, last = fragments_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length)
-                f = mix(span_hashes(data[offsets[lo] : offsets[hi]], first, last + length) ^ (place - first).astype(np.uint64))
+                f = mix(SpanHashes(data[offsets[lo] : offsets[hi]])(first, last + length) ^ (place - first).astype(np.uint64))
                 found.append((a, f, place - first, first + offsets[lo], last + offsets[lo]))
         self.a, self.f, self.anchor, self.first, self.last = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
         part = (self.a % np.uint64(parts)).astype(np.int64)

@@ -10,14 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import Cut, components
+from .cells import classes_of_buckets, spanning
+from .common import Cut
 
 #: Blocks of coordinates of a product code, independent codes, and filters that a vector is listed at in each on average.
-PIECES, CODES, LISTED = 4, 6, 12
+PIECES, CODES, LISTED = 4, 6, 10
 #: Filters of a code for every filter that all vectors of one label are listed at together: so few unrelated vectors meet.
 ROOM = 60
-#: Members of a bucket or component that are compared as one block.
-BLOCK = 512
+#: How far below a cap's edge the nearest filters of a vector in hardly any cap may lie, in units of the spread of inner products, 1 / sqrt(dimension).
+SLACK = 0.12
+#: Members of an unsettled bucket that are compared as one block; members of a component whose links one task counts.
+BLOCK, STRIPE = 512, 2048
 
 
 class ProductCode:
@@ -31,7 +34,7 @@ class ProductCode:
         codes = [draw.standard_normal((directions, len(x))) for x in self.pieces]
         self.codes = [c / np.linalg.norm(c, axis=1, keepdims=True) / np.sqrt(len(self.pieces)) for c in codes]
         self.first = seed * directions ** len(self.pieces)
-        self.least = self.edge(draw.standard_normal((64, dim)))
+        self.least, self.slack = self.edge(draw.standard_normal((min(512, max(64, (1 << 21) // directions**2)), dim))), SLACK / np.sqrt(dim)
 
     def edge(self, sample: np.ndarray) -> float:
         """The inner product that LISTED filters reach on average over a sample of random directions."""
@@ -58,7 +61,7 @@ class ProductCode:
         tops = np.cumsum([s.max(axis=1) for s in sums[::-1]], axis=0)[::-1]
         out = []
         for i in range(len(unit)):
-            least = min(self.least, tops[0][i] - 0.03)  # a vector in hardly any cap is listed at its nearest filters
+            least = min(self.least, tops[0][i] - self.slack)  # a vector in hardly any cap is listed at its nearest filters
             total, ids = np.zeros(1), np.zeros(1, np.int64)
             for k, s in enumerate(sums):
                 total = (total[:, None] + s[i]).reshape(-1)
@@ -108,76 +111,109 @@ def listed(vectors: DataFrame, directions: int) -> DataFrame:
     return vectors.select("id", "vector").mapInArrow(run, schema)
 
 
-class Linked:
-    """Links within and between two blocks of vectors: how many others each has, and the least id that each reaches."""
-
-    def __init__(self, ids: np.ndarray, times: np.ndarray, unit: np.ndarray, left: np.ndarray, right: np.ndarray, least: float):
-        i, j = np.nonzero(unit[left] @ unit[right].T >= least)
-        i, j = left[i], right[j]
-        once = i < j if np.array_equal(left, right) else slice(None)
-        i, j = i[once], j[once]
-        self.counts = np.bincount(i, times[j], len(ids)).astype(np.int64) + np.bincount(j, times[i], len(ids)).astype(np.int64)
-        order = np.argsort(ids, kind="stable")
-        rank = np.empty(len(ids), np.int64)
-        rank[order] = np.arange(len(ids))
-        reach = rank.copy()
-        while len(i):
-            low = reach.copy()
-            np.minimum.at(low, i, reach[j])
-            np.minimum.at(low, j, reach[i])
-            low = low[order[low]]
-            if (low == reach).all():
-                break
-            reach = low
-        self.least = ids[order[reach]]
-
-
-def by_cells(members: DataFrame, keys: list[str], vectors: DataFrame, least: float) -> DataFrame:
-    """(id, n, least) from rows (*keys, id, size) of groups of `size` members: groups are cut into blocks, and each pair of blocks is compared in one place."""
-    cells = members.withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*keys, F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "id")
-    cells = cells.withColumn("cell", F.xxhash64(*keys, "p", "q")).drop(*keys).join(vectors, "id")
-    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = cells.repartition(n, "cell").sortWithinPartitions("cell").select("cell", "p", "q", "part", "id", "times", "unit")
-
-    def finish(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(parts)
-        ids, times, part = (table.column(c).to_numpy() for c in ("id", "times", "part"))
-        unit = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(len(ids), -1)
-        left, right = (np.flatnonzero(part == table.column(c)[0].as_py()) for c in ("p", "q"))
-        found = Linked(ids, times, unit, left, right, least)
-        own = np.flatnonzero(found.counts)
-        return pa.RecordBatch.from_arrays([pa.array(x[own]) for x in (ids, found.counts, found.least)], names=["id", "n", "least"])
+def units_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A matrix of packed unit vectors."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+
+
+def linked_vectors(least: float):
+    """Links among the vectors of a cell, which have one label and dimension."""
+
+    def run(table: pa.Table, part: np.ndarray, comps: list, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+        unit = units_of(table.column("unit"))
+        left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
+        near = unit[left] @ unit[right].T >= least
+        return spanning(left, lambda k: right[near[k]], comps, p == q)
+
+    return run
+
+
+def confirm(pairs: DataFrame, units: DataFrame, least: float) -> DataFrame:
+    """The (a, b) whose unit vectors (id, unit) have a cosine of at least `least`."""
+    both = pairs.join(units.select(F.col("id").alias("b"), F.col("unit").alias("y")), "b").join(units.select(F.col("id").alias("a"), F.col("unit").alias("x")), "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [float(np.frombuffer(x, np.float64) @ np.frombuffer(y, np.float64)) >= least for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "x", "y").mapInArrow(run, pairs.select("a", "b").schema)
+
+
+class Stripe:
+    """STRIPE members or so of a component, whose links with all its members are counted as these pass by."""
+
+    def __init__(self, least: float):
+        self.least, self.own, self.counts = least, [], None
+
+    def add(self, rows: pa.RecordBatch, own: bool) -> None:
+        if own:
+            self.own.append(rows)
+            return
+        self.close()
+        self.count(rows, False)
+
+    def close(self) -> None:
+        if self.counts is None:
+            table = pa.Table.from_batches(self.own)
+            self.ids, self.unit, self.counts = table.column("id"), units_of(table.column("unit")), np.zeros(table.num_rows, np.int64)
+            for lo in range(0, table.num_rows, BLOCK):
+                self.count(table.slice(lo, BLOCK), True, lo)
+
+    def count(self, rows, own: bool, first: int = 0) -> None:
+        times = rows.column("times").to_numpy()
+        near = self.unit @ units_of(rows.column("unit")).T >= self.least
+        if own:
+            near[first + np.arange(len(times)), np.arange(len(times))] = False
+        self.counts += near @ times
+
+    def result(self) -> pa.RecordBatch:
+        self.close()
+        return pa.RecordBatch.from_arrays([self.ids.combine_chunks(), pa.array(self.counts)], names=["id", "n"])
+
+
+def link_counts(members: DataFrame, units: DataFrame, least: float) -> DataFrame:
+    """(id, n): of each member of a component the number of its links, from (component, id) and (id, times, unit).
+
+    A component is cut into stripes; a stripe's members stay in memory while all members of the component pass by, and give one
+    row each, so that neither pairs nor rows by pair of blocks come out.
+    """
+    sizes = Cut(members.sparkSession).table(members.groupBy("component").agg(F.ceil(F.count("*") / STRIPE).cast("int").alias("parts")))
+    rows = members.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("id", F.struct("component", "other").alias("stripe"), (F.col("other") == F.col("part")).alias("own"))
+    rows = rows.join(units, "id").withColumn("key", F.xxhash64("stripe"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # own members first; a stripe's number also tells those apart whose keys are equal
+    rows = rows.repartition(n, "key").sortWithinPartitions("key", "stripe", F.desc("own")).select("key", F.col("stripe.component").alias("c"), F.col("stripe.other").alias("o"), "own", "id", "times", "unit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
+        last, stripe = None, None
         for batch in batches:
-            cell = batch.column("cell").to_numpy()
-            edges = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
+            c, o, own = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("c", "o", "own"))
+            edges = [0, *(np.flatnonzero((c[1:] != c[:-1]) | (o[1:] != o[:-1]) | (own[1:] != own[:-1])) + 1).tolist(), len(c)]
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                if hi > lo:
-                    if held and cell[lo] != last:
-                        yield finish(held)
-                        held = []
-                    held.append(batch.slice(lo, hi - lo))
-                    last = cell[lo]
-        if held:
-            yield finish(held)
+                if hi > lo and (c[lo], o[lo]) != last:
+                    if stripe:
+                        yield stripe.result()
+                    last, stripe = (c[lo], o[lo]), Stripe(least)
+                for at in range(lo, hi, BLOCK):
+                    stripe.add(batch.slice(at, min(BLOCK, hi - at)), bool(own[lo]))
+        if stripe:
+            yield stripe.result()
 
-    return cells.mapInArrow(run, "id long, n long, least long")
+    return rows.mapInArrow(run, members.select("id").schema.add("n", "long"))
 
 
 def links(spark: SparkSession, vectors: DataFrame, least: float = 0.93, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id) of every row: vectors of equal label and dimension are linked at cosines of at least `least`, in double precision.
 
     Equal vectors of a label become one first, with the number of its rows. Each lists all filters whose caps hold it, in several
-    codes; the vectors of a bucket (label, filter) are compared, which gives components. Within each
-    component all pairs are then compared once to count links. Buckets and components are cut into blocks
-    of about BLOCK members, and tasks return counts and least reachable members, never pairs.
+    codes; the vectors of a bucket (label, dimension, filter) meet its least member, and those of buckets that still hold several components are compared in
+    cells across these, which gives components. All pairs of a component are then compared by stripes to count links, one row coming out per member.
 
-    Null labels, and vectors that are null, zero, or hold null or non-finite components link with nothing; nor do rows with a null id. A link
-    between components whose members share no cap at all stays unseen; the README has the measured recall.
+    Null labels, and vectors that are null, zero, or hold null or non-finite components link with nothing; nor do rows with a null id; a row's id should be its own. A link
+    between components whose members share no cap at all stays unseen; the README has the measured recall. An empty table gives an empty one;
+    other columns are ignored. Memory goes with the dimension, not with the size of a group.
     """
     cut = Cut(spark)
     rows = vectors.select(F.col(vec_id).alias("vec"), F.col(label).alias("label"), F.col(embedding).alias("vector"))
@@ -186,13 +222,10 @@ def links(spark: SparkSession, vectors: DataFrame, least: float = 0.93, vec_id:
     most = kinds.groupBy("label").count().agg(F.max("count")).first()[0] or 1
     directions = max(16, int(np.ceil((most * LISTED * ROOM) ** (1 / PIECES))))
     found = cut.table(kinds.select("label", "id", "times").join(listed(kinds, directions), "id"))
-    packed = found.select("id", "times", "unit")
-    filters = found.select("label", "dim", F.explode("filters").alias("filter"), "id")
-    sizes = filters.groupBy("label", "dim", "filter").agg(F.count("*").alias("size")).where("size > 1")
-    met = by_cells(filters.join(sizes, ["label", "dim", "filter"]), ["label", "dim", "filter"], packed, least)
-    comps = cut.table(components(spark, met.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))))
-    members = comps.join(comps.groupBy("component").agg(F.count("*").alias("size")), "component").select("component", F.col("node").alias("id"), "size")
-    counts = by_cells(members, ["component"], packed, least).groupBy("id").agg(F.sum("n").alias("n"))
+    units = found.select("id", "times", "unit")
+    filters = found.select("label", "dim", F.explode("filters").alias("filter"), "id").select(F.struct("label", "dim", "filter").alias("key"), "id")
+    comps = classes_of_buckets(spark, filters, lambda pairs: confirm(pairs, units, least), lambda ids: units, linked_vectors(least), BLOCK)
+    counts = link_counts(comps.select("component", F.col("node").alias("id")), units, least)
     kinds = kinds.join(counts, "id", "left").join(comps.select(F.col("node").alias("id"), "component"), "id", "left").join(found.select("id", F.lit(1).alias("live")), "id")
     kinds = kinds.select(F.col("label").alias("__l"), F.col("vector").alias("__v"), (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
     out = rows.join(kinds, (F.col("label") == F.col("__l")) & (F.col("vector") == F.col("__v")), "left")

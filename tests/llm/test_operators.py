@@ -26,6 +26,11 @@ def prose(draw, n):
     return " ".join(draw.choice(WORDS) + str(draw.randrange(40)) for _ in range(n))
 
 
+def alternating(n, a, b):
+    """The word whose letter i is b where i has an odd number of binary ones: its polynomials in many bases agree with those of its mirror."""
+    return "".join(b if i.bit_count() % 2 else a for i in range(n))
+
+
 def table(spark, texts, **more):
     rows = [(i, t, "en", None if i % 7 == 0 else f"s{i % 3}", True, "x", "y") for i, t in enumerate(texts)]
     return spark.createDataFrame(rows + more.get("rows", []), SCHEMA).repartition(3)
@@ -99,6 +104,54 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert got == dict(enumerate(exact_components([shingle_set(t, 3) for t in docs], 85)))
 
 
+def test_alternating_words_are_no_duplicates(spark):
+    own = [alternating(n, *ab) for n in (1024, 4096) for ab in ("ab", "ba")]
+    own += [" ".join(alternating(1024, *ab)) for ab in ("ab", "ba")] + [own[0]]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.classes(spark, table(spark, own), 3, 85).collect()}
+    sets = [shingle_set(t, 3) for t in own]
+    assert got == {i: (len(s), c) for i, (s, c) in enumerate(zip(sets, exact_components(sets, 85), strict=True))} and got[1][1] == 1 and got[6][1] == 0
+
+
+@pytest.mark.parametrize("length", [200, 1024, 4096])
+def test_hashes_of_alternating_words_differ(length):
+    data = np.frombuffer((alternating(length, "a", "b") + alternating(length, "b", "a") + alternating(length, "a", "b")).encode(), np.uint8)
+    at = np.arange(3) * length
+    for h in (common.span_hashes(data, at, at + length), suffixes.SpanHashes(data)(at, at + length), common.sequence_hashes(data.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), at, at + length)):
+        assert h[0] == h[2] != h[1]
+
+
+def test_families_on_one_template(spark):
+    """No pair is lost where most of a bucket are strangers: near-duplicate pairs of paragraphs, all made from one template."""
+    draw = random.Random(12)
+    base, own = prose(draw, 120).split(), []
+    for f in range(150):
+        kin = [w if draw.random() < 0.85 else f"own{f}x{k}" for k, w in enumerate(base)]
+        other = list(kin)
+        for k in draw.sample(range(120), 2):
+            other[k] = f"edit{f}y{k}"
+        own += [" ".join(kin), " ".join(other)]
+    sets = [shingle_set(t, 5) for t in own]
+    want = exact_components(sets, 80)
+    assert len(set(want)) == 150
+    got = paragraphs.clusters(spark, table(spark, own)).collect()
+    assert {r["doc_id"]: r["cluster_id"] for r in got if r["sentence"] is None} == {i: f"{c}/0" for i, c in enumerate(want)}
+
+
+def test_passages_inside_sentences(spark):
+    """A passage of 50 words without sentence ends is found inside other sentences, wherever it stands; unrelated text is not."""
+    draw = random.Random(21)
+    word = lambda: "".join(draw.choices("abcdefghij", k=5))
+    free = lambda n: " ".join(word() for _ in range(n))
+    own = []
+    for _ in range(40):
+        passage = free(50)
+        own += [f"{free(draw.randrange(5, 90))} {passage} {free(draw.randrange(5, 90))}", f"{free(draw.randrange(5, 90))} {passage.upper()} {free(draw.randrange(5, 90))}", free(120)]
+    found = Counter()
+    for r in paragraphs.clusters(spark, table(spark, own)).collect():
+        found[r["doc_id"]] += r["n_words"]
+    assert all(20 <= found[i] <= 50 for i in range(len(own)) if i % 3 < 2) and not any(found[i] for i in range(2, len(own), 3))
+
+
 def test_odd_sketches_estimate_similarity():
     sets, draw = common.Sets(24, 5), np.random.default_rng(1)
     for shared in (950, 850, 500):
@@ -261,6 +314,7 @@ def test_apportionment_takes_the_highest_quotients(spark):
 
 def test_vectors(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 16)
+    monkeypatch.setattr(vectors, "STRIPE", 16)
     draw = np.random.default_rng(9)
     rows = []
     for k in range(20):
@@ -287,6 +341,20 @@ def test_vectors(spark, monkeypatch):
     assert got == want and link.sum() > 200
 
 
+@pytest.mark.parametrize("dim", [64, 384, 768])
+def test_listing_is_bounded_and_finds_pairs_at_the_threshold(dim):
+    draw = np.random.default_rng(dim)
+    x, z = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in draw.standard_normal((2, 60, dim)))
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = 0.93 * x + math.sqrt(1 - 0.93**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    listed, met = 0, np.zeros(60, bool)
+    for code in vectors.codes_of(dim, 30):
+        a, b = code.filters(x), code.filters(y)
+        listed += sum(map(len, a))
+        met |= [bool(set(p) & set(q)) for p, q in zip(map(np.ndarray.tolist, a), map(np.ndarray.tolist, b), strict=True)]
+    assert listed <= 20 * 60 * vectors.CODES and met.mean() >= 0.9
+
+
 def test_quality(spark, texts):
     draw = random.Random(1)
     boiler = "Share this page with all of your friends today"
@@ -306,8 +374,16 @@ def test_quality(spark, texts):
     assert all(got[i]["kept"] for i in range(first, first + 80)) and not any(got[i]["kept"] for i in range(first + 80, first + 100))
 
 
-def test_partial_matching(spark, texts):
+@pytest.mark.parametrize("part_bytes", [1 << 20, 4000])
+def test_partial_matching(spark, texts, part_bytes, monkeypatch):
+    """Also with parts so many that the branches of frequent pairs of bytes are dealt by three bytes, and with texts that agree in every product of their bytes' places."""
+    from echomark.llm import blocks
+
+    monkeypatch.setattr(blocks, "PART_BYTES", part_bytes)
+    texts = [*texts, *([alternating(n, *ab) for n in (1024, 4096) for ab in ("ab", "ba")] if part_bytes < 1 << 20 else [])]
     docs = table(spark, texts)
+    heavy = []
+    monkeypatch.setattr(ppm, "triples_of", lambda *a, own=ppm.triples_of: heavy.append(int(a[3].sum())) or own(*a))
     got = {r["doc_id"]: r for r in ppm.score(docs, F.pmod("doc_id", F.lit(5)) != 1, ["doc_id"]).collect()}
     k, counts, tokens = ppm.ORDER, [defaultdict(Counter) for _ in range(ppm.ORDER + 1)], Counter()
     pad = lambda t: bytes([255]) * k + (t or "").encode() + bytes([254])
@@ -339,6 +415,7 @@ def test_partial_matching(spark, texts):
         assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(w), sum(tokens[x] > 0 for x in w), n)
         assert got[i]["base_score"] == pytest.approx(sum(math.log10((tokens[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w))
         assert got[i]["score"] == pytest.approx(sum(surprise(b[at - k : at], b[at]) for at in range(k, len(b))), rel=1e-5)
+    assert bool(heavy) == (part_bytes < 1 << 20) and all(0 < x < 200 for x in heavy)
 
 
 def test_paragraphs(spark, texts):
