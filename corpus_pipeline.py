@@ -21,35 +21,48 @@ def with_length(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines above their host's limit are removed, and documents that the quality rules reject go."""
-    rows = quality.judge(docs).where("kept").withColumn("text", F.col("clean_text"))
-    return with_length(rows).select(*docs.columns)
+    """Lines above their host's limit are removed, and documents that the quality rules reject go.
+
+    Exact copies count as one text here, because the next stage is to find them: a group of copies does not turn its own prose into boilerplate.
+    Null and empty texts are rejected, repeated rows share one verdict, an empty table gives an empty one, columns of any name stay.
+    """
+    return with_length(quality.clean(docs, count="texts"))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document of the least id stays."""
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document of the least id stays.
+
+    Null and empty texts and rows without an id have no duplicates and stay; of rows of one id one stays; columns of any name stay as they are.
+    """
     return neardup.keep_one(spark, docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of REPEAT_BYTES bytes that start anywhere else too are cut out; a document of which nothing but white space is left goes."""
+    """Strings of REPEAT_BYTES bytes that start anywhere else too are cut out; a document of which nothing but white space is left goes.
+
+    So do null and empty texts. Of repeated rows nothing is left but what is shorter than such a string; an empty table gives an empty one; columns of any name stay as they are.
+    """
     out = with_length(suffixes.remove_repeats(docs, REPEAT_BYTES))
     return out.where(F.regexp_replace("text", SPACES, "") != "")
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document comes as often as the mix takes all of its words, and once more with the words of the remainder's blocks, each with the white space after it but for the last."""
-    rows = mixing.mix(spark, docs).where("taken > 0")
+    """A document comes as often as the mix takes all of its words, and once more with the words of the remainder's blocks, each with the white space after it but for the last.
+
+    Null and empty texts have no words and go; a null source is a source; repeated rows are mixed as separate documents; an empty table gives an empty one; columns named like the mix's own stay as they are.
+    """
+    own = {c: f"__own_{c}" for c in docs.columns if c in mixing.RESULTS}
+    rows = mixing.mix(spark, docs.withColumnsRenamed(own)).where("taken > 0")
     rows = rows.withColumn("__whole", F.explode(F.expr("concat(array_repeat(true, cast(taken div size as int)), if(taken % size > 0, array(false), cast(array() as array<boolean>)))")))
     words = F.regexp_extract_all("text", F.lit(f"{WORD}(?:{SPACES})?"), F.lit(0))
     # bound by a lambda, so that a text is cut into words once and not for every span
     taken = F.flatten(F.transform(F.array(words), lambda w: F.flatten(F.transform("spans", lambda x: F.slice(w, (x["lo"] + 1).cast("int"), (x["hi"] - x["lo"]).cast("int"))))))
     text = F.when(F.col("__whole"), F.col("text")).otherwise(F.regexp_replace(F.array_join(taken, ""), f"{SPACES}\\z", ""))
-    return with_length(rows.withColumn("text", text)).select(*docs.columns)
+    return with_length(rows.withColumn("text", text).drop(*mixing.RESULTS).withColumnsRenamed({v: k for k, v in own.items()})).select(*docs.columns)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, and digests of ids and decoded text of every row."""
+    """doc_id, source, n_tokens, and digests of ids and decoded text of every row, copies of a document included; null text is empty, other columns are left out."""
     return bpe.digest(docs, tokenizer_path(), keep=["doc_id", "source"])
 
 
@@ -61,7 +74,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe_encoding", bpe_encoding),
 ]
 
-#: Near-duplicates, repeated strings and byte-pair merges are not expressible in SQL; the stages are tested against brute force.
+#: Near-duplicates, repeated strings and byte-pair merges are not expressible in SQL; tests/llm/test_pipeline.py tests the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -122,6 +122,13 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
+def strings(column: pa.Array) -> Iterator[str]:
+    """The texts of a column; nulls are empty, bytes that are not UTF-8 become U+FFFD."""
+    data, offsets = texts(column)
+    for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        yield data[lo:hi].tobytes().decode("utf-8", "replace")
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """The rows with an array<int> column of the text's ids. Null counts as empty: no ids."""
     docs = docs.drop(ids)
@@ -133,7 +140,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                out = [own.encode(x or "") for x in part.column(text).to_pylist()]
+                out = [own.encode(x) for x in strings(part.column(text))]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(out, pa.list_(pa.int32()))], names=[*columns, ids])
 
     return docs.mapInArrow(run, schema)
@@ -159,17 +166,17 @@ def decode(tokens: DataFrame, path: str, ids: str = "token_ids", text: str = "de
 def digest(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
     """The kept columns, n_tokens, ids_sha256 and decoded_sha256 of every text, encoded and decoded in one pass so that neither ids nor texts leave the worker.
 
-    Null text counts as empty; texts of any length are encoded whole; repeated rows give repeated rows.
+    Null text counts as empty; bytes that are not UTF-8 count as U+FFFD; texts of any length are encoded whole; repeated rows give repeated rows;
+    an empty table gives an empty one; columns that are not kept are left out, whatever their names.
     """
     schema = docs.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            data, offsets = texts(batch.column(text))
             counts, a, b = np.zeros(batch.num_rows, np.int64), [], []
-            for i in range(batch.num_rows):
-                ids = own.encode(data[offsets[i] : offsets[i + 1]].tobytes().decode())
+            for i, body in enumerate(strings(batch.column(text))):
+                ids = own.encode(body)
                 counts[i] = len(ids)
                 a.append(hashlib.sha256(",".join(map(own.digits.__getitem__, ids)).encode()).hexdigest())
                 b.append(hashlib.sha256(own.decode(ids).encode()).hexdigest())

@@ -129,6 +129,10 @@ def predict(docs: DataFrame, prototypes: dict[str, list[float]], keep: list[str]
 
 
 def identify(docs: DataFrame, learned: Column, keep: list[str], lang: str = "lang", text: str = "text") -> DataFrame:
-    """predict() for all rows after learn() on those where `learned` is true. An empty table gives an empty one; without any labelled text all are `und`."""
+    """predict() for all rows after learn() on those where `learned` is true.
+
+    An empty table gives an empty one; without any labelled text all are `und`. Repeated rows count in learning and are predicted each; a text of any length is
+    taken whole; bytes that are not UTF-8 are no letters; columns that are not kept are ignored, whatever their names.
+    """
     found = {r["lang"]: r["prototype"] for r in learn(docs.where(learned), lang, text).collect()}
     return predict(docs, found, keep, text)

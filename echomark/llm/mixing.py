@@ -11,6 +11,10 @@ from .common import Cut, WORD
 STEPS = (1000003, 998244353, 2147483647)
 
 
+#: What the mix adds to a row.
+RESULTS = ("size", "source_size", "target", "taken", "spans")
+
+
 def draw(*parts: Column) -> Column:
     """60 bits of an md5 of the parts."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 15), 16, 10).cast("long")
@@ -76,7 +80,7 @@ def mix(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", source: st
     blocks of the remainder, the words beyond the whole repetitions, in the order of the text. Null or empty texts have size 0 and nothing taken; a null source
     is a source; repeated rows are separate documents; an empty table gives an empty one; columns of the results' names are replaced.
     """
-    docs = docs.drop("size", "source_size", "target", "taken", "spans")
+    docs = docs.drop(*RESULTS)
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.withColumn("size", size).withColumn("__source", F.col(source)).withColumn("__draw", draw(F.lit(seed), F.col(doc_id).cast("string"))).withColumn("__tie", draw(F.lit(seed + " order"), F.col(doc_id).cast("string")))
     cut = Cut(spark)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD
+from .common import SPACES, WORD, Cut, join_counted
 
 
 def words_of(text: Column) -> Column:
@@ -46,17 +46,15 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.drop("__words", "__lines", "__w").withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words"))
 
 
-def line_frequency(docs: DataFrame, host: str, text: str, least_docs: int, share: float) -> DataFrame:
-    """(host, line) of the normalised lines that more distinct texts of a host hold than its limit: the larger of least_docs and a share of the host's distinct texts.
+def lines_above(lines: DataFrame, hosts: DataFrame, most_docs: int, percent: int, least_docs: int) -> DataFrame:
+    """(host, line) of the lines that more documents of a host hold than its limit: most_docs, or where that is less, a percentage of the host's documents, but least_docs at least.
 
-    Exact copies count as one text, so a group of copies does not turn its own prose into boilerplate.
-    The counts are sums of partial sums: (host, line, text) rows are made distinct first, which a hot
-    host or line spreads over all tasks, and only then counted by (host, line).
+    lines has (host, unit, line), hosts (host, unit), a unit being what counts as a document. Repeats within a unit are made distinct first, which a hot
+    host or line spreads over all tasks, and only then counted in partial sums.
     """
-    rows = docs.select(F.col(host).alias("host"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), F.explode(F.array_distinct(F.concat(F.transform(line_hashes(text), lambda x: x["line"]), F.array(F.lit(None).cast("long"))))).alias("line")).distinct()
-    counts = rows.groupBy("host", "line").agg(F.count("*").alias("docs"))
-    hosts = counts.where("line is null").select(F.col("host").alias("own_host"), F.col("docs").alias("host_docs"))
-    return counts.where(f"line is not null and docs > {least_docs}").join(hosts, F.col("host").eqNullSafe(F.col("own_host"))).where(F.col("docs") > F.lit(share) * F.col("host_docs")).select("host", "line")
+    counts = lines.distinct().groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > least_docs)
+    sizes = hosts.distinct().groupBy("host").agg(F.count("*").alias("size")).select(F.col("host").alias("own_host"), "size")
+    return counts.join(sizes, F.col("host").eqNullSafe(F.col("own_host"))).where((F.col("docs") > most_docs) | (100 * F.col("docs") > percent * F.col("size"))).select("host", "line")
 
 
 def normal_line(line: Column) -> Column:
@@ -66,7 +64,7 @@ def normal_line(line: Column) -> Column:
 def without_lines(text: str, hashes: str) -> Column:
     """The text without the lines whose normalised forms have one of the hashes; without such lines it stays as it is, byte by byte."""
     rest = F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains(F.col(hashes), F.xxhash64(normal_line(x))))
-    return F.when(F.size(hashes) > 0, F.array_join(rest, "\n")).otherwise(F.col(text))
+    return F.when(F.col(hashes).isNotNull(), F.array_join(rest, "\n")).otherwise(F.col(text))
 
 
 def line_hashes(text: str) -> Column:
@@ -76,31 +74,77 @@ def line_hashes(text: str) -> Column:
     return F.transform(F.filter(normal, lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).cast("long").alias("words")))
 
 
-def judge(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text", least_docs: int = 50, share: float = 0.02, keep_share: float = 0.3, keep_words: int = 10) -> DataFrame:
-    """The rows with the base rules' columns, n_removed_words, clean_text and kept.
+#: What the operator adds to a row.
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept")
+KEY = ("__id", "__host", "__text")
+#: Changed documents that are broadcast at most, after counting them; more are shuffled.
+BROADCAST_CHANGES = 100_000
 
-    A line above its host's limit is removed from clean_text, the text of what is kept; a document that keeps fewer than keep_words words or a
-    smaller part of them than keep_share is rejected. A null host is a host of its own; repeated rows
-    are judged alike; an empty table gives an empty one; columns of other names pass through, those of the
-    results' names are replaced.
+
+def keyed(docs: DataFrame, doc_id: str, host: str, text: str) -> DataFrame:
+    """The rows with KEY: id, host and hash of the text."""
+    return docs.withColumns({"__id": F.col(doc_id), "__host": F.col(host), "__text": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+
+
+def verdicts(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text", count: str = "documents", most_docs: int = 50, percent: int = 10, least_docs: int = 5, keep_share: float = 0.3, keep_words: int = 10) -> DataFrame:
+    """A row for each row: KEY, RESULTS, and __over, the hashes of its lines above their host's limit (null without any).
+
+    The texts are read once; numbers and the hashes of lines are written and read again. A line counts once for each of a host's "documents" (its ids; a row without one counts
+    by its text) or of its "texts", where exact copies are one. A document that keeps fewer than keep_words words or a smaller part of them than keep_share is rejected. Null text
+    is empty, a null host is a host of its own, repeated rows are judged alike, an empty table gives an empty one; a long text is handled inside its row.
     """
-    docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "clean_text", "kept")
-    key = [F.col(doc_id).alias("__id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__text")]
-    limits = line_frequency(docs, host, text, least_docs, share)
-    own = F.array(F.struct(F.lit(None).cast("long").alias("line"), F.lit(0).cast("long").alias("words")))
-    lines = docs.select(*key, F.col(host).alias("__host"), F.explode(F.concat(own, line_hashes(text))).alias("l")).select("__id", "__text", "__host", "l.*")
-    hit = lines.join(limits.withColumnRenamed("line", "__line"), (F.col("line") == F.col("__line")) & F.col("__host").eqNullSafe(F.col("host")), "left")
-    removed = hit.groupBy("__id", "__text").agg(F.sum(F.when(F.col("__line").isNotNull(), F.col("words")).otherwise(0)).alias("__gone"), F.collect_set("__line").alias("__over"), F.count(F.when(F.col("line").isNull(), 1)).alias("__rows"))
-    removed = removed.select(F.col("__id").alias("__i"), F.col("__text").alias("__t"), F.expr("__gone div __rows").alias("n_removed_words"), "__over")
-    base = base_rules(docs, text).withColumn("__text", key[1])
-    out = base.join(removed, F.col(doc_id).eqNullSafe(F.col("__i")) & (F.col("__text") == F.col("__t")), "left").withColumn("clean_text", without_lines(text, "__over")).drop("__i", "__t", "__text", "__over")
+    cut = Cut(docs.sparkSession)
+    rows = keyed(docs, doc_id, host, text).select(*KEY, F.col(text).alias("__body"), line_hashes(text).alias("__hashes"))
+    rows = cut.table(base_rules(rows, "__body").drop("__body"))
+    by_text = F.lit(count == "texts") | F.col("__id").isNull()
+    unit = F.struct(F.when(~by_text, F.col("__id")).alias("id"), F.when(by_text, F.col("__text")).alias("text")).alias("unit")
+    owner = F.col("__host").alias("host")
+    above = lines_above(rows.select(owner, unit, F.explode("__hashes.line").alias("line")), rows.select(owner, unit), most_docs, percent, least_docs)
+    above = cut.table(above.select(F.struct("host", "line").alias("__key")))
+    lines = rows.select(*KEY, F.explode(F.array_distinct("__hashes.line")).alias("line")).withColumn("__key", F.struct(owner, "line"))
+    over = join_counted(lines, above, "__key").groupBy(*KEY).agg(F.collect_set("line").alias("__over"))
+    out = rows.join(over.select(*[F.col(c).alias(f"{c}_") for c in KEY], "__over"), same_key(), "left").drop(*[f"{c}_" for c in KEY])
+    gone = F.aggregate(F.filter("__hashes", lambda x: F.array_contains("__over", x["line"])), F.lit(0).cast("long"), lambda a, x: a + x["words"])
+    out = out.withColumn("n_removed_words", F.coalesce(gone, F.lit(0).cast("long")))
     left = F.col("n_words") - F.col("n_removed_words")
-    # one expression of both sides: a filter on it is not split and pushed below the join, where its parts would be computed anew
-    return out.withColumn("kept", F.when(F.col("base_failed"), False).otherwise((left >= keep_words) & (left >= F.lit(keep_share) * F.col("n_words"))))
+    kept = F.when(F.col("base_failed"), False).otherwise((left >= keep_words) & (left >= F.lit(keep_share) * F.col("n_words")))
+    return out.withColumn("kept", kept).select(*KEY, *RESULTS, "__over")
+
+
+def same_key() -> Column:
+    return F.col("__id").eqNullSafe(F.col("__id_")) & F.col("__host").eqNullSafe(F.col("__host_")) & (F.col("__text") == F.col("__text_"))
+
+
+def once(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row for each KEY, whose columns get names of their own."""
+    return rows.dropDuplicates([*KEY]).select(*[F.col(c).alias(f"{c}_") for c in KEY], *columns)
+
+
+def judge(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text", **limits) -> DataFrame:
+    """The rows with RESULTS and clean_text, the text without the lines above their host's limit; limits as in verdicts(), which also says what nulls, repeats and empty tables give.
+
+    Other columns pass through, those of the results' names are replaced.
+    """
+    docs = docs.drop(*RESULTS, "clean_text")
+    found = once(verdicts(docs, doc_id, host, text, **limits), *RESULTS, "__over")
+    out = keyed(docs, doc_id, host, text).join(found, same_key(), "left").withColumn("clean_text", without_lines(text, "__over"))
+    return out.select(*docs.columns, *RESULTS, "clean_text")
+
+
+def clean(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text", **limits) -> DataFrame:
+    """The rows that verdicts() keeps, their texts without the lines above their host's limit; all other columns, whatever their names, are as they were.
+
+    Only what is rejected or changed is joined with the texts, which are not shuffled while that is little.
+    """
+    found = verdicts(docs, doc_id, host, text, **limits).where("not kept or __over is not null")
+    changed = Cut(docs.sparkSession).table(once(found, F.col("kept").alias("__kept"), "__over"))
+    few = changed.limit(BROADCAST_CHANGES + 1).count() <= BROADCAST_CHANGES
+    out = keyed(docs, doc_id, host, text).join(F.broadcast(changed) if few else changed, same_key(), "left").where(F.coalesce("__kept", F.lit(True)))
+    return out.withColumn(text, without_lines(text, "__over")).select(*docs.columns)
 
 
 QUALITY_SQL = r"""
-with d as (select doc_id, source, coalesce(text, '') as text from documents),
+with d as (select doc_id, source, coalesce(text, '') as text, coalesce('id ' || doc_id, 'text ' || md5(coalesce(text, ''))) as unit from documents),
 w as (select doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws,
              list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
 g as (select doc_id, unnest(range(0, len(ws) - 4)) as i, ws from w where len(ws) >= 5),
@@ -112,9 +156,9 @@ b as (select w.doc_id, source, text, cast(len(ws) as bigint) as n_words,
              cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines,
              cast(coalesce(r.n_repeat_words, 0) as bigint) as n_repeat_words
       from w left join r on r.doc_id = w.doc_id),
-l as (select doc_id, source, text, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g'), ' ')), lambda x: x <> '')) as line from d),
+l as (select doc_id, source, unit, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g'), ' ')), lambda x: x <> '')) as line from d),
 f as (select source, line from l group by source, line
-      having count(distinct text) > 50 and count(distinct text) > 0.02 * (select count(distinct text) from d where d.source is not distinct from l.source)),
+      having count(distinct unit) > 5 and (count(distinct unit) > 50 or 100 * count(distinct unit) > 10 * (select count(distinct unit) from d where d.source is not distinct from l.source))),
 x as (select l.doc_id, sum(len(string_split(l.line, ' '))) as gone from l join f on f.line = l.line and f.source is not distinct from l.source group by l.doc_id),
 k as (select b.*, n_words - coalesce(gone, 0) as left_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from b left join x on x.doc_id = b.doc_id)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -53,7 +53,8 @@ def op8_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(documents(spark, sf_dir, "doc_id", "source", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    found = quality.verdicts(documents(spark, sf_dir, "doc_id", "source", "text"))
+    return found.select(F.col("__id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op10_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
