@@ -5,46 +5,85 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import draw, hazen, mcnemar, nearest_rank, wilson
+from ..functions.columns import draw, mcnemar, wilson
 from ..plans.config import Eval
+from .signals import admissible_starts
 
 INF = float("inf")
 REQUIRED = ("is_in_db", "correct", "accepted", "norm_score", "margin", "t_match", "warmup")
 
 
-def manifest(spark: SparkSession, songs: DataFrame, cfg: Eval, seed: int, fs: int, noise: DataFrame) -> DataFrame:
+def manifest(spark: SparkSession, songs: DataFrame, cfg: Eval, seed: int, fs: int, noise: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """One row per synthetic query: songs x lengths x repetitions x (clean and noises x finite SNRs), holdout songs too.
 
     songs has (song_id, repertoire, role, split, n_samples), noise (noise_type, n_samples). An excerpt's start depends on song, length and
-    repetition only, a noise start on these and the noise, so conditions differ in nothing else. query_id is positional.
+    repetition only, a noise start on these and the noise, so conditions differ in nothing else. query_id is positional: only songs are ranked, the rest is arithmetic.
+    starts (song_id, length_sec, rep, start_sample), as from excerpt_starts(), takes the place of the ungated draw.
     """
-    lengths = spark.createDataFrame([(float(x),) for x in cfg.lengths_sec], "length_sec double")
-    reps = spark.range(1, cfg.reps_per_song + 1).select(F.col("id").cast("int").alias("rep"))
-    finite = [(float(s),) for s in cfg.snr_db if s != INF]
-    noisy = noise.where(F.col("noise_type").isin(*cfg.noise_types)).select("noise_type", F.col("n_samples").alias("noise_samples")).crossJoin(spark.createDataFrame(finite, "snr_db double"))
-    clean = spark.createDataFrame([("none", 0, INF)], "noise_type string, noise_samples long, snr_db double")
-    conditions = (clean.unionByName(noisy) if INF in cfg.snr_db else noisy)
-    grid = songs.crossJoin(F.broadcast(lengths)).crossJoin(F.broadcast(reps)).crossJoin(F.broadcast(conditions))
+    every, first = Window.partitionBy(F.lit(1)), Window.partitionBy(F.lit(1)).orderBy
+    shapes = spark.createDataFrame([(float(x), r) for x in cfg.lengths_sec for r in range(1, cfg.reps_per_song + 1)], "length_sec double, rep int")
+    shapes = shapes.withColumn("__shape", F.row_number().over(first("length_sec", "rep")) - 1).withColumn("__shapes", F.count("*").over(every))
+    finite = sorted((float(s) for s in cfg.snr_db if s != INF), reverse=True)
+    noisy = noise.where(F.col("noise_type").isin(*cfg.noise_types)).select("noise_type", F.col("n_samples").alias("noise_samples"), F.array(*map(F.lit, finite)).cast("array<double>").alias("__snrs"))
+    clean = spark.createDataFrame([("none", 0, [INF])], "noise_type string, noise_samples long, __snrs array<double>")
+    kinds = clean.unionByName(noisy) if INF in cfg.snr_db else noisy
+    order = first(F.col("noise_type") != "none", "noise_type")
+    kinds = kinds.withColumn("__before", F.sum(F.size("__snrs")).over(order) - F.size("__snrs")).withColumn("__kinds", F.sum(F.size("__snrs")).over(every))
+    # starts are drawn where they first differ: once for each excerpt, then once for each kind of noise
+    rows = songs.withColumn("__song", F.row_number().over(Window.orderBy("song_id")) - 1).repartition("song_id").crossJoin(F.broadcast(shapes))
     base = [F.lit(str(seed)), F.col("song_id").cast("string"), F.col("length_sec").cast("int").cast("string"), F.col("rep").cast("string")]
     need = F.round(F.col("length_sec") * fs).cast("long")
     start = F.floor(draw(*base, F.lit("excerpt")) * F.greatest(F.col("n_samples") - need + 1, F.lit(1))).cast("long") + 1
+    rows = rows.withColumn("start_sample", start) if starts is None else rows.join(starts.select("song_id", "length_sec", "rep", "start_sample"), ["song_id", "length_sec", "rep"])
+    rows = rows.crossJoin(F.broadcast(kinds))
     noise_start = F.when(F.col("noise_type") == "none", F.lit(0)).otherwise(F.floor(draw(*base, F.col("noise_type")) * F.greatest(F.col("noise_samples") - need + 1, F.lit(1))) + 1).cast("long")
-    rows = grid.withColumn("start_sample", start).withColumn("noise_start", noise_start)
-    order = Window.orderBy("song_id", "length_sec", "rep", (F.col("noise_type") != "none"), "noise_type", F.col("snr_db").desc())
-    rows = rows.withColumn("query_id", F.row_number().over(order).cast("long"))
+    rows = rows.withColumn("noise_start", noise_start).select("*", F.posexplode("__snrs").alias("__snr", "snr_db"))
+    rows = rows.withColumn("query_id", (F.col("__song").cast("long") * F.col("__shapes") + F.col("__shape")) * F.col("__kinds") + F.col("__before") + F.col("__snr") + 1)
     rows = rows.withColumn("seed", F.floor(draw(*base, F.col("noise_type"), F.col("snr_db").cast("string")) * F.lit(float(1 << 31))).cast("long"))
     return rows.select("query_id", "song_id", "repertoire", "role", "split", "length_sec", "start_sample", "rep", "noise_type", "noise_start", "snr_db", "seed")
 
 
-def manifest_invariants(rows: DataFrame) -> DataFrame:
-    """(check, violations) of the properties that make conditions comparable; all are 0 in a sound manifest."""
+def excerpt_starts(samples: DataFrame, lengths: DataFrame, reps: int, gate: float, frame: int, seed: int) -> DataFrame:
+    """(song_id, length_sec, rep, start_sample, mode) drawn from the song's admissible starts, evenly and by seed.
+
+    samples has (clip, i, x) with i from 0, lengths (length_sec, need). A song shorter than the excerpt starts at 1 (short); one whose median frame
+    energy is zero or that has no admissible start is drawn from all its starts (silent, ungated); else the draw is gated.
+    """
+    sizes = samples.groupBy("clip").agg(F.count("*").alias("n"))
+    found = None
+    for r in lengths.collect():  # a handful of excerpt lengths, given by the configuration
+        # admissible starts are numbered by time, so that the draw picks the k-th of them
+        own = admissible_starts(samples, r["need"], frame, gate).withColumn("k", F.row_number().over(Window.partitionBy("clip").orderBy("i")))
+        own = own.withColumn("m", F.count("*").over(Window.partitionBy("clip"))).select("clip", F.lit(r["length_sec"]).alias("length_sec"), F.lit(r["need"]).alias("need"), "i", "k", "m")
+        found = own if found is None else found.unionByName(own)
+    energy = samples.groupBy("clip", F.floor(F.col("i") / frame).alias("k")).agg(F.sum(F.col("x") * F.col("x")).alias("e"), F.count("*").alias("c")).where(F.col("c") == frame)
+    silent = energy.groupBy("clip").agg((F.percentile("e", 0.5) <= 0).alias("silent"))
+    gated = found.select("clip", "length_sec", "m").distinct()
+    asked = sizes.crossJoin(F.broadcast(lengths)).join(samples.sparkSession.range(1, reps + 1).select(F.col("id").cast("int").alias("rep")), F.lit(True))
+    asked = asked.join(silent, "clip", "left").join(gated, ["clip", "length_sec"], "left")
+    mode = F.when(F.col("n") <= F.col("need"), "short").when(F.coalesce("silent", F.lit(True)), "silent").when(F.col("m").isNull(), "ungated").otherwise("gated")
+    u = draw(F.lit(str(seed)), F.col("clip").cast("string"), F.col("length_sec").cast("int").cast("string"), F.col("rep").cast("string"), F.lit("excerpt"))
+    asked = asked.withColumn("mode", mode).withColumn("k", (F.floor(u * F.when(F.col("mode") == "gated", F.col("m")).otherwise(F.greatest(F.col("n") - F.col("need") + 1, F.lit(1)))) + 1).cast("long"))
+    out = asked.join(found.select("clip", "length_sec", "k", "i"), ["clip", "length_sec", "k"], "left")
+    start = F.when(F.col("mode") == "short", F.lit(1)).when(F.col("mode") == "gated", F.col("i") + 1).otherwise(F.col("k")).cast("long")
+    return out.select(F.col("clip").alias("song_id"), "length_sec", "rep", start.alias("start_sample"), "mode")
+
+
+def manifest_invariants(rows: DataFrame, songs: DataFrame, noise: DataFrame, again: DataFrame, fs: int) -> DataFrame:
+    """(check, violations) of the properties that make conditions comparable; all are 0 in a sound manifest. again is the manifest built anew."""
     several = lambda keys, c: rows.groupBy(*keys).agg(F.count_distinct(c).alias("n")).where("n > 1").agg(F.count("*").alias("violations"))
+    number = lambda df: df.agg(F.count("*").alias("violations"))
+    need = F.round(F.col("length_sec") * fs)
     checks = {
         "excerpt_shared": several(["song_id", "length_sec", "rep"], "start_sample"),
         "noise_shared": several(["song_id", "length_sec", "rep", "noise_type"], "noise_start"),
         "split_by_song": several(["song_id"], "split"),
         "unique_id": several(["query_id"], F.struct("song_id", "length_sec", "rep", "noise_type", "snr_db")),
-        "clean_without_noise": rows.where("noise_type = 'none' and noise_start <> 0").agg(F.count("*").alias("violations")),
+        "clean_without_noise": number(rows.where("noise_type = 'none' and noise_start <> 0")),
+        "holdout_queried": number(songs.where("role = 'holdout'").join(rows.select("song_id").distinct(), "song_id", "left_anti")),
+        "excerpt_inside": number(rows.join(songs.select("song_id", "n_samples"), "song_id").where((F.col("start_sample") < 1) | (F.col("start_sample") - 1 + need > F.greatest("n_samples", need)))),
+        "noise_known": number(rows.where("noise_type <> 'none'").join(noise.select("noise_type"), "noise_type", "left_anti")),
+        "regenerated": number(rows.exceptAll(again.select(*rows.columns))),
     }
     out = None
     for name, df in checks.items():
@@ -53,6 +92,34 @@ def manifest_invariants(rows: DataFrame) -> DataFrame:
     return out
 
 
+#: Steps of a factor of two by which values are binned for exact quantiles.
+BIN_STEPS = 4096
+
+
+def quantiles(values: DataFrame, keys: list[str], wanted: list[tuple[str, str, float]]) -> DataFrame:
+    """(keys, name, q) of values (keys, v): exact quantiles, each (name, kind, p) either "nearest" (the ceil(p n)-th) or "hazen" (interpolated at p n + 1/2, clamped to the ends).
+
+    Values are counted in bins of their logarithms, which keep their order; only the bins that hold a wanted rank are sorted, so
+    that no group's values come together in one row or one sort. Null values are left out; groups without values give no row.
+    """
+    spark, v = values.sparkSession, F.col("v")
+    step = lambda x: F.floor(F.log2(x) * BIN_STEPS) + F.lit(1 << 24)
+    binned = values.where(v.isNotNull()).select(F.struct(*keys, F.lit(1).alias("__one")).alias("g"), "v", F.when(v > 0, step(v)).when(v < 0, -step(-v)).otherwise(F.lit(0)).cast("long").alias("bin"))
+    bins = binned.groupBy("g", "bin").agg(F.count("*").alias("c"))
+    bins = bins.withColumn("upto", F.sum("c").over(Window.partitionBy("g").orderBy("bin"))).withColumn("n", F.sum("c").over(Window.partitionBy("g")))
+    asked = bins.select("g", "n").distinct().crossJoin(F.broadcast(spark.createDataFrame(wanted, "name string, kind string, p double")))
+    at = F.when(F.col("kind") == "nearest", F.greatest(F.lit(1.0), F.ceil(F.col("n") * F.col("p")).cast("double"))).otherwise(F.least(F.greatest(F.col("n") * F.col("p") + 0.5, F.lit(1.0)), F.col("n").cast("double")))
+    asked = asked.withColumn("at", at).withColumn("lo", F.floor("at").cast("long")).withColumn("hi", F.when(F.col("kind") == "nearest", F.col("lo")).otherwise(F.least(F.col("lo") + 1, F.col("n"))))
+    ranks = asked.select("g", F.explode(F.array("lo", "hi")).alias("rank")).distinct()
+    places = ranks.join(bins, "g").where((F.col("rank") > F.col("upto") - F.col("c")) & (F.col("rank") <= F.col("upto")))
+    places = places.groupBy("g", "bin").agg(F.max(F.col("upto") - F.col("c")).alias("before"), F.collect_set("rank").alias("ranks"))
+    found = binned.join(places, ["g", "bin"]).withColumn("k", F.row_number().over(Window.partitionBy("g", "bin").orderBy("v")) + F.col("before"))
+    found = found.where(F.array_contains("ranks", F.col("k"))).select("g", "k", "v")
+    low, high = (found.select(F.col("g").alias(f"g_{x}"), F.col("k").alias(f"k_{x}"), F.col("v").alias(x)) for x in ("a", "b"))
+    out = asked.join(low, (F.col("g") == F.col("g_a")) & (F.col("lo") == F.col("k_a"))).join(high, (F.col("g") == F.col("g_b")) & (F.col("hi") == F.col("k_b")))
+    return out.select(*[F.col(f"g.{k}").alias(k) for k in keys], "name", (F.col("a") + (F.col("at") - F.col("lo")) * (F.col("b") - F.col("a"))).alias("q"))
+
+
 def metrics(results: DataFrame, keys: list[str]) -> DataFrame:
     """Rates by group, each on its own denominator with its Wilson interval, margins and times.
 
@@ -68,13 +135,16 @@ def metrics(results: DataFrame, keys: list[str]) -> DataFrame:
     g = results.groupBy(*keys).agg(
         F.count("*").alias("n"), count(known).alias("n_in_db"), count(~known).alias("n_holdout"), count(said).alias("n_accepted"),
         count(known & hit).alias("n_correct"), count(known & hit & said).alias("n_true_accept"), count(~known & said).alias("n_false_accept"),
-        F.sort_array(F.collect_list(F.when(known, F.col("margin")))).alias("ms"), F.sort_array(F.collect_list(timed)).alias("ts"), F.median(F.when(known, F.col("norm_score"))).alias("med_norm_score"),
+        F.min(F.when(known, F.col("margin"))).alias("margin_min"),
     )
+    measures = results.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("m"), x.cast("double").alias("v")) for m, x in (("margin", F.when(known, F.col("margin"))), ("time", timed), ("score", F.when(known, F.col("norm_score"))))])).alias("x")).select(*keys, "x.m", "x.v")
+    names = {"margin_median": ("margin", "median"), "margin_p05": ("margin", "p05"), "time_median": ("time", "median"), "time_p95": ("time", "p95"), "med_norm_score": ("score", "median")}
+    found = quantiles(measures, [*keys, "m"], [("median", "hazen", 0.5), ("p05", "nearest", 0.05), ("p95", "hazen", 0.95)])
+    found = found.groupBy(F.struct(*keys, F.lit(1).alias("__one")).alias("__k")).agg(*[F.max(F.when((F.col("m") == m) & (F.col("name") == q), F.col("q"))).alias(c) for c, (m, q) in names.items()])
     for name, k, n in (("accuracy", "n_correct", "n_in_db"), ("operational", "n_true_accept", "n_in_db"), ("precision", "n_true_accept", "n_accepted"), ("recall", "n_true_accept", "n_in_db"), ("far", "n_false_accept", "n_holdout")):
         w = wilson(F.col(k), F.col(n))
         g = g.withColumns({name: w["p"], f"{name}_lo": w["lo"], f"{name}_hi": w["hi"]})
-    g = g.withColumns({"margin_median": hazen(F.col("ms"), 0.5), "margin_p05": nearest_rank(F.col("ms"), 0.05), "margin_min": F.array_min("ms"), "time_median": hazen(F.col("ts"), 0.5), "time_p95": hazen(F.col("ts"), 0.95)})
-    return g.drop("ms", "ts")
+    return g.withColumn("__g", F.struct(*keys, F.lit(1).alias("__one"))).join(found, F.col("__g") == F.col("__k"), "left").drop("__g", "__k")
 
 
 def paired(a: DataFrame, b: DataFrame, keys: list[str], content: list[str]) -> DataFrame:

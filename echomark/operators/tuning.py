@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import hazen
+from .evaluation import quantiles
 
 #: Margins that a sweep tries, and false-accept budgets of the summary table (fixed values).
 RHO_GRID = (1.0, 1.1, 1.25, 1.5, 1.75, 2.0, 2.5, 3.0, 4.0, 5.0, 7.0, 10.0)
@@ -29,9 +29,9 @@ def require_holdout(rows: DataFrame) -> DataFrame:
 
 def tau_grid(rows: DataFrame) -> DataFrame:
     """0 and TAUS quantiles of norm_score from 0 to 0.999, without repeats."""
-    xs = rows.agg(F.sort_array(F.collect_list("norm_score")).alias("xs"))
-    quantiles = F.transform(F.sequence(F.lit(0), F.lit(TAUS - 1)), lambda i: hazen(F.col("xs"), F.lit(0.999) * i / (TAUS - 1)))
-    return xs.select(F.explode(F.array_distinct(F.concat(F.array(F.lit(0.0)), quantiles))).alias("tau")).where("tau is not null")
+    wanted = [(str(i), "hazen", 0.999 * i / (TAUS - 1)) for i in range(TAUS)]
+    found = quantiles(rows.select(F.lit(1).alias("__all"), F.col("norm_score").cast("double").alias("v")), ["__all"], wanted)
+    return found.select(F.col("q").alias("tau")).unionByName(rows.sparkSession.range(1).select(F.lit(0.0).alias("tau"))).distinct()
 
 
 def sweep(spark: SparkSession, rows: DataFrame, taus: DataFrame | None = None, rhos=RHO_GRID) -> DataFrame:

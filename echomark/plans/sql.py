@@ -84,7 +84,7 @@ def hazen(x: str, p: str) -> str:
     return f"case when {n} > 0 then {x}[cast(floor({pos}) as int)] + ({pos} - floor({pos})) * ({x}[least(cast(floor({pos}) as int) + 1, {n})] - {x}[cast(floor({pos}) as int)]) end"
 
 
-MANIFEST = f"""songs as (select cast(c_custkey as int) as song_id, case when c_custkey % 2 = 0 then 'opm' else 'american' end as repertoire, case when c_custkey % 10 = 0 then 'holdout' else 'db' end as role, 240000 + c_custkey * 1000 as n_samples from customer where c_custkey < 40),
+MANIFEST = f"""songs as (select cast(c_custkey as int) as song_id, case when c_custkey % 2 = 0 then 'opm' else 'american' end as repertoire, case when c_custkey % 10 = 0 then 'holdout' else 'db' end as role, 240000 + c_custkey * 1000 as n_samples from customer),
 cond(noise_type, noise_samples, snr_db) as (select 'none', 0, null union all select n, 2400032, s from (values ('cafe'), ('traffic'), ('crowd')) a(n), (values (10.0), (5.0), (0.0), (-5.0), (-10.0), (-15.0), (-20.0), (-25.0)) b(s)),
 m0 as (select songs.*, l::double as length_sec, r as rep, cond.noise_type, noise_samples, cond.snr_db::double as snr_db, l * 8000 as need from songs, (values (3), (5), (10)) a(l), (values (1), (2)) b(r), cond),
 m as (select *, cast(floor({draw("'42'", "song_id::varchar", "cast(length_sec as int)::varchar", "rep::varchar", "'excerpt'")} * greatest(n_samples - need + 1, 1)) as bigint) + 1 as start_sample,
@@ -98,8 +98,9 @@ CATALOG = "cat as (select c_name as source_path, case when n_regionkey < 2 then
 PAIRED = f"{results(7919, 'ra')}, {results(104729, 'rb')}, pr as (select ra.length_sec, ra.snr_db, ra.correct as x, rb.correct as y from ra join rb using (query_id) where ra.is_in_db), pc as (select length_sec, snr_db, count(*) as n, avg(x::int) as acc_a, avg(y::int) as acc_b, count(*) filter (x and not y) as only_a, count(*) filter (y and not x) as only_b from pr group by all)"
 DIFF = "100 * ((only_b - only_a) / n::double)"
 TAIL = "(select least(1.0, 2 * sum(exp(lgamma(M + 1) - lgamma(i + 1) - lgamma(M - i + 1) - M * ln(2.0)))) from unnest(range(0, cast(least(B, C) as int) + 1)) u(i))"
+PVALUE = "case when only_a + only_b = 0 then 1.0 else " + TAIL.replace("M", "(only_a + only_b)").replace("B", "only_a").replace("C", "only_b") + " end"
 SWEEP = f"""{results(7919, 'r0')}, r as (select * from r0 where split = 'dev' and snr_db >= 0),
-taus(tau) as (values (0.0::double), (0.01), (0.02), (0.05), (0.1), (0.2), (0.3)), rhos(rho) as (values {', '.join(f'({x}::double)' for x in RHO_GRID)}),
+xs as (select list_sort(list(norm_score)) as xs from r), taus as (select distinct round(tau, 9) as tau from (select 0.0::double as tau union all select {hazen('xs', '(0.999::double * i / 119)')} from xs, unnest(range(0, 120)) u(i)) where tau is not null), rhos(rho) as (values {', '.join(f'({x}::double)' for x in RHO_GRID)}),
 s0 as (select tau, rho, count(*) filter (is_in_db and correct and norm_score >= tau and margin >= rho) as tp, count(*) filter (norm_score >= tau and margin >= rho) as n_accepted, count(*) filter (not is_in_db and norm_score >= tau and margin >= rho) as n_false_accept, count(*) filter (is_in_db) as ni, count(*) filter (not is_in_db) as nh from taus, rhos, r group by tau, rho),
 s1 as (select tau, rho, tp, n_accepted, n_false_accept, tp / nullif(n_accepted, 0)::double as precision, tp / nullif(ni, 0)::double as recall, n_false_accept / nullif(nh, 0)::double as far from s0),
 s as (select *, 2 * precision * recall / nullif(precision + recall, 0) as f1 from s1)"""
@@ -155,7 +156,13 @@ SQL = {
     "identify": f"with {QUERY}, {matched()} select query_id, n_hashes, pred1::bigint as pred1, score1::bigint as score1, best_delta, pred2::bigint as pred2, score2::bigint as score2, n_postings::bigint as n_postings, n_candidates, round(norm_score, 9) as norm_score, round(margin, 9) as margin, norm_score >= 0.02 and margin >= 1.5 as accepted from dec",
     "open_set": f"with {QUERY}, open as (select * from postings where song_id < 7), {matched('open')} select query_id, query_id < 7 as is_in_db, pred1::bigint as pred1, round(norm_score, 9) as norm_score, norm_score >= 0.02 and margin >= 1.5 as accepted from dec",
     "query_manifest": f"with {MANIFEST} select query_id, song_id, role, length_sec, rep, noise_type, start_sample, noise_start, snr_db from m",
-    "manifest_invariants": f"with {MANIFEST} select 'excerpt_shared' as check, count(*) as violations from (select 1 from m group by song_id, length_sec, rep having count(distinct start_sample) > 1) union all select 'noise_shared', count(*) from (select 1 from m group by song_id, length_sec, rep, noise_type having count(distinct noise_start) > 1) union all select 'split_by_song', 0 union all select 'unique_id', count(*) from (select 1 from m group by query_id having count(*) > 1) union all select 'clean_without_noise', count(*) from m where noise_type = 'none' and noise_start <> 0",
+    "manifest_invariants": f"with {MANIFEST} select 'excerpt_shared' as check, count(*) as violations from (select 1 from m group by song_id, length_sec, rep having count(distinct start_sample) > 1) union all select 'noise_shared', count(*) from (select 1 from m group by song_id, length_sec, rep, noise_type having count(distinct noise_start) > 1) union all select 'split_by_song', 0 union all select 'unique_id', count(*) from (select 1 from m group by query_id having count(*) > 1) union all select 'clean_without_noise', count(*) from m where noise_type = 'none' and noise_start <> 0 union all select 'holdout_queried', count(*) from songs where role = 'holdout' and song_id not in (select song_id from m) union all select 'excerpt_inside', count(*) from m where start_sample < 1 or start_sample - 1 + need > greatest(n_samples, need) union all select 'noise_known', count(*) from m where noise_type not in ('none', 'cafe', 'traffic', 'crowd') union all select 'regenerated', 0",
+    "excerpt_starts": f"""with {SIGNAL}, s as (select clip, i, case when clip % 50 = 7 then 0 else x end as x from sig), size as (select clip, count(*) as n from s group by clip), lengths(length_sec, need) as (values (3.0::double, 24), (5.0, 40), (10.0, 80)),
+      run as (select clip, i, coalesce(sum(x * x) over (partition by clip order by i rows between unbounded preceding and 1 preceding), 0) as c from s), md as (select clip, median(e) as md from (select clip, i // 8 as k, sum(x * x) as e, count(*) as n from s group by 1, 2) where n = 8 group by clip),
+      ok as (select clip, length_sec, i, row_number() over (partition by clip, length_sec order by i) as k, count(*) over (partition by clip, length_sec) as m from (select s.clip, length_sec, need, s.i, (select sum(z.x * z.x) from s z where z.clip = s.clip and z.i between s.i and s.i + need - 1) as total from s join size using (clip) join lengths on s.i + need <= n) join md using (clip) where total * 8 / need >= 0.9::double * md),
+      a as (select size.clip, length_sec, need, r as rep, n, m, case when n <= need then 'short' when coalesce(md <= 0, true) then 'silent' when m is null then 'ungated' else 'gated' end as mode from size join lengths on true join (values (1), (2)) b(r) on true left join md using (clip) left join (select distinct clip, length_sec, m from ok) using (clip, length_sec)),
+      u as (select *, cast(floor({draw("'42'", "clip::varchar", "cast(length_sec as int)::varchar", "rep::varchar", "'excerpt'")} * case when mode = 'gated' then m else greatest(n - need + 1, 1) end) as bigint) + 1 as k from a)
+      select u.clip as song_id, u.length_sec, rep, case when mode = 'short' then 1 when mode = 'gated' then i + 1 else u.k end as start_sample, mode from u left join ok on ok.clip = u.clip and ok.length_sec = u.length_sec and ok.k = u.k""",
     "demo_rows": f"with {MANIFEST} select min(query_id) as query_id, repertoire, length_sec, noise_type from m group by repertoire, length_sec, noise_type order by 1 limit 30",
     "subset_by_song": f"with {MANIFEST} select query_id, song_id from m where song_id in (select song_id from songs order by md5('42|' || song_id) limit 5)",
     "metrics": f"""with {results(7919, 'r')}, g as (select length_sec, case when snr_db < 'inf'::double then snr_db end as snr, count(*) as n, count(*) filter (is_in_db) as n_in_db, count(*) filter (not is_in_db) as n_holdout, count(*) filter (accepted) as n_accepted, count(*) filter (is_in_db and correct) as n_correct,
@@ -163,7 +170,7 @@ SQL = {
       select length_sec, snr, n, n_in_db, n_holdout, n_accepted, n_correct, n_true_accept, n_false_accept, round(mns, 9) as med_norm_score, {rate('accuracy', 'n_correct', 'n_in_db')}, {rate('operational', 'n_true_accept', 'n_in_db')}, {rate('precision', 'n_true_accept', 'n_accepted')}, {rate('recall', 'n_true_accept', 'n_in_db')}, {rate('far', 'n_false_accept', 'n_holdout')},
       round({hazen('ms', '0.5')}, 9) as margin_median, round(ms[greatest(1, cast(ceil(len(ms) * 0.05) as int))], 9) as margin_p05, round(list_min(ms), 9) as margin_min, round({hazen('ts', '0.5')}, 9) as time_median, round({hazen('ts', '0.95')}, 9) as time_p95 from g""",
     "wilson": f"with g as (select o_orderpriority, count(*) as n, count(*) filter (o_orderstatus = 'F') as k from orders group by 1) select o_orderpriority, k, n, {wilson('k', 'n', 'p')} as p, {wilson('k', 'n', 'lo')} as lo, {wilson('k', 'n', 'hi')} as hi from g",
-    "paired_comparison": f"with {PAIRED} select length_sec, case when snr_db < 'inf'::double then snr_db end as snr_db, n, round(acc_a, 9) as acc_a, round(acc_b, 9) as acc_b, only_a, only_b, round({DIFF}, 9) as diff_pp, round({DIFF} - 100 * 1.959963984540054 * sqrt(only_a + only_b) / n, 9) as diff_lo_pp, round({DIFF} + 100 * 1.959963984540054 * sqrt(only_a + only_b) / n, 9) as diff_hi_pp from pc",
+    "paired_comparison": f"with {PAIRED} select length_sec, case when snr_db < 'inf'::double then snr_db end as snr_db, n, round(acc_a, 9) as acc_a, round(acc_b, 9) as acc_b, only_a, only_b, round({DIFF}, 9) as diff_pp, round({DIFF} - 100 * 1.959963984540054 * sqrt(only_a + only_b) / n, 9) as diff_lo_pp, round({DIFF} + 100 * 1.959963984540054 * sqrt(only_a + only_b) / n, 9) as diff_hi_pp, round({PVALUE}, 9) as p, round(case when only_a > 0 then only_b / only_a::double end, 9) as odds, {PVALUE} < 0.05 as significant from pc",
     "mcnemar": f"with d as (select distinct cast(p_size % 13 as bigint) as b, p_partkey % 11 as c from part), e as (select b, c, b + c + 100 as n from d) select b, c, n, round(case when b + c = 0 then 1.0 else {TAIL.replace('M', '(b + c)').replace('B', 'b').replace('C', 'c')} end, 9) as p, round((c - b) / n::double, 9) as diff, round((c - b) / n::double - 1.959963984540054 * sqrt(b + c) / n, 9) as lo, round((c - b) / n::double + 1.959963984540054 * sqrt(b + c) / n, 9) as hi from e",
     "verdicts": f"with {PAIRED}, v as (select {DIFF} as d, case when only_a + only_b = 0 then 1.0 else {TAIL.replace('M', '(only_a + only_b)').replace('B', 'only_a').replace('C', 'only_b')} end as p from pc) select count(*) filter (p < 0.05 and d > 0) as gains, count(*) filter (p < 0.05 and d < 0) as losses, round(max(d), 9) as best, round(min(d), 9) as worst, count(*) filter (abs(d) >= 10) as large from v",
     "headroom": f"with {results(7919, 'r')}, h as (select case when snr_db < 'inf'::double then snr_db end as snr_db, round(100 - 100 * avg(correct::int) filter (length_sec = 3), 6) as len3, round(100 - 100 * avg(correct::int) filter (length_sec = 5), 6) as len5, round(100 - 100 * avg(correct::int) filter (length_sec = 10), 6) as len10 from r where is_in_db group by 1) select *, coalesce(greatest(len3, len5, len10) >= 10, false) as usable from h",
@@ -180,7 +187,7 @@ SQL = {
     "composition": f"with {CATALOG} select repertoire, role, split, grouping_id(repertoire, role, split) as level, count(*) as n from cat group by grouping sets ((repertoire, role, split), (repertoire), ())",
     "merge_prior": "with scan as (select c_name as source_path from customer where c_custkey % 4 <> 0), prior as (select c_name as source_path, c_custkey as song_id, case when c_custkey % 2 = 0 then '' else c_mktsegment end as title, c_custkey % 5 * 400 as year from customer where c_custkey % 3 <> 0) select source_path, coalesce(nullif(title, ''), 'untitled') as title, case when song_id is null then 'unknown' else 'band' end as artist, coalesce(nullif(year, 0), 0) as year, song_id, case when song_id is not null then 'dev' end as split from scan left join prior using (source_path)",
     "retired": "select c_name as source_path, c_custkey as song_id from customer where c_custkey % 3 <> 0 and c_custkey % 4 = 0",
-    "work_list": "select event_id::varchar as source_path from events where event_id < 1000 and not (event_id % 3 <> 0 and event_id % 4 > 0 and event_id % 5 - 3 >= -1)",
+    "work_list": "select event_id::varchar as source_path from events where not (event_id % 3 <> 0 and event_id % 4 > 0 and event_id % 5 - 3 >= -1)",
     "filename_parse": r"""with n as (select p_partkey, (p_partkey % 30) || (case p_partkey % 3 when 0 then '. ' when 1 then ' - ' else ' ' end) || p_brand || (case when p_size % 2 = 0 then ' - ' else ' ' end) || p_name || (case when p_size % 5 = 0 then ' (1987)' else '' end) as s from part),
       a as (select p_partkey, regexp_replace(s, '^\s*\d{1,3}\s*[.\-_)]+\s*', '') as s from n), y as (select p_partkey, regexp_extract(s, '[(\[]((?:19|20)\d{2})[)\]]', 1) as y, trim(regexp_replace(s, '\s*[(\[](?:19|20)\d{2}[)\]]\s*', ' ', 'g'), ' ') as r from a)
       select p_partkey, case when strpos(r, ' - ') > 0 then coalesce(nullif(trim(substr(r, 1, strpos(r, ' - ') - 1)), ''), 'unknown') else 'unknown' end as artist, coalesce(nullif(case when strpos(r, ' - ') > 0 then trim(substr(r, strpos(r, ' - ') + 3)) else r end, ''), 'untitled') as title, coalesce(try_cast(nullif(y, '') as int), 0) as year from y""",
@@ -192,7 +199,7 @@ SQL = {
     "preemphasis": f"with {SIGNAL} select clip, i, round(x - 0.97 * coalesce(lag(x) over (partition by clip order by i), 0), 6) as x from sig",
     "rms_normalize": f"with {SIGNAL}, r as (select *, sqrt(avg(x * x) over (partition by clip)) as rms from sig) select clip, i, round(x * case when rms > 0 then 0.1 / rms else 1 end, 6) as x, round(20 * log10(case when rms > 0 then 0.1 / rms else 1 end), 6) as gain_db from r",
     "frame_energy": f"with {FRAMES} select clip, t, round(sum(x * x), 4) as energy from fr group by clip, t",
-    "dft_bins": f"with {FRAMES} select clip, t, k2 + 1 as f, round(sqrt(pow(sum(w * x * cos(2 * pi() * k2 * j / 16)), 2) + pow(sum(w * x * sin(2 * pi() * k2 * j / 16)), 2)), 5) as mag from (select *, 0.54 - 0.46 * cos(2 * pi() * j / 15) as w from fr where clip < 40), unnest(range(0, 9)) u(k2) group by clip, t, k2",
+    "dft_bins": f"with {FRAMES} select clip, t, k2 + 1 as f, round(sqrt(pow(sum(w * x * cos(2 * pi() * k2 * j / 16)), 2) + pow(sum(w * x * sin(2 * pi() * k2 * j / 16)), 2)), 5) as mag from (select *, 0.54 - 0.46 * cos(2 * pi() * j / 15) as w from fr), unnest(range(0, 9)) u(k2) group by clip, t, k2",
     "noise_spectrum": f"with {CELLS}, {NOISE} select clip, f, round(noise, 6) as noise from noise",
     "spectral_subtract": f"with {CELLS}, {NOISE} select clip, t, f, round(greatest(mag - 2.0::double * noise, 0.02::double * mag), 6) as mag from cells join noise using (clip, f)",
     "snr_mix": f"""with {SIGNAL}, nz as (select i as k, x / 500 - 0.1::double as v from sig where clip = 0), a as (select sig.clip, i, x / 1000 as x, case clip % 3 when 0 then 10.0 when 1 then 0.0 else -5.0 end::double as snr, v from sig join nz on k = i % (select count(*) from nz)),

@@ -24,14 +24,17 @@ def synthesize(manifest: DataFrame, songs: DataFrame, noise: DataFrame, fs: int)
     """(clip, samples, fs, snr_measured) of every manifest row: the excerpt of its song, mixed with its noise at its SNR.
 
     songs has (song_id, samples), noise (noise_type, samples). Excerpts are sliced where the songs are joined, so whole songs do not travel
-    with each query; a start outside the song is an error.
+    with each query; a start outside the song is an error, and noise past its bank's end goes on at the bank's start.
     """
     need = F.round(F.col("length_sec") * fs).cast("int")
     rows = manifest.join(songs.select("song_id", F.col("samples").alias("song")), "song_id")
     fits = (F.col("start_sample") >= 1) & (F.col("start_sample") - 1 + need <= F.size("song"))
     rows = rows.withColumn("x", F.when(fits, F.slice("song", F.col("start_sample").cast("int"), need)).otherwise(F.raise_error(F.lit("the excerpt leaves the song")).cast("array<double>")))
     own = noise.select("noise_type", F.col("samples").alias("bank"))
-    rows = rows.join(own, "noise_type", "left").withColumn("v", F.slice(F.concat("bank", "bank"), F.greatest(F.col("noise_start"), F.lit(1)).cast("int"), need))
+    rows = rows.join(own, "noise_type", "left")
+    # samples past the end of the bank go on at its start, as often as it takes
+    at = lambda k: F.pmod(F.greatest(F.col("noise_start"), F.lit(1)) - 1 + k, F.size("bank")).cast("int")
+    rows = rows.withColumn("v", F.transform(F.sequence(F.lit(0), need - 1), lambda k: F.get("bank", at(k))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
