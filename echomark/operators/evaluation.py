@@ -103,7 +103,7 @@ def quantiles(values: DataFrame, keys: list[str], wanted: list[tuple[str, str, f
     that no group's values come together in one row or one sort. Null values are left out; groups without values give no row.
     """
     spark, v = values.sparkSession, F.col("v")
-    step = lambda x: F.floor(F.log2(x) * BIN_STEPS) + F.lit(1 << 24)
+    step = lambda x: F.floor(F.least(F.log2(x) * BIN_STEPS, F.lit(1e8))) + F.lit(1 << 24)
     binned = values.where(v.isNotNull()).select(F.struct(*keys, F.lit(1).alias("__one")).alias("g"), "v", F.when(v > 0, step(v)).when(v < 0, -step(-v)).otherwise(F.lit(0)).cast("long").alias("bin"))
     bins = binned.groupBy("g", "bin").agg(F.count("*").alias("c"))
     bins = bins.withColumn("upto", F.sum("c").over(Window.partitionBy("g").orderBy("bin"))).withColumn("n", F.sum("c").over(Window.partitionBy("g")))

@@ -13,7 +13,7 @@ from ..sources import audio
 from . import bindings as B
 from . import studies
 from .config import SYSTEMS, Eval, baseline_config, resolve_query, system_config
-from .enrolment import enrol, identify_clips
+from .enrolment import enrol, enrolled, identify_clips
 
 
 
@@ -367,6 +367,16 @@ def system_registry(spark, sf):
     return spark.createDataFrame(rows, "system string, name string, mode string, nbhd int, fanout int, dt_max int, denoise boolean, short_query boolean, tau double, rho double")
 
 
+def enrol_actions(spark, sf):
+    """Users as songs: a quarter held out, some cached, some that could not be analysed."""
+    p = B.event_peaks(spark, sf).where("clip % 4 <> 0")
+    bad = F.col("clip") % 11 == 3
+    songs = p.groupBy("clip").agg((F.max("t") * F.lit(0.5)).alias("duration_sec"))
+    good = p.where(~bad)
+    rows = good.select("clip", "t", "f", "mag_db", F.lit(None).cast("string").alias("message")).unionByName(songs.where(bad).select("clip", F.lit(None).cast("int").alias("t"), F.lit(None).cast("int").alias("f"), F.lit(None).cast("float").alias("mag_db"), F.lit("not finite").alias("message")))
+    return _rounded(enrolled(songs, rows, landmarks.hashes(good, B.SMALL), songs.where("clip % 5 = 1").select("clip")))
+
+
 def wav_selfmatch(spark, sf):
     """Synthetic WAV tracks end to end: every 10 s excerpt finds its own track."""
     cfg = baseline_config()
@@ -413,5 +423,5 @@ QUERIES = {f.__name__: f for f in (
     lookup, lookup_lists, offset_hist, offset_smooth, rank_topk, identify, open_set, query_manifest, manifest_invariants, excerpt_starts, demo_rows, subset_by_song, metrics, wilson, paired_comparison, mcnemar, verdicts,
     headroom, knee_probe, latest_runs, holdout_check, tau_grid, threshold_sweep, operating_point, budget_table, pareto, split_assign, id_assign, composition, merge_prior, retired, work_list, filename_parse,
     path_classify, catalog_coerce, missing_noise, sha_catalog, fnv_tag, preemphasis, rms_normalize, frame_energy, dft_bins, noise_spectrum, spectral_subtract, snr_mix, excerpt_gate, peak_budget,
-    query_config, system_registry, constellation_axes, accuracy_series, repertoire_confusion, systematic_sample, wav_selfmatch, neighbourhood_sweep, enrol_gate,
+    query_config, system_registry, constellation_axes, accuracy_series, repertoire_confusion, systematic_sample, enrol_actions, wav_selfmatch, neighbourhood_sweep, enrol_gate,
 )}

@@ -208,3 +208,85 @@ def test_streamed_identification(spark, tmp_path):
     stream = spark.readStream.schema(q.schema).parquet(str(tmp_path / "in"))
     identify.start(stream, p, Match(), lambda df: out.extend(df.collect()), str(tmp_path / "ck")).awaitTermination()
     assert [(r["query_id"], r["pred1"], r["score1"]) for r in out] == [(1, 4, 2)]
+
+
+def test_a_bad_clip_leaves_the_others(spark):
+    from echomark.plans.enrolment import enrol_catalog
+
+    cfg = baseline_config()
+    x = {k: dsp.resample(audio.toy_track(k, 12, 8000, -20.0), 8000, 8000).tolist() for k in (1, 2, 3)}
+    rows = [(1, "db", x[1], 8000), (2, "db", [float("nan")] * 9000, 8000), (3, "holdout", x[3], 8000), (4, "db", x[2], 8000), (5, "db", [], 8000)]
+    clips = spark.createDataFrame(rows, "clip long, role string, samples array<double>, fs int")
+    peaks_, report = enrol_catalog(clips, cfg)
+    got = {r["clip"]: r for r in report.collect()}
+    assert {k: r["action"] for k, r in got.items()} == {1: "extracted", 2: "failed", 4: "extracted", 5: "failed"}
+    assert got[1]["n_peaks"] > 0 and got[1]["n_hashes"] > 0 and got[2]["message"] == "samples that are not finite" and got[2]["n_peaks"] == 0
+    held = spark.createDataFrame(peaks_.where("clip = 1 and t is not null").drop("message").collect(), "clip long, t int, f int, mag_db float")
+    again = {r["clip"]: (r["action"], r["n_hashes"]) for r in enrol_catalog(clips, cfg, held)[1].collect()}
+    assert again[1] == ("cached", got[1]["n_hashes"]) and again[4][0] == "extracted"
+    with pytest.raises(ValueError, match="no songs"):
+        enrol_catalog(clips.where("clip = 3"), cfg)
+    with pytest.raises(ValueError, match="could be"):
+        enrol_catalog(clips.where("clip = 2"), cfg)
+
+
+def test_ingest_skips_what_is_current(spark):
+    import datetime
+
+    at = datetime.datetime(2024, 1, 1)
+    wav = audio.encode_wav(audio.toy_track(2, 3, 22050, -24.0), 22050)
+    files = spark.createDataFrame([("a.wav", at, bytearray(wav)), ("b.wav", at, bytearray(wav)), ("c.wav", at, bytearray(b"junk"))], "path string, modified timestamp, content binary")
+    done = spark.createDataFrame([("a.wav", at, "0" * 64, 3.0)], "path string, modified timestamp, sha256 string, duration_sec double")
+    got = {r["path"]: r for r in audio.ingest_library(files, done).collect()}
+    assert {k: r["action"] for k, r in got.items()} == {"a.wav": "skipped", "b.wav": "processed", "c.wav": "failed"}
+    assert len(got["b.wav"]["sha256"]) == 64 and audio.decode_wav(bytes(got["b.wav"]["wav"]))[1] == 8000 and got["c.wav"]["sha256"] is None
+
+
+@pytest.mark.parametrize("size", [1, 30, 50000])
+def test_noise_wraps_over_its_whole_bank(spark, size):
+    from echomark.plans import studies
+
+    draw = np.random.default_rng(size)
+    song, bank = draw.standard_normal(2000), draw.standard_normal(size)
+    m = spark.createDataFrame([(1, 1, 0.1, 101, "cafe", min(size, 25), 5.0)], "query_id long, song_id int, length_sec double, start_sample long, noise_type string, noise_start long, snr_db double")
+    songs = spark.createDataFrame([(1, song.tolist())], "song_id int, samples array<double>")
+    noise = spark.createDataFrame([("cafe", bank.tolist())], "noise_type string, samples array<double>")
+    got = studies.synthesize(m, songs, noise, 8000).first()
+    want, measured = dsp.synthesize(song, 101, 800, bank, min(size, 25), 5.0)
+    assert np.allclose(got["samples"], want) and got["snr_measured"] == pytest.approx(measured)
+
+
+def test_quantiles_are_exact(spark):
+    draw = np.random.default_rng(3)
+    rows = [(k, float(v)) for k, n in (("a", 1), ("b", 2), ("c", 1001), (None, 40)) for v in np.round(draw.standard_normal(n) * 10, 1)] + [("a", None), ("c", 0.0), ("c", inf)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {(r["k"], r["name"]): r["q"] for r in evaluation.quantiles(df, ["k"], [("m", "hazen", 0.5), ("lo", "nearest", 0.05), ("hi", "hazen", 0.95)]).collect()}
+    for k in ("a", "b", "c", None):
+        v = sorted(x for g, x in rows if g == k and x is not None)
+        n = len(v)
+        for name, p in (("m", 0.5), ("hi", 0.95)):
+            at = min(max(n * p + 0.5, 1), n)
+            lo = int(at)
+            a, b = v[lo - 1], v[min(lo + 1, n) - 1]
+            assert got[k, name] == pytest.approx(a + (at - lo) * (b - a) if a != b else a)
+        assert got[k, "lo"] == v[max(1, -(-n * 5 // 100)) - 1]
+
+
+def test_studies_of_synthetic_tracks(spark):
+    """The gate passes where every probe finds its track and fails where it cannot; smaller neighbourhoods give more peaks, and the sweep's sizes are those of each index."""
+    from echomark.operators import signals
+    from echomark.plans import studies
+
+    cfg = baseline_config()
+    clips = spark.createDataFrame([(k, dsp.resample(audio.toy_track(k, 30, 8000, -20.0), 8000, 8000).tolist(), 8000) for k in (1, 2)], "clip long, samples array<double>, fs int").repartition(2, "clip")
+    assert tuple(studies.enrol_gate(clips, cfg).first()) == (1.0, True)
+    silent = clips.withColumn("samples", F.transform("samples", lambda x: F.lit(0.0)))
+    assert studies.enrol_gate(silent, cfg).first()["passed"] is False
+    got = {r["nbhd"]: r for r in studies.neighbourhood_sweep(clips, cfg, (21, 13)).collect()}
+    for n in (21, 13):
+        own = replace(cfg, peaks=replace(cfg.peaks, nbhd_f=n, nbhd_t=n))
+        p = signals.fingerprint(clips, own, denoise=False)
+        h = landmarks.hashes(p, own).collect()
+        keys = len({r["h"] for r in h})
+        assert (got[n]["n_peaks"], got[n]["n_postings"], got[n]["n_keys"], got[n]["bytes"]) == (p.count(), len(h), keys, 4 * keys + 4 * (keys + 1) + 6 * len(h))
+    assert got[13]["n_peaks"] > got[21]["n_peaks"]
