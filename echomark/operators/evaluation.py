@@ -99,25 +99,26 @@ BIN_STEPS = 4096
 def quantiles(values: DataFrame, keys: list[str], wanted: list[tuple[str, str, float]]) -> DataFrame:
     """(keys, name, q) of values (keys, v): exact quantiles, each (name, kind, p) either "nearest" (the ceil(p n)-th) or "hazen" (interpolated at p n + 1/2, clamped to the ends).
 
-    Values are counted in bins of their logarithms, which keep their order; only the bins that hold a wanted rank are sorted, so
-    that no group's values come together in one row or one sort. Null values are left out; groups without values give no row.
+    Values are counted in bins of their logarithms, which keep their order; only the bins that hold a wanted rank are looked into, by
+    distinct value, so that no group's values come together in one row or one sort, ties included. Null values are left out; groups without values give no row.
     """
-    spark, v = values.sparkSession, F.col("v")
+    v = F.col("v")
     step = lambda x: F.floor(F.least(F.log2(x) * BIN_STEPS, F.lit(1e8))) + F.lit(1 << 24)
     binned = values.where(v.isNotNull()).select(F.struct(*keys, F.lit(1).alias("__one")).alias("g"), "v", F.when(v > 0, step(v)).when(v < 0, -step(-v)).otherwise(F.lit(0)).cast("long").alias("bin"))
-    bins = binned.groupBy("g", "bin").agg(F.count("*").alias("c"))
-    bins = bins.withColumn("upto", F.sum("c").over(Window.partitionBy("g").orderBy("bin"))).withColumn("n", F.sum("c").over(Window.partitionBy("g")))
-    asked = bins.select("g", "n").distinct().crossJoin(F.broadcast(spark.createDataFrame(wanted, "name string, kind string, p double")))
-    at = F.when(F.col("kind") == "nearest", F.greatest(F.lit(1.0), F.ceil(F.col("n") * F.col("p")).cast("double"))).otherwise(F.least(F.greatest(F.col("n") * F.col("p") + 0.5, F.lit(1.0)), F.col("n").cast("double")))
-    asked = asked.withColumn("at", at).withColumn("lo", F.floor("at").cast("long")).withColumn("hi", F.when(F.col("kind") == "nearest", F.col("lo")).otherwise(F.least(F.col("lo") + 1, F.col("n"))))
-    ranks = asked.select("g", F.explode(F.array("lo", "hi")).alias("rank")).distinct()
-    places = ranks.join(bins, "g").where((F.col("rank") > F.col("upto") - F.col("c")) & (F.col("rank") <= F.col("upto")))
-    places = places.groupBy("g", "bin").agg(F.max(F.col("upto") - F.col("c")).alias("before"), F.collect_set("rank").alias("ranks"))
-    found = binned.join(places, ["g", "bin"]).withColumn("k", F.row_number().over(Window.partitionBy("g", "bin").orderBy("v")) + F.col("before"))
-    found = found.where(F.array_contains("ranks", F.col("k"))).select("g", "k", "v")
-    low, high = (found.select(F.col("g").alias(f"g_{x}"), F.col("k").alias(f"k_{x}"), F.col("v").alias(x)) for x in ("a", "b"))
-    out = asked.join(low, (F.col("g") == F.col("g_a")) & (F.col("lo") == F.col("k_a"))).join(high, (F.col("g") == F.col("g_b")) & (F.col("hi") == F.col("k_b")))
-    return out.select(*[F.col(f"g.{k}").alias(k) for k in keys], "name", (F.col("a") + (F.col("at") - F.col("lo")) * (F.col("b") - F.col("a"))).alias("q"))
+    bins = binned.groupBy("g", "bin").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(Window.partitionBy("g").orderBy("bin")))
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(kind == "nearest").alias("nearest"), F.lit(float(p)).alias("p")) for name, kind, p in wanted]))
+    asked = bins.groupBy("g").agg(F.max("upto").alias("n")).select("g", "n", asked.alias("w")).select("g", "n", "w.*")
+    at = F.when(F.col("nearest"), F.greatest(F.lit(1.0), F.ceil(F.col("n") * F.col("p")).cast("double"))).otherwise(F.least(F.greatest(F.col("n") * F.col("p") + 0.5, F.lit(1.0)), F.col("n").cast("double")))
+    asked = asked.withColumn("part", at - F.floor(at)).withColumn("lo", F.floor(at)).withColumn("hi", F.when(F.col("nearest"), F.col("lo")).otherwise(F.least(F.col("lo") + 1, F.col("n"))))
+    asked = asked.select("g", "name", "part", F.posexplode(F.array("lo", "hi")).alias("end", "rank"))
+    inside = (F.col("rank") > F.col("upto") - F.col("c")) & (F.col("rank") <= F.col("upto"))
+    places = asked.join(bins, "g").where(inside).select("g", "bin", "name", "part", "end", "rank", (F.col("upto") - F.col("c")).alias("before"))
+    held = places.groupBy("g", "bin").agg(F.max("before").alias("before"))
+    found = binned.join(held, ["g", "bin"]).groupBy("g", "bin", "v").agg(F.count("*").alias("c"), F.max("before").alias("before"))
+    found = found.withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("g", "bin").orderBy("v"))).drop("before")
+    found = found.join(places, ["g", "bin"]).where(inside)
+    out = found.groupBy("g", "name", "part").agg(*[F.max(F.when(F.col("end") == i, v)).alias(x) for i, x in enumerate("ab")])
+    return out.select(*[F.col(f"g.{k}").alias(k) for k in keys], "name", (F.col("a") + F.col("part") * (F.col("b") - F.col("a"))).alias("q"))
 
 
 def metrics(results: DataFrame, keys: list[str]) -> DataFrame:
