@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ from ..plans.config import Eval
 from .signals import admissible_starts
 
 INF = float("inf")
+#: The knee probe's lengths and SNRs, and the part of a noise bank that starts must reach (fixed values).
+KNEE_LENGTHS, KNEE_SNRS, LEAST_SPAN = (3.0, 10.0), (INF, 10.0, 5.0, 0.0, -5.0, -10.0, -15.0, -20.0, -25.0), 0.25
 REQUIRED = ("is_in_db", "correct", "accepted", "norm_score", "margin", "t_match", "warmup")
 
 
@@ -83,6 +88,8 @@ def manifest_invariants(rows: DataFrame, songs: DataFrame, noise: DataFrame, aga
         "holdout_queried": number(songs.where("role = 'holdout'").join(rows.select("song_id").distinct(), "song_id", "left_anti")),
         "excerpt_inside": number(rows.join(songs.select("song_id", "n_samples"), "song_id").where((F.col("start_sample") < 1) | (F.col("start_sample") - 1 + need > F.greatest("n_samples", need)))),
         "noise_known": number(rows.where("noise_type <> 'none'").join(noise.select("noise_type"), "noise_type", "left_anti")),
+        # starts that crowd at the head of a bank leave most of its noise unheard
+        "noise_span": number(rows.where("noise_type <> 'none'").groupBy("noise_type").agg(F.max("noise_start").alias("last")).join(noise, "noise_type").where(F.col("last") < LEAST_SPAN * F.col("n_samples"))),
         "regenerated": number(rows.exceptAll(again.select(*rows.columns))),
     }
     out = None
@@ -162,16 +169,37 @@ def paired(a: DataFrame, b: DataFrame, keys: list[str], content: list[str]) -> D
     return out.withColumn("significant", F.col("p") < 0.05)
 
 
+def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: the queries of two systems, those in common, and whether only a part of either is."""
+    both = a.select("query_id", F.lit(1).alias("a")).join(b.select("query_id", F.lit(1).alias("b")), "query_id", "full")
+    out = both.agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).alias("n_common"))
+    return out.withColumn("partial", F.col("n_common") < F.greatest("n_a", "n_b"))
+
+
+def require_overlap(a: DataFrame, b: DataFrame) -> None:
+    """An error if two systems have no query in common, a warning if only some."""
+    found = overlap(a, b).first()
+    if not found["n_common"]:
+        raise ValueError("the systems have no query in common")
+    if found["partial"]:
+        warnings.warn(f"{found['n_common']} common queries of {found['n_a']} and {found['n_b']}", stacklevel=2)
+
+
 def verdicts(cells: DataFrame) -> DataFrame:
     """One row: cells gained and lost significantly, largest gain and loss, cells of 10 points difference or more."""
     return cells.agg(F.count(F.when(F.col("significant") & (F.col("diff_pp") > 0), 1)).alias("gains"), F.count(F.when(F.col("significant") & (F.col("diff_pp") < 0), 1)).alias("losses"), F.max("diff_pp").alias("best"), F.min("diff_pp").alias("worst"), F.count(F.when(F.abs("diff_pp") >= 10, 1)).alias("large"))
 
 
-def headroom(results: DataFrame) -> DataFrame:
-    """100 - accuracy by SNR, a column per length, and whether a cell leaves 10 points to gain."""
-    rows = results.where("is_in_db").groupBy("snr_db").pivot("length_sec", [3.0, 5.0, 10.0]).agg(F.round(100 - 100 * F.avg(F.col("correct").cast("double")), 6))
-    out = rows.select("snr_db", F.col("`3.0`").alias("len3"), F.col("`5.0`").alias("len5"), F.col("`10.0`").alias("len10"))
-    return out.withColumn("usable", F.coalesce(F.greatest("len3", "len5", "len10") >= 10, F.lit(False)))
+def headroom(results: DataFrame, lengths: tuple[float, ...] = Eval().lengths_sec) -> DataFrame:
+    """100 - accuracy by SNR, a column len<seconds> per length; usable: a cell leaves 10 points to gain; note: saturated (none does), floor (all leave more than 80), every or some."""
+    lengths = [float(x) for x in lengths]
+    rows = results.where("is_in_db").groupBy("snr_db").pivot("length_sec", lengths).agg(F.round(100 - 100 * F.avg(F.col("correct").cast("double")), 6))
+    names = [f"len{x:g}" for x in lengths]
+    out = rows.select("snr_db", *[F.col(f"`{x}`").alias(n) for x, n in zip(lengths, names, strict=True)])
+    room = F.array(*names)
+    usable = F.size(F.filter(room, lambda x: x >= 10))
+    note = F.when(usable == 0, "saturated").when(F.forall(F.filter(room, lambda x: x.isNotNull()), lambda x: x > 80), "floor").when(usable == len(names), "every").otherwise("some")
+    return out.withColumn("usable", usable > 0).withColumn("note", note)
 
 
 def knee(cells: DataFrame) -> DataFrame:
@@ -180,6 +208,17 @@ def knee(cells: DataFrame) -> DataFrame:
     return cells.groupBy("length_sec").agg(F.max(F.when(low, F.col("snr_db"))).alias("knee_db"))
 
 
+def knee_manifest(spark: SparkSession, songs: DataFrame, cfg: Eval, seed: int, fs: int, noise: DataFrame, lengths=KNEE_LENGTHS, snrs=KNEE_SNRS) -> DataFrame:
+    """The probe's manifest: enrolled songs at two lengths and nine SNRs, all noises and repetitions."""
+    return manifest(spark, songs.where("role = 'db'"), replace(cfg, lengths_sec=lengths, snr_db=snrs), seed, fs, noise)
+
+
+def norm_ratio(cells: DataFrame) -> DataFrame:
+    """(length_sec, ratio): the median score per hash at 0 dB over that of clean queries, which shows degradation where accuracy does not yet; cells has (length_sec, snr_db, med_norm_score)."""
+    at = lambda x: F.max(F.when(F.col("snr_db") == x, F.col("med_norm_score")))
+    return cells.groupBy("length_sec").agg((at(0.0) / F.nullif(at(INF), F.lit(0.0))).alias("ratio"))
+
+
 def subset_by_song(rows: DataFrame, n: int, seed: int) -> DataFrame:
     """All rows of n songs drawn by seed."""
     songs = rows.select("song_id").distinct().orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("song_id").cast("string")).cast("binary"))).limit(n)

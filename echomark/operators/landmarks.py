@@ -66,6 +66,15 @@ def prune(postings: DataFrame, most: int) -> DataFrame:
     return postings.join(postings.groupBy("h").count().where(F.col("count") <= most).select("h"), "h", "left_semi")
 
 
+def prune_report(postings: DataFrame, most: int) -> DataFrame:
+    """(stage, n_keys, n_postings, max_len, emptied): the index before and after prune(), and whether nothing is left of it."""
+    lengths = postings.groupBy("h").agg(F.count("*").alias("n"))
+    kept = F.when(F.col("n") <= most, F.col("n"))
+    one = lengths.agg(F.count("*").alias("k0"), F.coalesce(F.sum("n"), F.lit(0)).alias("p0"), F.coalesce(F.max("n"), F.lit(0)).alias("m0"), F.count(kept).alias("k1"), F.coalesce(F.sum(kept), F.lit(0)).alias("p1"), F.coalesce(F.max(kept), F.lit(0)).alias("m1"))
+    stages = [F.struct(F.lit(name).alias("stage"), F.col(f"k{i}").alias("n_keys"), F.col(f"p{i}").alias("n_postings"), F.col(f"m{i}").alias("max_len"), ((F.col(f"k{i}") == 0) & (F.col("k0") > 0)).alias("emptied")) for i, name in enumerate(("before", "after"))]
+    return one.select(F.inline(F.array(*stages)))
+
+
 def prune_lists(lists: DataFrame, most: int) -> DataFrame:
     return lists.where(F.size("postings") <= most)
 

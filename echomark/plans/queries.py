@@ -90,6 +90,14 @@ def index_prune(spark, sf):
     return landmarks.prune(landmarks.build_index(_event_hashes(spark, sf)), 3)
 
 
+def prune_report(spark, sf):
+    return landmarks.prune_report(landmarks.build_index(_event_hashes(spark, sf)), 3)
+
+
+def pruning_dry_run(spark, sf):
+    return studies.pruning_dry_run(_postings(spark, sf), (1, 2, 5, 1000000)).withColumn("most", F.col("most").cast("long"))
+
+
 def index_stats(spark, sf):
     s = landmarks.index_stats(_postings(spark, sf))
     return s.select("n_postings", "n_keys", "max_len", "n_songs", "bytes", F.col("p99_len").cast("long").alias("p99_len"), *[F.round(F.col(c).cast("double"), 6).alias(c) for c in ("mean_len", "median_len", "singletons", "postings_per_song", "keys_per_song")])
@@ -121,6 +129,11 @@ def identify(spark, sf):
     return out.select("query_id", *[F.col(c).cast("long").alias(c) for c in ("n_hashes", "pred1", "score1", "best_delta", "pred2", "score2", "n_postings", "n_candidates")], F.round("norm_score", 9).alias("norm_score"), F.round("margin", 9).alias("margin"), "accepted")
 
 
+def winner_histogram(spark, sf):
+    s = offset_smooth(spark, sf)
+    return matching.winner_histogram(identify(spark, sf), s).select("query_id", "song_id", "delta", F.col("score").cast("long").alias("score"))
+
+
 def open_set(spark, sf):
     """Songs of label 7 and above are held out of the index."""
     q = B.read(spark, sf, "embeddings").select(F.col("label").cast("long").alias("query_id")).distinct()
@@ -187,6 +200,11 @@ def paired_comparison(spark, sf):
     return _rounded(_paired(spark, sf))
 
 
+def paired_overlap(spark, sf):
+    """The queries of system a and those that system b accepts."""
+    return evaluation.overlap(B.results(spark, sf, "a"), B.results(spark, sf, "b").where("accepted"))
+
+
 def mcnemar(spark, sf):
     rows = B.read(spark, sf, "part").select((F.col("p_size") % 13).cast("long").alias("b"), (F.pmod("p_partkey", F.lit(11))).alias("c")).distinct().withColumn("n", F.col("b") + F.col("c") + 100)
     m = C.mcnemar(F.col("n"), F.col("b"), F.col("c"))
@@ -207,6 +225,16 @@ def knee_probe(spark, sf):
     return evaluation.knee(cells)
 
 
+def norm_ratio(spark, sf):
+    cells = B.results(spark, sf).where("is_in_db").groupBy("length_sec", "snr_db").agg(F.percentile("norm_score", 0.5).alias("med_norm_score"))
+    return _rounded(evaluation.norm_ratio(cells))
+
+
+def knee_manifest(spark, sf):
+    m = evaluation.knee_manifest(spark, _songs(spark, sf), replace(Eval(), reps_per_song=1), 42, 8000, _noise(spark))
+    return m.groupBy("length_sec", "noise_type", F.when(F.col("snr_db") < float("inf"), F.col("snr_db")).alias("snr_db")).agg(F.count("*").alias("n"), F.min("query_id").alias("first"), F.max("query_id").alias("last"))
+
+
 def latest_runs(spark, sf):
     e = B.read(spark, sf, "events")
     runs = e.select(F.col("event_type").alias("system"), F.floor(F.col("event_id") / 100).cast("long").alias("run_id"), F.to_date("ts").alias("run_on"), "event_id")
@@ -419,9 +447,9 @@ def enrol_gate(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    cells_db, peaks_fixed, peaks_adaptive, peaks_capped, peak_density, peaks_events, hash_pairs, hash_pairs_events, hash_pack_roundtrip, index_postings, index_lists, index_prune, index_stats,
-    lookup, lookup_lists, offset_hist, offset_smooth, rank_topk, identify, open_set, query_manifest, manifest_invariants, excerpt_starts, demo_rows, subset_by_song, metrics, wilson, paired_comparison, mcnemar, verdicts,
-    headroom, knee_probe, latest_runs, holdout_check, tau_grid, threshold_sweep, operating_point, budget_table, pareto, split_assign, id_assign, composition, merge_prior, retired, work_list, filename_parse,
+    cells_db, peaks_fixed, peaks_adaptive, peaks_capped, peak_density, peaks_events, hash_pairs, hash_pairs_events, hash_pack_roundtrip, index_postings, index_lists, index_prune, prune_report, pruning_dry_run, index_stats,
+    lookup, lookup_lists, offset_hist, offset_smooth, rank_topk, identify, winner_histogram, open_set, query_manifest, manifest_invariants, excerpt_starts, demo_rows, subset_by_song, metrics, wilson, paired_comparison, paired_overlap, mcnemar, verdicts,
+    headroom, knee_probe, norm_ratio, knee_manifest, latest_runs, holdout_check, tau_grid, threshold_sweep, operating_point, budget_table, pareto, split_assign, id_assign, composition, merge_prior, retired, work_list, filename_parse,
     path_classify, catalog_coerce, missing_noise, sha_catalog, fnv_tag, preemphasis, rms_normalize, frame_energy, dft_bins, noise_spectrum, spectral_subtract, snr_mix, excerpt_gate, peak_budget,
     query_config, system_registry, constellation_axes, accuracy_series, repertoire_confusion, systematic_sample, enrol_actions, wav_selfmatch, neighbourhood_sweep, enrol_gate,
 )}

@@ -156,7 +156,7 @@ SQL = {
     "identify": f"with {QUERY}, {matched()} select query_id, n_hashes, pred1::bigint as pred1, score1::bigint as score1, best_delta, pred2::bigint as pred2, score2::bigint as score2, n_postings::bigint as n_postings, n_candidates, round(norm_score, 9) as norm_score, round(margin, 9) as margin, norm_score >= 0.02 and margin >= 1.5 as accepted from dec",
     "open_set": f"with {QUERY}, open as (select * from postings where song_id < 7), {matched('open')} select query_id, query_id < 7 as is_in_db, pred1::bigint as pred1, round(norm_score, 9) as norm_score, norm_score >= 0.02 and margin >= 1.5 as accepted from dec",
     "query_manifest": f"with {MANIFEST} select query_id, song_id, role, length_sec, rep, noise_type, start_sample, noise_start, snr_db from m",
-    "manifest_invariants": f"with {MANIFEST} select 'excerpt_shared' as check, count(*) as violations from (select 1 from m group by song_id, length_sec, rep having count(distinct start_sample) > 1) union all select 'noise_shared', count(*) from (select 1 from m group by song_id, length_sec, rep, noise_type having count(distinct noise_start) > 1) union all select 'split_by_song', 0 union all select 'unique_id', count(*) from (select 1 from m group by query_id having count(*) > 1) union all select 'clean_without_noise', count(*) from m where noise_type = 'none' and noise_start <> 0 union all select 'holdout_queried', count(*) from songs where role = 'holdout' and song_id not in (select song_id from m) union all select 'excerpt_inside', count(*) from m where start_sample < 1 or start_sample - 1 + need > greatest(n_samples, need) union all select 'noise_known', count(*) from m where noise_type not in ('none', 'cafe', 'traffic', 'crowd') union all select 'regenerated', 0",
+    "manifest_invariants": f"with {MANIFEST} select 'excerpt_shared' as check, count(*) as violations from (select 1 from m group by song_id, length_sec, rep having count(distinct start_sample) > 1) union all select 'noise_shared', count(*) from (select 1 from m group by song_id, length_sec, rep, noise_type having count(distinct noise_start) > 1) union all select 'split_by_song', 0 union all select 'unique_id', count(*) from (select 1 from m group by query_id having count(*) > 1) union all select 'clean_without_noise', count(*) from m where noise_type = 'none' and noise_start <> 0 union all select 'holdout_queried', count(*) from songs where role = 'holdout' and song_id not in (select song_id from m) union all select 'excerpt_inside', count(*) from m where start_sample < 1 or start_sample - 1 + need > greatest(n_samples, need) union all select 'noise_known', count(*) from m where noise_type not in ('none', 'cafe', 'traffic', 'crowd') union all select 'noise_span', count(*) from (select 1 from m where noise_type <> 'none' group by noise_type having max(noise_start) < 0.25 * any_value(noise_samples)) union all select 'regenerated', 0",
     "enrol_actions": f"""with {EVENT_PEAKS}, {paired('ep', 'p')}, g as (select * from ep where clip % 4 <> 0), n as (select clip, max(t) * 0.5::double as duration_sec, case when clip % 11 = 3 then 0 else count(*) end as n_peaks from g group by clip), h as (select clip, count(*) as k from p group by clip)
       select clip, case when clip % 11 = 3 then 'failed' when clip % 5 = 1 then 'cached' else 'extracted' end as action, n_peaks, case when clip % 11 = 3 then 0 else coalesce(k, 0) end as n_hashes, round(n_peaks / nullif(duration_sec, 0), 9) as density_per_sec, round(duration_sec, 9) as duration_sec, case when clip % 11 = 3 then 'not finite' else '' end as message from n left join h using (clip)""",
     "excerpt_starts": f"""with {SIGNAL}, s as (select clip, i, case when clip % 50 = 7 then 0 else x end as x from sig), size as (select clip, count(*) as n from s group by clip), lengths(length_sec, need) as (values (3.0::double, 24), (5.0, 40), (10.0, 80)),
@@ -175,8 +175,14 @@ SQL = {
     "paired_comparison": f"with {PAIRED} select length_sec, case when snr_db < 'inf'::double then snr_db end as snr_db, n, round(acc_a, 9) as acc_a, round(acc_b, 9) as acc_b, only_a, only_b, round({DIFF}, 9) as diff_pp, round({DIFF} - 100 * 1.959963984540054 * sqrt(only_a + only_b) / n, 9) as diff_lo_pp, round({DIFF} + 100 * 1.959963984540054 * sqrt(only_a + only_b) / n, 9) as diff_hi_pp, round({PVALUE}, 9) as p, round(case when only_a > 0 then only_b / only_a::double end, 9) as odds, {PVALUE} < 0.05 as significant from pc",
     "mcnemar": f"with d as (select distinct cast(p_size % 13 as bigint) as b, p_partkey % 11 as c from part), e as (select b, c, b + c + 100 as n from d) select b, c, n, round(case when b + c = 0 then 1.0 else {TAIL.replace('M', '(b + c)').replace('B', 'b').replace('C', 'c')} end, 9) as p, round((c - b) / n::double, 9) as diff, round((c - b) / n::double - 1.959963984540054 * sqrt(b + c) / n, 9) as lo, round((c - b) / n::double + 1.959963984540054 * sqrt(b + c) / n, 9) as hi from e",
     "verdicts": f"with {PAIRED}, v as (select {DIFF} as d, case when only_a + only_b = 0 then 1.0 else {TAIL.replace('M', '(only_a + only_b)').replace('B', 'only_a').replace('C', 'only_b')} end as p from pc) select count(*) filter (p < 0.05 and d > 0) as gains, count(*) filter (p < 0.05 and d < 0) as losses, round(max(d), 9) as best, round(min(d), 9) as worst, count(*) filter (abs(d) >= 10) as large from v",
-    "headroom": f"with {results(7919, 'r')}, h as (select case when snr_db < 'inf'::double then snr_db end as snr_db, round(100 - 100 * avg(correct::int) filter (length_sec = 3), 6) as len3, round(100 - 100 * avg(correct::int) filter (length_sec = 5), 6) as len5, round(100 - 100 * avg(correct::int) filter (length_sec = 10), 6) as len10 from r where is_in_db group by 1) select *, coalesce(greatest(len3, len5, len10) >= 10, false) as usable from h",
+    "headroom": f"with {results(7919, 'r')}, h as (select case when snr_db < 'inf'::double then snr_db end as snr_db, round(100 - 100 * avg(correct::int) filter (length_sec = 3), 6) as len3, round(100 - 100 * avg(correct::int) filter (length_sec = 5), 6) as len5, round(100 - 100 * avg(correct::int) filter (length_sec = 10), 6) as len10 from r where is_in_db group by 1) select *, coalesce(greatest(len3, len5, len10) >= 10, false) as usable, case when coalesce(greatest(len3, len5, len10), 0) < 10 then 'saturated' when least(len3, len5, len10) > 80 then 'floor' when len3 >= 10 and len5 >= 10 and len10 >= 10 then 'every' else 'some' end as note from h",
     "knee_probe": f"with {results(7919, 'r')}, c as (select length_sec, snr_db, avg(correct::int) as top1 from r where is_in_db group by 1, 2) select length_sec, max(case when top1 < 0.95 and snr_db < 'inf'::double then snr_db end) as knee_db from c group by 1",
+    "winner_histogram": f"with {QUERY}, {matched()} select s.query_id, s.song_id, s.delta, cast(s.score as bigint) as score from smooth s join dec on dec.query_id = s.query_id and dec.pred1 = s.song_id where dec.pred1 <> 0",
+    "prune_report": f"with {EVENT_PEAKS}, {paired('ep', 'p')}, c as (select h, count(*) as n from p group by h) select 'before' as stage, count(*) as n_keys, cast(sum(n) as bigint) as n_postings, max(n) as max_len, false as emptied from c union all select 'after', count(*), cast(coalesce(sum(n), 0) as bigint), coalesce(max(n), 0), count(*) = 0 from c where n <= 3",
+    "pruning_dry_run": f"with {INDEX}, c as (select h, count(*) as n from postings group by h) select most::bigint as most, count(n) as n_keys, cast(coalesce(sum(n), 0) as bigint) as n_postings, coalesce(max(n), 0) as max_len, count(n) = 0 as emptied from (values (1), (2), (5), (1000000)) l(most) left join c on n <= most group by most",
+    "paired_overlap": f"with {results(104729, 'rb')} select count(*) as n_a, count(*) filter (accepted) as n_b, count(*) filter (accepted) as n_common, count(*) > count(*) filter (accepted) as partial from rb",
+    "norm_ratio": f"with {results(7919, 'r')}, c as (select length_sec, snr_db, median(norm_score) as m from r where is_in_db group by 1, 2) select length_sec, round(max(m) filter (snr_db = 0) / max(m) filter (snr_db = 'inf'::double), 9) as ratio from c group by 1",
+    "knee_manifest": "with s as (select c_custkey as song_id from customer where c_custkey % 10 <> 0), cond(noise_type, snr_db) as (select 'none', null union all select n, b.s from (values ('cafe'), ('traffic'), ('crowd')) a(n), (values (10.0), (5.0), (0.0), (-5.0), (-10.0), (-15.0), (-20.0), (-25.0)) b(s)), m as (select l::double as length_sec, noise_type, snr_db::double as snr_db, row_number() over (order by song_id, l, noise_type <> 'none', noise_type, snr_db desc) as query_id from s, (values (3), (10)) a(l), cond) select length_sec, noise_type, snr_db, count(*) as n, min(query_id) as first, max(query_id) as last from m group by 1, 2, 3",
     "latest_runs": "with r as (select event_type as system, event_id // 100 as run_id, cast(ts as date) as run_on, event_id from events), l as (select system, max(struct_pack(a := run_on, b := run_id)).b as run_id from r group by system) select system, run_id, event_id from r join l using (system, run_id)",
     "holdout_check": f"with {results(7919, 'r')}, k as (select song_id, query_id % 50 as pred1, norm_score, row_number() over (partition by song_id order by norm_score desc, query_id) as k from r where not is_in_db) select song_id, pred1, round(norm_score, 9) as norm_score, norm_score >= 0.15 as suspect from k where k = 1",
     "tau_grid": f"with {results(7919, 'r0')}, x as (select list_sort(list(norm_score)) as xs from r0 where split = 'dev' and snr_db >= 0), q as (select 0.0::double as tau union all select {hazen('xs', '(0.999::double * i / 119)')} from x, unnest(range(0, 120)) u(i)) select distinct round(tau, 9) as tau from q where tau is not null",

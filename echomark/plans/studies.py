@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dsp
-from ..operators import evaluation, landmarks, peaks, signals
+from ..operators import evaluation, landmarks, matching, peaks, signals
 from .config import Config
 from .enrolment import enrol, identify_clips
 
@@ -56,13 +56,16 @@ def run_experiment(manifest: DataFrame, songs: DataFrame, noise: DataFrame, post
 
 
 def neighbourhood_sweep(clips: DataFrame, cfg: Config, sizes=NEIGHBOURHOODS) -> DataFrame:
-    """(nbhd, n_peaks, n_postings, n_keys, bytes) of an index for each neighbourhood."""
+    """(nbhd, n_peaks, density_mean, density_median, cap_can_bind, n_postings, n_keys, bytes, top1) of an index for each neighbourhood; top1 is the accuracy of clean probes."""
     out = None
     for n in sizes:
         own = replace(cfg, peaks=replace(cfg.peaks, nbhd_f=n, nbhd_t=n))
         p = signals.fingerprint(clips, own, denoise=False)
         s = landmarks.index_stats(landmarks.build_index(landmarks.hashes(p, own)))
-        row = p.agg(F.count("*").alias("n_peaks")).join(s, F.lit(True)).select(F.lit(n).alias("nbhd"), "n_peaks", "n_postings", "n_keys", "bytes")
+        d = peaks.density(p, own).agg(F.sum("n_peaks").alias("n_peaks"), F.avg("density_per_sec").alias("density_mean"), F.percentile("density_per_sec", 0.5).alias("density_median"))
+        cap = peaks.budget_audit(clips.sparkSession, own).agg(F.max("cap_can_bind").alias("cap_can_bind"))
+        row = d.join(s, F.lit(True)).join(cap, F.lit(True)).join(enrol_gate(clips, own), F.lit(True))
+        row = row.select(F.lit(n).alias("nbhd"), "n_peaks", "density_mean", "density_median", "cap_can_bind", "n_postings", "n_keys", "bytes", "top1")
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -89,6 +92,21 @@ def enrol_gate(clips: DataFrame, cfg: Config, least: float = 0.95) -> DataFrame:
     return found.agg(F.avg((F.col("pred1") == F.col("query_id")).cast("double")).alias("top1")).withColumn("passed", F.col("top1") >= least)
 
 
+def layouts_agree(query_hashes: DataFrame, postings: DataFrame) -> DataFrame:
+    """One row: the hits that only one of the two index layouts finds; 0 where they are the same index."""
+    a, b = matching.lookup(query_hashes, postings), matching.lookup_lists(query_hashes, landmarks.list_index(postings))
+    return a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count("*").alias("n_different"))
+
+
+def pruning_dry_run(postings: DataFrame, limits: tuple[int, ...]) -> DataFrame:
+    """(most, n_keys, n_postings, max_len, emptied) that an index would have after pruning at each limit."""
+    out = None
+    for most in limits:
+        row = landmarks.prune_report(postings, most).where("stage = 'after'").select(F.lit(most).alias("most"), "n_keys", "n_postings", "max_len", "emptied")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def systematic_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     """n rows at even distances in order of key, first and last included."""
     one = Window.partitionBy(F.lit(1))

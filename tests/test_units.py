@@ -289,4 +289,71 @@ def test_studies_of_synthetic_tracks(spark):
         h = landmarks.hashes(p, own).collect()
         keys = len({r["h"] for r in h})
         assert (got[n]["n_peaks"], got[n]["n_postings"], got[n]["n_keys"], got[n]["bytes"]) == (p.count(), len(h), keys, 4 * keys + 4 * (keys + 1) + 6 * len(h))
+        d = [r["density_per_sec"] for r in peaks.density(p, own).collect()]
+        assert got[n]["density_mean"] == pytest.approx(np.mean(d)) and got[n]["density_median"] == pytest.approx(np.median(d))
+        assert got[n]["top1"] == 1.0 and got[n]["cap_can_bind"] is not None
     assert got[13]["n_peaks"] > got[21]["n_peaks"]
+
+
+def test_index_layouts_are_compared(spark):
+    from echomark.plans import studies
+
+    postings = spark.createDataFrame([(7, 1, 10), (7, 1, 12), (7, 2, 5), (9, 2, 6)], "h long, song_id int, t1 int")
+    q = spark.createDataFrame([(1, 7, 3), (1, 9, 4), (2, 8, 1)], "query_id long, h long, t1 int")
+    assert studies.layouts_agree(q, postings).first()[0] == 0
+    got = {r["most"]: tuple(r)[1:] for r in studies.pruning_dry_run(postings, (0, 1, 3)).collect()}
+    assert got == {0: (0, 0, 0, True), 1: (1, 1, 1, False), 3: (2, 4, 3, False)}
+    nothing = landmarks.prune_report(postings.limit(0), 3).collect()
+    assert [tuple(r) for r in nothing] == [("before", 0, 0, 0, False), ("after", 0, 0, 0, False)]
+
+
+def test_systems_must_share_queries(spark):
+    a, b, c = (spark.createDataFrame([(k,) for k in ids], "query_id long") for ids in ((1, 2, 3), (2, 3), (9,)))
+    assert tuple(evaluation.overlap(a, b).first()) == (3, 2, 2, True) and tuple(evaluation.overlap(a, a).first()) == (3, 3, 3, False)
+    with pytest.warns(UserWarning, match="2 common"):
+        evaluation.require_overlap(a, b)
+    with pytest.raises(ValueError):
+        evaluation.require_overlap(a, c)
+
+
+def test_headroom_says_what_can_be_gained(spark):
+    rows = [(snr, 3.0, True, k < right) for snr, right in ((10.0, 10), (0.0, 5), (-10.0, 1)) for k in range(10)] + [(0.0, 5.0, True, True)]
+    got = {r["snr_db"]: (r["len3"], r["len5"], r["usable"], r["note"]) for r in evaluation.headroom(spark.createDataFrame(rows, "snr_db double, length_sec double, is_in_db boolean, correct boolean"), (3, 5)).collect()}
+    assert got == {10.0: (0.0, None, False, "saturated"), 0.0: (50.0, 0.0, True, "some"), -10.0: (90.0, None, True, "floor")}
+
+
+def test_manifests_survive_csv(spark, tmp_path):
+    row = (1, 5, "opm", "db", "dev", 3.0, 17, 1, "none", 0, inf, 99)
+    df = spark.createDataFrame([row, (2, *row[1:8], "cafe", 4, -5.0, 98)], tables.MANIFEST_SCHEMA)
+    tables.write_csv(df, f"{tmp_path}/m")
+    assert sorted(map(tuple, tables.read_manifest(spark, f"{tmp_path}/m", csv=True).collect())) == sorted(map(tuple, df.collect()))
+    for name, bad in (("repeated", df.unionByName(df)), ("unknown", df.withColumn("noise_type", F.lit("rain"))), ("absent", df.withColumn("noise_type", F.lit(None).cast("string")))):
+        bad.write.parquet(f"{tmp_path}/{name}")
+        with pytest.raises(ValueError):
+            tables.read_manifest(spark, f"{tmp_path}/{name}")
+
+
+def test_latest_run_is_read_and_checked(spark, tmp_path):
+    def rows(system, tag, n):
+        return spark.createDataFrame([(system, tag, k, "dev" if k % 2 else "test") for k in range(n)], "system string, cfg_tag string, query_id long, split string")
+
+    at = f"{tmp_path}/runs"
+    tables.write_run(rows("base", "aa", 3).unionByName(rows("enh1", "bb", 4)), at, "20260101-0900")
+    tables.write_run(rows("base", "cc", 5), at, "20260102-0900")
+    assert tables.read_latest(spark, at, "base", "cc").count() == 5 and tables.read_latest(spark, at, "enh1", "bb").count() == 4
+    assert {r["query_id"] for r in tables.read_latest(spark, at, "base", "cc", "dev").collect()} == {1, 3}
+    for system, tag in (("base", "aa"), ("enh2", "aa")):
+        with pytest.raises(ValueError):
+            tables.read_latest(spark, at, system, tag)
+    with pytest.raises(Exception, match="exist"):
+        tables.write_run(rows("base", "cc", 1), at, "20260102-0900")
+
+
+def test_noise_bank_knows_its_types(spark, tmp_path):
+    def bank(kind):
+        tables.write_csv(spark.createDataFrame([(kind, "X", f"{kind}.wav", 2.5, 16000.0, -20.0, "ab")], "noise_type string, demand_code string, file string, duration_sec double, fs_source double, rms_dbfs double, sha256 string"), f"{tmp_path}/{kind}")
+        return tables.read_noise_bank(spark, f"{tmp_path}/{kind}", "/root")
+
+    assert bank("cafe").first()["n_samples"] == 20000
+    with pytest.raises(ValueError):
+        bank("rain")
