@@ -19,10 +19,10 @@ BLOCK_BYTES = 4 << 20
 PART_BYTES = 24 << 20
 
 
-def blocked(docs: DataFrame, id_: str, text: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+def blocked(docs: DataFrame, id_: str, text: str, block_bytes: int | None = None) -> tuple[DataFrame, int]:
     """The rows with a column __block, and the number of parts. Blocks are drawn from ids, rows with one id share theirs."""
     size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
+    blocks = max(1, -(-size // (block_bytes or BLOCK_BYTES)))
     return docs.withColumn("__block", F.pmod(F.xxhash64(F.col(id_)), F.lit(blocks))), max(1, -(-size // PART_BYTES))
 
 

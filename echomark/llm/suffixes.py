@@ -6,6 +6,10 @@ fragments of one anchor, at one column counted from it. Fragments of anchors tha
 meet in the part of their anchor, where one symbol per fragment and round is put before the suffixes sorted so far: a
 stable sort by symbol gives the new order, and minima over the old common prefixes give the new ones. A string is
 repeated where the common prefix with a neighbour reaches its length. Columns are kept in a sequential external file.
+
+An anchor with very many fragments, such as a common line in differing surroundings, would bring all of them to one task. Its
+fragments are cut into single strings instead, each of which is its own anchor: strings are dealt by their own
+hashes, and a repeated one is one entry a block.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from .common import SLICE_BYTES, mix, slices
 KMER = 16
 #: Bits of a place inside one run of the anchor kernel; longer texts are taken in overlapping runs.
 PLACE = 23
+#: Fragments of an anchor, distinct within their blocks, beyond which they are cut into single strings: about 100 MB of bytes in one task.
+HEAVY = 1 << 18
 #: What a part says of a fragment: all its strings are repeated; its bytes are wanted; its result will follow.
 DONE, SEND, WAIT = 1, 2, 4
 
@@ -122,15 +128,28 @@ class SpanHashes:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64)) ^ mix(small + np.uint64(BASE))
 
 
+def anchor_keys(anchors: np.ndarray, parts: int) -> np.ndarray:
+    """Part and leading bits of anchors. Those that agree in both are counted together, which can only cut more of them."""
+    return (anchors % np.uint64(parts)) << np.uint64(32) | anchors >> np.uint64(32)
+
+
 class Fragments:
-    """All fragments of a block's texts, and the distinct ones in the order of their parts."""
+    """All fragments of a block's texts, and the distinct ones in the order of their parts; those of heavy anchors (keys) are single strings."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, parts: int):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, parts: int, heavy: np.ndarray | None = None):
         found = []
         with np.errstate(over="ignore"):
             for lo, hi in slices(offsets):
                 a, place, first, last = fragments_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], length)
-                f = mix(SpanHashes(data[offsets[lo] : offsets[hi]])(first, last + length) ^ (place - first).astype(np.uint64))
+                hashes = SpanHashes(data[offsets[lo] : offsets[hi]])
+                if heavy is not None and len(heavy):
+                    cut = np.isin(anchor_keys(a, parts), heavy)
+                    many = (last - first + 1)[cut]
+                    single = np.repeat(first[cut], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    own = hashes(single, single + length)
+                    found.append((mix(own), own, np.zeros(len(own), np.int64), single + offsets[lo], single + offsets[lo]))
+                    a, place, first, last = a[~cut], place[~cut], first[~cut], last[~cut]
+                f = mix(hashes(first, last + length) ^ (place - first).astype(np.uint64))
                 found.append((a, f, place - first, first + offsets[lo], last + offsets[lo]))
         self.a, self.f, self.anchor, self.first, self.last = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
         part = (self.a % np.uint64(parts)).astype(np.int64)
@@ -229,16 +248,53 @@ def range_minima(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarr
 # ---------------------------------------------------------------- exchange
 
 ASK, ASK_ARROW = arrow_schema(part="long", block="long", a="binary", f="binary", times="binary")
-SAY, SAY_ARROW = arrow_schema(block="long", part="long", codes="binary", f="binary", counts="binary", runs="binary")
+COUNT, COUNT_ARROW = arrow_schema(part="long", block="long", keys="binary", counts="binary")
+SAY, SAY_ARROW = arrow_schema(block="long", part="long", codes="binary", f="binary", counts="binary", runs="binary", heavy="binary")
 SEND_, SEND_ARROW = arrow_schema(part="long", block="long", f="binary", lengths="binary", anchors="binary", body="binary", wanted="binary")
 
 
-def ask(text: str, length: int, parts: int):
-    """A block's distinct fragments, by part."""
+def count(text: str, length: int, parts: int):
+    """By part: a block's anchors, and how many distinct fragments each has there."""
 
     def run(key: tuple, docs: pa.Table) -> pa.Table:
         own = Fragments(*table_texts(docs, text), length, parts)
         rows = []
+        for part, lo, hi in zip(own.parts.tolist(), own.bounds[:-1], own.bounds[1:], strict=True):
+            keys, counts = np.unique(anchor_keys(own.a[own.sample[lo:hi]], parts).astype(np.uint32), return_counts=True)
+            rows.append({"part": part, "block": key[0].as_py()} | packed(keys=keys, counts=counts.astype(np.uint32)))
+        return table_of(rows, COUNT_ARROW)
+
+    return run
+
+
+def weigh(most: int):
+    """To every block: which of its anchors have more than so many fragments in all blocks together."""
+
+    def run(key: tuple, counted: pa.Table) -> pa.Table:
+        rows = list(rows_of(counted))
+        keys, counts = (np.frombuffer(b"".join(r[c] for r in rows), np.uint32) for c in ("keys", "counts"))
+        names, at = np.unique(keys, return_inverse=True)
+        heavy = names[np.bincount(at, counts) > most]
+        out = []
+        for r in rows if len(heavy) else []:
+            own = np.intersect1d(np.frombuffer(r["keys"], np.uint32), heavy)
+            if len(own):
+                out.append({"block": r["block"], "part": r["part"]} | packed(heavy=own.astype(np.uint64) | np.uint64(r["part"] << 32)))
+        return table_of(out, SAY_ARROW)
+
+    return run
+
+
+def heavy_of(said: list[dict]) -> np.ndarray:
+    return np.frombuffer(b"".join(r["heavy"] for r in said if r["heavy"] is not None), np.uint64)
+
+
+def ask(text: str, length: int, parts: int):
+    """A block's distinct fragments, by part."""
+
+    def run(key: tuple, docs: pa.Table, weighed: pa.Table) -> pa.Table:
+        own = Fragments(*table_texts(docs, text), length, parts, heavy_of(list(rows_of(weighed))))
+        rows = []
         for part, lo, hi in zip(own.parts.tolist(), own.bounds[:-1], own.bounds[1:], strict=True):
             s = own.sample[lo:hi]
             rows.append({"part": part, "block": key[0].as_py()} | packed(a=own.a[s], f=own.f[s], times=own.times[lo:hi]))
@@ -288,8 +344,9 @@ def send(text: str, length: int, parts: int):
 
     def run(key: tuple, docs: pa.Table, said: pa.Table) -> pa.Table:
         data, offsets = table_texts(docs, text)
-        own = Fragments(data, offsets, length, parts)
-        codes = codes_of(own, list(rows_of(said)))
+        told = list(rows_of(said))
+        own = Fragments(data, offsets, length, parts, heavy_of(told))
+        codes = codes_of(own, told)
         rows = []
         for part, lo, hi in zip(own.parts.tolist(), own.bounds[:-1], own.bounds[1:], strict=True):
             give, wait = (own.sample[lo + np.flatnonzero(codes[lo:hi] & bit)] for bit in (SEND, WAIT))
@@ -331,7 +388,7 @@ def build(length: int):
 
 def removed_mask(data: np.ndarray, offsets: np.ndarray, length: int, parts: int, said: list[dict]) -> np.ndarray:
     """Which bytes of a block lie in a repeated string."""
-    own = Fragments(data, offsets, length, parts)
+    own = Fragments(data, offsets, length, parts, heavy_of(said))
     codes = codes_of(own, said)
     delta = np.zeros(len(data) + 1, np.int64)
     whole = np.flatnonzero(codes[own.distinct] & DONE) if len(own.a) else np.zeros(0, np.int64)
@@ -369,22 +426,25 @@ def spans(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 DIGEST = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"}
 
 
-def exchange(docs: DataFrame, length: int, id_: str, text: str) -> tuple[DataFrame, DataFrame, int]:
+def exchange(docs: DataFrame, length: int, id_: str, text: str, heavy: int) -> tuple[DataFrame, DataFrame, int]:
     """Blocks, what the parts say of them, and the number of parts."""
     rows, parts = blocked(docs, id_, text)
     bare = rows.select(id_, text, "__block") if set(docs.columns) != {id_, text} else rows
-    said = bare.groupBy("__block").applyInArrow(ask(text, length, parts), ASK).groupBy("part").applyInArrow(say, SAY)
+    weighed = bare.groupBy("__block").applyInArrow(count(text, length, parts), COUNT).groupBy("part").applyInArrow(weigh(heavy), SAY)
+    said = bare.groupBy("__block").cogroup(weighed.groupBy("block")).applyInArrow(ask(text, length, parts), ASK).groupBy("part").applyInArrow(say, SAY)
+    said = weighed.unionByName(said)
     sent = bare.groupBy("__block").cogroup(said.groupBy("block")).applyInArrow(send(text, length, parts), SEND_)
     return rows, said.unionByName(sent.groupBy("part").applyInArrow(build(length), SAY)), parts
 
 
-def digests(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def digests(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", text: str = "text", heavy: int = HEAVY) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 after removing each byte that a string of `length` bytes covers which also starts elsewhere in the collection.
 
     Null text counts as empty, a text shorter than `length` loses nothing, equal rows are two documents, an empty table gives an
     empty one; texts of any length are cut into fragments, so a long one costs memory in proportion to itself only.
+    Anchors of more than `heavy` fragments are compared string by string, which changes no result.
     """
-    rows, said, parts = exchange(docs.select(doc_id, text), length, doc_id, text)
+    rows, said, parts = exchange(docs.select(doc_id, text), length, doc_id, text, heavy)
     schema = docs.select(doc_id).schema
     for name, kind in DIGEST.items():
         schema = schema.add(name, kind)
@@ -401,9 +461,9 @@ def digests(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", text: st
     return rows.groupBy("__block").cogroup(said.groupBy("block")).applyInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", text: str = "text", heavy: int = HEAVY) -> DataFrame:
     """The rows with repeated strings cut out of their texts; a character of which a byte is removed goes whole. Null texts stay null."""
-    rows, said, parts = exchange(docs, length, doc_id, text)
+    rows, said, parts = exchange(docs, length, doc_id, text, heavy)
     schema, arrow = docs.schema, to_arrow_schema(docs.schema)
 
     def run(docs: pa.Table, said: pa.Table) -> pa.Table:

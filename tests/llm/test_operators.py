@@ -175,19 +175,23 @@ def repeated_bytes(bodies, length):
     return masks
 
 
-@pytest.mark.parametrize("length", [24, 200])
-def test_repeated_strings(spark, texts, length, monkeypatch):
+@pytest.mark.parametrize("length, heavy", [(24, suffixes.HEAVY), (24, 3), (200, suffixes.HEAVY), (200, 3)])
+def test_repeated_strings(spark, texts, length, heavy, monkeypatch):
     from echomark.llm import blocks
 
     monkeypatch.setattr(blocks, "BLOCK_BYTES", 20000)
     monkeypatch.setattr(blocks, "PART_BYTES", 15000)
+    # a common line of its own bytes in many surroundings: one anchor with many fragments
+    draw, line = np.random.default_rng(5), "".join(map(chr, np.random.default_rng(6).integers(97, 123, 230)))
+    around = lambda: "".join(map(chr, draw.integers(97, 123, 300)))
+    texts = [*texts, *(around() + line + around() for _ in range(12))]
     docs = table(spark, texts)
     bodies = [(t or "").encode() for t in texts]
     masks = repeated_bytes(bodies, length)
-    got = {r["doc_id"]: tuple(r)[1:] for r in suffixes.digests(docs, length).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffixes.digests(docs, length, heavy=heavy).collect()}
     want = {i: (len(b), int(m.sum()), int((m & ~np.concatenate([[False], m[:-1]])).sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~m].tobytes()).hexdigest()) for i, (b, m) in enumerate(zip(bodies, masks, strict=True))}
     assert got == want
-    cut = suffixes.remove_repeats(docs, length)
+    cut = suffixes.remove_repeats(docs, length, heavy=heavy)
     assert cut.columns == docs.columns
     assert {r["doc_id"]: r["text"] for r in cut.collect()} == {i: None if texts[i] is None else np.frombuffer(b, np.uint8)[~m].tobytes().decode("utf-8", "ignore") for i, (b, m) in enumerate(zip(bodies, masks, strict=True))}
 
