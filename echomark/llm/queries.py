@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, mixing, neardup, paragraphs, ppm, prefixes, quality, secrets, suffixes, urls, vectors
+from . import bpe, language, mixing, neardup, paragraphs, phrases, ppm, prefixes, quality, secrets, suffixes, urls, vectors
 from .common import documents, id_crc
 
 
@@ -63,6 +63,10 @@ def op10_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(docs, ~held_out, ["doc_id", "held_out"])
 
 
+def op11_quotient_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(spark, documents(spark, sf_dir, "text", "lang"))
+
+
 def op12_block_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prefixes.numbered(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text"))
     return prefixes.digest(spark, prefixes.with_heads(turns, F.expr("conv - conv % 100"), id_crc("conv") % 6))
@@ -72,5 +76,5 @@ def op13_window_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_paragraph_banding, op2_odd_sketch_minhash, op3_column_bwt, op4_bpe_tree, op5_redirect_equivalence, op6_hyperdimensional_language, op7_apportioned_mix, op8_spherical_caps, op9_line_frequency, op10_partial_matching, op12_block_trie, op13_window_entropy)}
-SQL = {"op5_redirect_equivalence": urls.URL_SQL, "op7_apportioned_mix": mixing.MIX_SQL, "op9_line_frequency": quality.QUALITY_SQL, "op12_block_trie": prefixes.TRIE_SQL}
+QUERIES = {f.__name__: f for f in (op1_paragraph_banding, op2_odd_sketch_minhash, op3_column_bwt, op4_bpe_tree, op5_redirect_equivalence, op6_hyperdimensional_language, op7_apportioned_mix, op8_spherical_caps, op9_line_frequency, op10_partial_matching, op11_quotient_phrases, op12_block_trie, op13_window_entropy)}
+SQL = {"op5_redirect_equivalence": urls.URL_SQL, "op7_apportioned_mix": mixing.MIX_SQL, "op9_line_frequency": quality.QUALITY_SQL, "op11_quotient_phrases": phrases.PHRASE_SQL, "op12_block_trie": prefixes.TRIE_SQL}
