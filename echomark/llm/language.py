@@ -16,8 +16,10 @@ from .common import mix, slices, texts
 BITS = 1024
 #: Letters of an n-gram.
 GRAM = 3
-#: Bytes of text whose n-grams are looked up together.
+#: Bytes of text whose n-grams are looked up together, and counts of n-grams by text and vectors of n-grams that are held at a time.
 TEXT_BYTES = 192 << 10
+CELLS = 1 << 22
+VECTORS = 1 << 13
 
 
 @cache
@@ -33,8 +35,8 @@ def letter_bits(code_points: np.ndarray, turn: int) -> np.ndarray:
     return np.packbits(np.roll(np.unpackbits(packed, axis=1), turn, axis=1), axis=1)
 
 
-def profiles(docs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of n-grams by text, the n-grams' vectors, and which texts have a letter.
+def grams_of(docs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each place of an n-gram its text and its number among the distinct n-grams; these, packed by the letters found; the letters; and which texts have a letter.
 
     Text is lower-cased; what is not a letter separates words. An n-gram has a letter in its middle and a
     letter or a word's edge on either side; its vector binds its letters' vectors, each turned by its place.
@@ -61,10 +63,40 @@ def profiles(docs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         inverse = place[code]
     else:
         grams, inverse = np.unique(code, return_inverse=True)
-    counts = np.bincount(doc[middle] * len(grams) + inverse, minlength=len(docs) * len(grams)).astype(np.float32).reshape(len(docs), len(grams))
+    return doc[middle], inverse, grams, found, has
+
+
+def counts_of(n_docs: int, doc: np.ndarray, inverse: np.ndarray, n_grams: int) -> np.ndarray:
+    return np.bincount(doc * n_grams + inverse, minlength=n_docs * n_grams).astype(np.float32).reshape(n_docs, n_grams)
+
+
+def vectors_of(grams: np.ndarray, found: np.ndarray) -> np.ndarray:
+    n = len(found)
     bits = letter_bits(found, 2)[grams // (n * n)] ^ letter_bits(found, 1)[grams // n % n] ^ letter_bits(found, 0)[grams % n]
-    vectors = 1 - 2 * np.unpackbits(bits, axis=1).astype(np.float32)
-    return counts, vectors, has
+    return 1 - 2 * np.unpackbits(bits, axis=1).astype(np.float32)
+
+
+def profiles(docs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of n-grams by text, the n-grams' vectors, and which texts have a letter."""
+    doc, inverse, grams, found, has = grams_of(docs)
+    return counts_of(len(docs), doc, inverse, len(grams)), vectors_of(grams, found), has
+
+
+def bundles(docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The bundle of each text's n-gram vectors, and which texts have a letter.
+
+    Texts are halved until counts by text and n-gram fit CELLS, and vectors are made for VECTORS n-grams at a time, so that neither many short texts nor one
+    of many n-grams takes more memory.
+    """
+    doc, inverse, grams, found, has = grams_of(docs)
+    if len(docs) > 1 and len(docs) * len(grams) > CELLS:
+        half = len(docs) // 2
+        left, right = bundles(docs[:half]), bundles(docs[half:])
+        return np.concatenate([left[0], right[0]]), np.concatenate([left[1], right[1]])
+    counts, out = counts_of(len(docs), doc, inverse, len(grams)), np.zeros((len(docs), BITS))
+    for lo in range(0, len(grams), VECTORS):
+        out += counts[:, lo : lo + VECTORS] @ vectors_of(grams[lo : lo + VECTORS], found)
+    return out, has
 
 
 def text_parts(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -85,10 +117,9 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
         for batch in batches:
             for part, own in text_parts(batch, text):
                 names = part.column(lang).to_pylist()
-                counts, vectors, _ = profiles(own)
+                found, _ = bundles(own)
                 for name in set(names):
-                    rows = counts[[x == name for x in names]].sum(axis=0, dtype=np.float64)
-                    sums[name] = sums.get(name, 0) + rows @ vectors
+                    sums[name] = sums.get(name, 0) + found[[x == name for x in names]].sum(axis=0)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([list(x) for x in sums.values()], pa.list_(pa.float64()))], names=["lang", "part"])
 
@@ -112,12 +143,11 @@ def predict(docs: DataFrame, prototypes: dict[str, list[float]], keep: list[str]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, own in text_parts(batch, text):
-                counts, vectors, has = profiles(own)
-                bundles = (counts @ vectors).astype(np.float64)
-                norm = np.linalg.norm(bundles, axis=1)
+                found, has = bundles(own)
+                norm = np.linalg.norm(found, axis=1)
                 has &= (norm > 0) & bool(names)
                 if names:
-                    cosines = (bundles @ matrix.T) / np.maximum(norm, 1e-300)[:, None]
+                    cosines = (found @ matrix.T) / np.maximum(norm, 1e-300)[:, None]
                     best = cosines.argmax(axis=1)
                     score = np.where(has, np.clip((1 + cosines[np.arange(len(own)), best]) / 2, 0, 1), 0.0)
                 else:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from .cells import classes_of_buckets, links_in_cell
-from .common import Cut, Sets, bands_for, binary_column, join_ids, list_column, mix, overlap, shingles, sliced
+from .common import Cut, Sets, bands_for, binary_column, components, join_ids, list_column, mix, overlap, shingles, sliced
 
 #: Samples in a band, and the probability that a pair at the threshold meets in no band.
 ROWS = 5
@@ -114,7 +114,7 @@ def classes(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int =
     whole texts; buckets that still hold several components are then compared in blocks, exactly, across these
     components. A link is lost only if its texts meet in no band (MISS at the threshold, less above it).
 
-    Null or empty texts have no shingles and link with nothing; ids should be distinct, rows with a null
+    Null or empty texts have no shingles and link with nothing; rows that share an id but not a text are one document, linked by any of its texts; rows with a null
     id are their own component, of equal rows each gets the same answer; texts of any length are taken whole, in
     memory in proportion to the longest; an empty table gives an empty one; extra columns, also of the results' names, are ignored.
     """
@@ -123,7 +123,11 @@ def classes(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int =
     most = most_differing_bits(percent / 100, len(sets.a))
     all_ = cut.table(features(docs, sets, width, doc_id, text))
     same = cut.table(all_.where("n_shingles > 0 and id is not null").groupBy("n_shingles", "set_a", "set_b").agg(F.min("id").alias("head")))
-    heads = cut.table(all_.join(same.select(F.col("head").alias("id")), "id", "left_semi").dropDuplicates(["id"]))
+    key = ["n_shingles", "set_a", "set_b"]
+    heads = cut.table(all_.join(same.select(F.col("head").alias("id"), *key), ["id", *key], "left_semi").dropDuplicates(["id", *key]))
+    # an id with several texts joins their classes
+    owned = all_.where("n_shingles > 0 and id is not null").groupBy("id").agg(F.min(F.struct(*key)).alias("lo"), F.max(F.struct(*key)).alias("hi")).where("lo <> hi").select("id")
+    tied = cut.table(all_.join(cut.table(owned), "id", "left_semi").join(same, key).select(F.col("id").alias("b"), F.col("head").alias("a")).where("a <> b").distinct())
     sketches = heads.select("id", "sketch")
 
     def confirmed(stars: DataFrame) -> DataFrame:
@@ -133,20 +137,26 @@ def classes(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int =
     def whole(ids: DataFrame) -> DataFrame:
         return join_ids(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), "id", ids, "left_semi")
 
-    comps = classes_of_buckets(spark, heads.select("id", F.explode("bands").alias("key")), confirmed, whole, linked_texts(width, percent), BLOCK)
+    comps = classes_of_buckets(spark, heads.select("id", F.explode("bands").alias("key")).distinct(), confirmed, whole, linked_texts(width, percent), BLOCK)
+    if not tied.isEmpty():
+        comps = cut.table(components(spark, comps.select(F.col("node").alias("b"), F.col("component").alias("a")).unionByName(tied)))
     heads = same.join(comps.select(F.col("node").alias("head"), "component"), "head", "left").select("n_shingles", "set_a", "set_b", F.coalesce("component", "head").alias("component"))
     out = all_.select("id", "n_shingles", "set_a", "set_b").join(heads, ["n_shingles", "set_a", "set_b"], "left")
     return out.select(F.col("id").alias(doc_id), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs without those that have a near-duplicate with a lesser id; of rows with one id one stays, those without an id all stay."""
+    """The rows of docs without those that have a near-duplicate with a lesser id; of rows equal in id and text one stays, those without an id all stay.
+
+    Rows that share an id but not a text are one document with several texts, which all stay. Of rows equal in id and text but not in other
+    columns, the one of the least hash of all columns stays, so that reruns agree.
+    """
     cut = Cut(spark)
     gone = cut.table(classes(spark, docs, width, percent, doc_id, text).where(F.col(doc_id) != F.col("component_id")).select(doc_id).distinct())
     left = join_ids(docs, doc_id, gone, "left_anti")
     repeated = cut.table(docs.groupBy(doc_id).count().where((F.col("count") > 1) & F.col(doc_id).isNotNull()).select(doc_id))
     if repeated.isEmpty():
         return left
-    first = Window.partitionBy(doc_id).orderBy(F.lit(1))
+    first = Window.partitionBy(doc_id, text).orderBy(F.xxhash64(*docs.columns), *(c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))))
     one = join_ids(left, doc_id, repeated, "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
     return join_ids(left, doc_id, repeated, "left_anti").unionByName(one)

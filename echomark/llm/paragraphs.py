@@ -132,24 +132,29 @@ def paragraph_samples(words: np.ndarray, lo: np.ndarray, hi: np.ndarray, sets: S
 
 
 def shingle_sets(ids: DataFrame, places: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(id, shingles) of the paragraphs of such hashes, from whole texts. places has (h, id, par): a document that holds the paragraph, and its number."""
+    """(id, shingles) of the paragraphs of such hashes, from whole texts. places has (h, id, par): a document that holds the paragraph, and its number.
+
+    Of rows that share an id each is looked at; the paragraph is taken from those that hold it there.
+    """
     wanted = ids.select(F.col("id").alias("h")).join(places, "h").groupBy("id").agg(F.collect_list(F.struct("par", "h")).alias("wanted"))
-    own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).dropDuplicates(["id"]).join(wanted, "id")
+    own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(wanted, "id")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in sliced(batches, "text"):
             u = Units(data, offsets)
-            first = np.searchsorted(u.p_doc, np.arange(part.num_rows))
+            first = np.searchsorted(u.p_doc, np.arange(part.num_rows + 1))
             h, out = [], []
             for i, want in enumerate(part.column("wanted").to_pylist()):
                 for w in want:
                     k = first[i] + w["par"]
+                    if k >= first[i + 1] or u.p_hash[k] != w["h"]:
+                        continue
                     with np.errstate(over="ignore"):
                         out.append(shingle_hashes(u.words[u.p_lo[k] : u.p_hi[k]], np.array([0, u.p_hi[k] - u.p_lo[k]]), WIDTH)[0].tobytes())
                     h.append(w["h"])
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(out, pa.binary())], names=["id", "shingles"])
 
-    return own.select("id", "text", "wanted").mapInArrow(pick, "id long, shingles binary")
+    return own.select("id", "text", "wanted").mapInArrow(pick, "id long, shingles binary").dropDuplicates(["id"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -186,7 +191,7 @@ def clusters(spark: SparkSession, docs: DataFrame, percent: int = 80, least_word
     it is equal to another one, and is listed if the run of repeated ones that it stands in, which goes on over line breaks, has least_words words; sentence is its number in the
     paragraph, and null for whole paragraphs.
     A-Z are lower-cased and white space is equal. Null and empty texts have no paragraphs; a row with a null id is
-    left out; repeated rows repeat their paragraphs, which makes them members of a cluster; an empty table gives an empty one; texts of any length are taken
+    left out; repeated rows repeat their paragraphs, which makes them members of a cluster, and rows that share an id are one document of all their paragraphs; an empty table gives an empty one; texts of any length are taken
     whole, in memory in proportion to the longest; other columns are ignored.
     """
     cut = Cut(spark)

@@ -313,8 +313,8 @@ def split(table: pa.Table, packing: Packing, first: int, prefix: int) -> pa.Tabl
 
 
 def strength(a: Column, left: Column, right: Column) -> Column:
-    """floor(1000000 * a * a / (left * right)), exactly, for counts below 10^15."""
-    wide = lambda x: x.cast("decimal(15,0)")
+    """floor(1000000 * a * a / (left * right)), exactly, for counts below 10^16."""
+    wide = lambda x: x.cast("decimal(18,0)")
     return F.call_function("div", F.lit(1000000).cast("decimal(7,0)") * (wide(a) * wide(a)), wide(left) * wide(right))
 
 

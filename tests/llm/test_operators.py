@@ -543,3 +543,58 @@ def test_empty_tables(spark, sf, tmp_path, name):
 
 def test_crc_is_that_of_the_decimal_digits(spark):
     assert spark.createDataFrame([(123,)], "doc_id long").select(common.id_crc()).first()[0] == zlib.crc32(b"123")
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_rows_that_share_an_id(spark, turned):
+    """A document of several texts: its paragraphs are found whichever row comes first, and it is linked by any of its texts."""
+    draw = random.Random(21)
+    lines = [prose(draw, 60) for _ in range(4)]
+    near = " ".join(w if i != 17 else "edited" for i, w in enumerate(lines[2].split()))
+    own = [(1, "\n".join(lines[:3])), (1, lines[3]), (2, near), (3, prose(draw, 50))]
+    own = own[::-1] if turned else own
+    docs = spark.createDataFrame(own, "doc_id long, text string").coalesce(1)
+    got = {(r["doc_id"], r["paragraph"]): r["kept"] for r in paragraphs.clusters(spark, docs).collect()}
+    assert got == {(1, 2): True, (2, 0): False}
+
+    a, b = prose(draw, 90), prose(draw, 90)
+    close = " ".join(w if i != 17 else "edited" for i, w in enumerate(b.split()))
+    own = [(1, a), (1, b), (2, close), (3, prose(draw, 60)), (5, a), (5, close + " x"), (1, a), (None, a)]
+    own = own[::-1] if turned else own
+    docs = spark.createDataFrame(own, "doc_id long, text string").coalesce(1)
+    got = sorted({(r["doc_id"] or 0, r["component_id"] or 0) for r in neardup.classes(spark, docs).collect()})
+    assert got == [(0, 0), (1, 1), (2, 1), (3, 3), (5, 1)]
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in neardup.keep_one(spark, docs).collect())
+    assert kept == sorted([(1, a), (1, b), (3, next(t for i, t in own if i == 3)), (0, a)])
+
+
+def test_an_id_ties_the_classes_of_its_texts(spark):
+    """7 shares a text with 4 and another with 6, which are otherwise strangers."""
+    draw = random.Random(22)
+    x, y = prose(draw, 50), prose(draw, 50)
+    docs = spark.createDataFrame([(4, x), (6, y), (7, x), (7, y), (8, prose(draw, 30))], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in neardup.classes(spark, docs).collect()} == {(4, 4), (6, 4), (7, 4), (8, 8)}
+
+
+def test_many_short_titles_take_bounded_memory():
+    """10,000 titles of six CJK letters, whose n-grams are nearly all distinct: the same bundles as one by one, in less than 500 MB."""
+    import tracemalloc
+
+    draw = random.Random(2)
+    titles = ["".join(chr(draw.randrange(0x4E00, 0x9FA5)) for _ in range(6)) for _ in range(10_000)]
+    language.bundles(titles[:3])
+    tracemalloc.start()
+    got, has = language.bundles(titles)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6 and has.all()
+    for i in (0, 4999, 5000, 9999):
+        counts, vectors, _ = language.profiles([titles[i]])
+        assert np.array_equal(got[i], (counts @ vectors)[0])
+
+
+def test_one_text_of_many_grams_is_bundled_in_parts():
+    draw = random.Random(3)
+    text = "".join(chr(draw.randrange(0x4E00, 0x9FA5)) for _ in range(30_000))
+    counts, vectors, _ = language.profiles([text, "abc"])
+    assert np.array_equal(language.bundles([text, "abc"])[0], (counts @ vectors).astype(np.float64))
