@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import catalog, evaluation, landmarks, matching, peaks, signals, tuning
-from ..sources import audio
+from ..operators import catalog, evaluation, landmarks, matching, packed, peaks, signals, tuning
+from ..sources import audio, files, tables
+from ..sources.segments import SegmentedIndex
 from . import bindings as B
 from . import studies
 from .config import SYSTEMS, Eval, baseline_config, resolve_query, system_config
@@ -414,6 +415,48 @@ def wav_selfmatch(spark, sf):
     return out.select("query_id", "pred1", "score1", "accepted")
 
 
+def audio_roundtrip(spark, sf):
+    """Each user's values as a WAV file of 8 kHz, written by the data source, read again with a filter on the path, and counted in steps of 16 bits."""
+    files.register(spark)
+    at = tables.work_dir(spark, "audio")
+    s = B.signal(spark, sf).groupBy("clip").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", (F.col("x") / 512).alias("x")))), lambda r: r["x"]).alias("samples"))
+    s.select(F.concat(F.lit("user"), F.col("clip").cast("string"), F.lit(".wav")).alias("name"), "samples", F.lit(8000).alias("fs")).write.format("audio").mode("append").save(at)
+    rows = spark.read.format("audio").load(at).where("path like '%.wav'")
+    clip = F.regexp_extract("path", r"user(\d+)\.wav$", 1).cast("long").alias("clip")
+    rows = rows.select(clip, "fs", "n_channels", "n_samples", "encoding", F.posexplode("samples").alias("i", "x"))
+    return rows.select("clip", "fs", "n_channels", "n_samples", "encoding", F.col("i").cast("long").alias("i"), F.round(F.col("x") * 32768).cast("long").alias("level"))
+
+
+def _packed(spark, sf, block=None):
+    postings = _postings(spark, sf)
+    songs = B.read(spark, sf, "embeddings").select(F.col("label").cast("int").alias("song_id"), F.lit(B.SMALL.tag).alias("cfg_tag")).distinct().where("song_id is not null")
+    return packed.pack(postings, songs, block)
+
+
+def packed_lookup(spark, sf):
+    """The lookup from packed blocks of some hundred postings, so that ranges and parts of ranges occur."""
+    return packed.lookup_packed(_queries(spark, sf), *_packed(spark, sf, 200))
+
+
+def packed_stats(spark, sf):
+    """Bytes without the one pointer more that each block has."""
+    s = packed.packed_stats(_packed(spark, sf)[0])
+    return s.select("n_keys", "n_postings", *((F.col(c) - 4 * F.col("n_blocks")).alias(c) for c in ("bytes", "bytes_formula")))
+
+
+def segment_index(spark, sf):
+    """Songs enrolled in two segments, one retired, one retired and enrolled again, then merged: the index that enrolment at once would have given."""
+    rows = _postings(spark, sf)
+    songs = B.read(spark, sf, "embeddings").select(F.col("label").cast("int").alias("song_id"), F.lit("").alias("sha256"), F.lit(B.SMALL.tag).alias("cfg_tag")).distinct().where("song_id is not null")
+    index = SegmentedIndex(spark, tables.work_dir(spark, "index"), B.SMALL.tag)
+    for own in ("song_id % 2 = 0", "song_id % 2 = 1"):
+        index.enrol(rows.where(own), songs.where(own))
+    index.retire(songs.where("song_id in (3, 4)"))
+    index.enrol(rows.where("song_id = 4"), songs.where("song_id = 4"))
+    index.compact()
+    return index.live()
+
+
 def constellation_axes(spark, sf):
     return _rounded(studies.constellation_axes(peaks_fixed(spark, sf).drop("mag_db"), B.SMALL), 6)
 
@@ -451,5 +494,5 @@ QUERIES = {f.__name__: f for f in (
     lookup, lookup_lists, offset_hist, offset_smooth, rank_topk, identify, winner_histogram, open_set, query_manifest, manifest_invariants, excerpt_starts, demo_rows, subset_by_song, metrics, wilson, paired_comparison, paired_overlap, mcnemar, verdicts,
     headroom, knee_probe, norm_ratio, knee_manifest, latest_runs, holdout_check, tau_grid, threshold_sweep, operating_point, budget_table, pareto, split_assign, id_assign, composition, merge_prior, retired, work_list, filename_parse,
     path_classify, catalog_coerce, missing_noise, sha_catalog, fnv_tag, preemphasis, rms_normalize, frame_energy, dft_bins, noise_spectrum, spectral_subtract, snr_mix, excerpt_gate, peak_budget,
-    query_config, system_registry, constellation_axes, accuracy_series, repertoire_confusion, systematic_sample, enrol_actions, wav_selfmatch, neighbourhood_sweep, enrol_gate,
+    query_config, system_registry, constellation_axes, accuracy_series, repertoire_confusion, systematic_sample, enrol_actions, audio_roundtrip, packed_lookup, packed_stats, segment_index, wav_selfmatch, neighbourhood_sweep, enrol_gate,
 )}

@@ -145,6 +145,10 @@ SQL = {
     "hash_pairs_events": f"with {EVENT_PEAKS}, {paired('ep', 'p')} select clip, h, t1 from p",
     "hash_pack_roundtrip": "select l_orderkey, l_linenumber, (l_partkey % 512) * 8388608 + (l_suppkey % 512) * 16384 + l_orderkey % 16384 as h, l_partkey % 512 as f1, l_suppkey % 512 as f2, l_orderkey % 16384 as dt from lineitem",
     "index_postings": f"with {INDEX} select * from postings",
+    "audio_roundtrip": f"with {SIGNAL} select clip, 8000 as fs, 1 as n_channels, count(*) over (partition by clip) as n_samples, 'pcm16' as encoding, i, cast(round(x * 64) as bigint) as level from sig",
+    "packed_lookup": f"with {QUERY}, {matched()} select * from hits",
+    "packed_stats": f"with {INDEX} select count(distinct h) as n_keys, count(*) as n_postings, 8 * count(distinct h) + 6 * count(*) as bytes, 8 * count(distinct h) + 6 * count(*) as bytes_formula from postings",
+    "segment_index": f"with {INDEX} select * from postings where song_id <> 3",
     "index_lists": f"with {INDEX} select h, count(*) as n, string_agg(song_id || ':' || t1, ',' order by song_id, t1) as list from postings group by h",
     "index_prune": f"with {EVENT_PEAKS}, {paired('ep', 'p')} select h, clip as song_id, t1 from p where h in (select h from p group by h having count(*) <= 3)",
     "index_stats": f"with {INDEX}, l as (select h, count(*) as n from postings group by h), a as (select cast(sum(n) as bigint) as n_postings, count(*) as n_keys, max(n) as max_len, avg(n) as mean_len, median(n) as median_len, quantile_disc(n, 0.99) as p99_len, avg((n = 1)::int) as singletons from l), b as (select count(distinct song_id) as n_songs from postings) select n_postings, n_keys, max_len, n_songs, 4 * n_keys + 4 * (n_keys + 1) + 6 * n_postings as bytes, p99_len, round(mean_len, 6) as mean_len, round(median_len, 6) as median_len, round(singletons, 6) as singletons, round(n_postings / n_songs::double, 6) as postings_per_song, round(n_keys / n_songs::double, 6) as keys_per_song from a, b",
