@@ -19,12 +19,12 @@ def development_rows(results: DataFrame, lo: float = 0.0, hi: float = float("inf
     return results.withColumn("split", split).where(F.col("snr_db").between(lo, hi))
 
 
-def require_holdout(rows: DataFrame) -> DataFrame:
-    """The rows, if there are any and some are of unknown songs; else an error, as no false-accept rate could be measured."""
+def require_holdout(rows: DataFrame) -> tuple[int, int]:
+    """How many rows are of songs in the index and how many of unknown ones; an error if there are no rows or none of unknown songs, as no false-accept rate could be measured."""
     n, unknown = rows.agg(F.count("*"), F.count(F.when(~F.col("is_in_db"), 1))).first()
     if not n or not unknown:
         raise ValueError("no rows to tune on" if not n else "no rows of unknown songs")
-    return rows
+    return n - unknown, unknown
 
 
 def tau_grid(rows: DataFrame) -> DataFrame:
@@ -34,33 +34,46 @@ def tau_grid(rows: DataFrame) -> DataFrame:
     return found.select(F.col("q").alias("tau")).unionByName(rows.sparkSession.range(1).select(F.lit(0.0).alias("tau"))).distinct()
 
 
+#: The least denominator of f1 (fixed value).
+EPS = 2.220446049250313e-16
+
+
 def sweep(spark: SparkSession, rows: DataFrame, taus: DataFrame | None = None, rhos=RHO_GRID) -> DataFrame:
-    """(tau, rho, tp, n_accepted, n_false_accept, precision, recall, far, f1) of all threshold pairs.
+    """(tau, rho, tp, n_accepted, n_false_accept, precision, recall, far, f1) of all threshold pairs; precision and f1 are 0 where nothing is accepted. Without rows of unknown songs it is an error.
 
-    Rows are binned by the last grid point that each of their two scores reaches, and cells are sums over the bins at or above
-    them; so the table is read once and only the grid is crossed with itself, however many rows there are.
+    Rows are binned by the last grid point that each of their two scores reaches. A pair's counts are those of the bins at or above it on
+    both axes, which two running sums over the grid give, one along each axis: the table is read once for the bins, and neither the rows nor
+    the bins are joined with the grid but by equality.
     """
+    n_in_db, n_holdout = require_holdout(rows)
     taus = tau_grid(rows) if taus is None else taus
-    ts = taus.agg(F.sort_array(F.collect_set("tau")).alias("ts"))
-    rs = F.array(*map(F.lit, sorted(float(r) for r in rhos)))
-    binned = rows.join(F.broadcast(ts), F.lit(True)).select(F.size(F.filter("ts", lambda t: t <= F.col("norm_score"))).alias("i"), F.size(F.filter(rs, lambda r: r <= F.col("margin"))).alias("j"), "is_in_db", "correct")
+    points = [sorted(r[0] for r in taus.distinct().collect()), sorted(float(r) for r in rhos)]  # the grid's axes, TAUS + 1 and a dozen
+    ts, rs = (F.array(*map(F.lit, x)) for x in points)
+    reached = lambda axis, score: F.size(F.filter(axis, lambda x: x <= F.col(score)))
     count = lambda c: F.count(F.when(c, 1))
-    bins = binned.groupBy("i", "j").agg(count(F.col("is_in_db") & F.col("correct")).alias("tp"), F.count("*").alias("acc"), count(~F.col("is_in_db")).alias("fa"), count(F.col("is_in_db")).alias("known"))
-    totals = bins.agg(F.sum("known").alias("n_in_db"), F.sum("fa").alias("n_holdout"))
-    grid = ts.select(F.posexplode("ts").alias("a", "tau")).join(spark.range(1).select(F.posexplode(rs).alias("b", "rho")), F.lit(True))
-    cells = F.broadcast(grid).join(bins, (F.col("i") > F.col("a")) & (F.col("j") > F.col("b")), "left").groupBy("tau", "rho").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("tp", "tp"), ("acc", "n_accepted"), ("fa", "n_false_accept"))))
-    out = cells.join(F.broadcast(totals), F.lit(True))
-    out = out.withColumn("precision", F.col("tp") / F.nullif("n_accepted", F.lit(0))).withColumn("recall", F.col("tp") / F.nullif("n_in_db", F.lit(0))).withColumn("far", F.col("n_false_accept") / F.nullif("n_holdout", F.lit(0)))
-    f1 = 2 * F.col("precision") * F.col("recall") / F.nullif(F.col("precision") + F.col("recall"), F.lit(0.0))
-    return out.withColumn("f1", f1).drop("n_in_db", "n_holdout")
+    bins = rows.groupBy(reached(ts, "norm_score").alias("i"), reached(rs, "margin").alias("j")).agg(
+        count(F.col("is_in_db") & F.col("correct")).alias("tp"), F.count("*").alias("n_accepted"), count(~F.col("is_in_db")).alias("n_false_accept")
+    )
+    grid = spark.range(1).select(F.posexplode(ts).alias("i", "tau")).select((F.col("i") + 1).alias("i"), "tau", F.posexplode(rs).alias("j", "rho")).withColumn("j", F.col("j") + 1)
+    cells = grid.join(bins, ["i", "j"], "left").na.fill(0, ["tp", "n_accepted", "n_false_accept"])
+    for own, along in (("i", "j"), ("j", "i")):
+        above = Window.partitionBy(own).orderBy(F.col(along).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cells = cells.withColumns({c: F.sum(c).over(above) for c in ("tp", "n_accepted", "n_false_accept")})
+    out = cells.select("tau", "rho", "tp", "n_accepted", "n_false_accept")
+    out = out.withColumns({"precision": F.col("tp") / F.greatest("n_accepted", F.lit(1)), "recall": F.col("tp") / F.nullif(F.lit(n_in_db), F.lit(0)), "far": F.col("n_false_accept") / F.lit(n_holdout)})
+    return out.withColumn("f1", 2 * F.col("precision") * F.col("recall") / F.greatest(F.col("precision") + F.col("recall"), F.lit(EPS)))
 
 
 def operating_point(cells: DataFrame, budget: float | None = 0.01) -> DataFrame:
-    """The chosen cell: with a budget, the best recall (then precision, then lower thresholds) among false-accept rates within it, or the least rate if none is; without, the best f1."""
+    """The chosen cell: with a budget, the best recall (then precision, then lower thresholds) among false-accept rates within it; without, the best f1.
+
+    If no cell is within the budget it is the first of the least rate, in order of tau and rho, and within_budget is false: this system cannot keep that rate.
+    """
     if budget is None:
         return cells.orderBy(F.col("f1").desc_nulls_last(), "tau", "rho").limit(1)
-    fits = (F.col("far") <= budget).cast("int")
-    return cells.withColumn("within_budget", F.col("far") <= budget).orderBy(fits.desc(), F.when(fits == 0, F.col("far")), F.col("recall").desc(), F.col("precision").desc_nulls_last(), "tau", "rho").limit(1)
+    fits = F.col("far") <= budget
+    inside = lambda c: F.when(fits, F.col(c)).desc_nulls_last()
+    return cells.withColumn("within_budget", fits).orderBy(fits.desc(), F.when(~fits, F.col("far")), inside("recall"), inside("precision"), "tau", "rho").limit(1)
 
 
 def budget_table(spark: SparkSession, cells: DataFrame, budgets=BUDGETS) -> DataFrame:

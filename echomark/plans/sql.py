@@ -102,8 +102,8 @@ PVALUE = "case when only_a + only_b = 0 then 1.0 else " + TAIL.replace("M", "(on
 SWEEP = f"""{results(7919, 'r0')}, r as (select * from r0 where split = 'dev' and snr_db >= 0),
 xs as (select list_sort(list(norm_score)) as xs from r), taus as (select distinct round(tau, 9) as tau from (select 0.0::double as tau union all select {hazen('xs', '(0.999::double * i / 119)')} from xs, unnest(range(0, 120)) u(i)) where tau is not null), rhos(rho) as (values {', '.join(f'({x}::double)' for x in RHO_GRID)}),
 s0 as (select tau, rho, count(*) filter (is_in_db and correct and norm_score >= tau and margin >= rho) as tp, count(*) filter (norm_score >= tau and margin >= rho) as n_accepted, count(*) filter (not is_in_db and norm_score >= tau and margin >= rho) as n_false_accept, count(*) filter (is_in_db) as ni, count(*) filter (not is_in_db) as nh from taus, rhos, r group by tau, rho),
-s1 as (select tau, rho, tp, n_accepted, n_false_accept, tp / nullif(n_accepted, 0)::double as precision, tp / nullif(ni, 0)::double as recall, n_false_accept / nullif(nh, 0)::double as far from s0),
-s as (select *, 2 * precision * recall / nullif(precision + recall, 0) as f1 from s1)"""
+s1 as (select tau, rho, tp, n_accepted, n_false_accept, tp / greatest(n_accepted, 1)::double as precision, tp / nullif(ni, 0)::double as recall, n_false_accept / nullif(nh, 0)::double as far from s0),
+s as (select *, 2 * precision * recall / greatest(precision + recall, {EPS}) as f1 from s1)"""
 
 
 def rate(name: str, k: str, n: str) -> str:
@@ -191,7 +191,7 @@ SQL = {
     "holdout_check": f"with {results(7919, 'r')}, k as (select song_id, query_id % 50 as pred1, norm_score, row_number() over (partition by song_id order by norm_score desc, query_id) as k from r where not is_in_db) select song_id, pred1, round(norm_score, 9) as norm_score, norm_score >= 0.15 as suspect from k where k = 1",
     "tau_grid": f"with {results(7919, 'r0')}, x as (select list_sort(list(norm_score)) as xs from r0 where split = 'dev' and snr_db >= 0), q as (select 0.0::double as tau union all select {hazen('xs', '(0.999::double * i / 119)')} from x, unnest(range(0, 120)) u(i)) select distinct round(tau, 9) as tau from q where tau is not null",
     "threshold_sweep": f"with {SWEEP} select tau, rho, tp, n_accepted, n_false_accept, round(precision, 9) as precision, round(recall, 9) as recall, round(far, 9) as far, round(f1, 9) as f1 from s",
-    "operating_point": f"with {SWEEP} select tau, rho, round(recall, 9) as recall, round(precision, 9) as precision, round(far, 9) as far from s order by far <= 0.3 desc, case when far > 0.3 then far end nulls first, s.recall desc, s.precision desc nulls last, tau, rho limit 1",
+    "operating_point": f"with {SWEEP} select tau, rho, round(recall, 9) as recall, round(precision, 9) as precision, round(far, 9) as far from s order by far <= 0.3 desc, case when far > 0.3 then far end nulls first, case when far <= 0.3 then s.recall end desc nulls last, case when far <= 0.3 then s.precision end desc nulls last, tau, rho limit 1",
     "budget_table": f"with {SWEEP} select budget, round(max(recall), 9) as recall from (values (0.05::double), (0.1), (0.2), (0.3), (0.5), (1.0)) b(budget) left join s on far <= budget group by budget",
     "pareto": f"with {SWEEP}, o as (select far, max(recall) as recall from s where far is not null group by far), w as (select *, max(recall) over (order by far rows between unbounded preceding and 1 preceding) as top from o) select round(far, 9) as far, round(recall, 9) as recall from w where top is null or recall > top",
     "split_assign": f"with {CATALOG}, n as (select *, cast(round(count(*) over s * case when role = 'holdout' then 0.5 else 0.2 end) as int) - count(*) filter (split = 'dev') over s as need, row_number() over (partition by role, repertoire, split is null order by md5('42|' || source_path), source_path) as k from cat window s as (partition by role, repertoire)) select source_path, role, repertoire, case when split is not null then split when k <= need then 'dev' else 'test' end as split from n",
