@@ -11,6 +11,7 @@ from ..functions import columns as C
 from ..operators import catalog, evaluation, landmarks, matching, packed, peaks, signals, tuning
 from ..sources import audio, files, tables
 from ..sources.segments import SegmentedIndex
+from ..streaming import stateful
 from . import bindings as B
 from . import studies
 from .config import SYSTEMS, Eval, baseline_config, resolve_query, system_config
@@ -126,8 +127,7 @@ def rank_topk(spark, sf):
 
 def identify(spark, sf):
     q = B.read(spark, sf, "embeddings").select(F.col("label").cast("long").alias("query_id")).distinct()
-    out = matching.identify(q, _queries(spark, sf), _postings(spark, sf), B.SMALL.match)
-    return out.select("query_id", *[F.col(c).cast("long").alias(c) for c in ("n_hashes", "pred1", "score1", "best_delta", "pred2", "score2", "n_postings", "n_candidates")], F.round("norm_score", 9).alias("norm_score"), F.round("margin", 9).alias("margin"), "accepted")
+    return _decisions(matching.identify(q, _queries(spark, sf), _postings(spark, sf), B.SMALL.match))
 
 
 def winner_histogram(spark, sf):
@@ -415,6 +415,26 @@ def wav_selfmatch(spark, sf):
     return out.select("query_id", "pred1", "score1", "accepted")
 
 
+def identify_streamed(spark, sf):
+    """The decisions of identify() from a stream that brings each query's hashes in two batches, and then moves the watermark on."""
+    at = tables.work_dir(spark, "stream")
+    landmarks.list_index(_postings(spark, sf)).write.parquet(f"{at}/lists")
+    q = _queries(spark, sf).select(F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("t1") * 32).alias("ts"), "query_id", "h", "t1")
+    batches = [q.where(F.pmod(F.xxhash64("h", "t1"), F.lit(2)) == k) for k in range(2)]
+    nobody = q.limit(0).select("query_id", "h", "t1")
+    late = [spark.range(1).select(F.timestamp_millis(F.lit(1_800_000_000_000 + k)).alias("ts"), *(F.lit(None).cast(t).alias(c) for c, t in nobody.dtypes)) for k in range(2)]
+    for k, rows in enumerate(batches + late):
+        rows.coalesce(1).write.parquet(f"{at}/in/batch={k}")
+    stream = spark.readStream.schema(q.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in/batch=*")
+    stateful.write_stream(stateful.identify_stream(stream, spark.read.parquet(f"{at}/lists"), B.SMALL.match), f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return _decisions(spark.read.parquet(f"{at}/out").where("not early"))
+
+
+def _decisions(df):
+    counts = ("n_hashes", "pred1", "score1", "best_delta", "pred2", "score2", "n_postings", "n_candidates")
+    return df.select("query_id", *[F.col(c).cast("long").alias(c) for c in counts], F.round("norm_score", 9).alias("norm_score"), F.round("margin", 9).alias("margin"), "accepted")
+
+
 def audio_roundtrip(spark, sf):
     """Each user's values as a WAV file of 8 kHz, written by the data source, read again with a filter on the path, and counted in steps of 16 bits."""
     files.register(spark)
@@ -494,5 +514,5 @@ QUERIES = {f.__name__: f for f in (
     lookup, lookup_lists, offset_hist, offset_smooth, rank_topk, identify, winner_histogram, open_set, query_manifest, manifest_invariants, excerpt_starts, demo_rows, subset_by_song, metrics, wilson, paired_comparison, paired_overlap, mcnemar, verdicts,
     headroom, knee_probe, norm_ratio, knee_manifest, latest_runs, holdout_check, tau_grid, threshold_sweep, operating_point, budget_table, pareto, split_assign, id_assign, composition, merge_prior, retired, work_list, filename_parse,
     path_classify, catalog_coerce, missing_noise, sha_catalog, fnv_tag, preemphasis, rms_normalize, frame_energy, dft_bins, noise_spectrum, spectral_subtract, snr_mix, excerpt_gate, peak_budget,
-    query_config, system_registry, constellation_axes, accuracy_series, repertoire_confusion, systematic_sample, enrol_actions, audio_roundtrip, packed_lookup, packed_stats, segment_index, wav_selfmatch, neighbourhood_sweep, enrol_gate,
+    query_config, system_registry, constellation_axes, accuracy_series, repertoire_confusion, systematic_sample, enrol_actions, identify_streamed, audio_roundtrip, packed_lookup, packed_stats, segment_index, wav_selfmatch, neighbourhood_sweep, enrol_gate,
 )}
