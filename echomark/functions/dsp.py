@@ -159,3 +159,44 @@ def synthesize(song: np.ndarray, start: int, n: int, noise: np.ndarray | None, n
     v = noise[(max(noise_start, 1) - 1 + np.arange(n)) % len(noise)]
     y, measured, _ = mix_at_snr(x, v, snr_db)
     return y, measured
+
+
+def moving_max(x: np.ndarray, n: int) -> np.ndarray:
+    """The centred moving maximum over n columns, shrinking at the edges, in a time that does not depend on n: in blocks of n columns a window is the end of one block and the beginning of the next, so running maxima from both ends suffice."""
+    rows, m = x.shape
+    r = n // 2
+    padded = np.full((rows, -(-(m + 2 * r) // n) * n), -np.inf)
+    padded[:, r : r + m] = x
+    blocks = padded.reshape(rows, -1, n)
+    ahead = np.maximum.accumulate(blocks, axis=2).reshape(rows, -1)
+    back = np.maximum.accumulate(blocks[:, :, ::-1], axis=2)[:, :, ::-1].reshape(rows, -1)
+    return np.maximum(back[:, :m], ahead[:, n - 1 : n - 1 + m])
+
+
+def moving_median(x: np.ndarray, n: int) -> np.ndarray:
+    """The centred moving median over n columns, shrinking at the edges; cells that are not finite are absent, and without any the median is NaN.
+
+    A sorted window for each row moves along: the value that leaves is taken out and the one that enters is put in, all rows at once.
+    """
+    rows, m = x.shape
+    r, at = n // 2, np.arange(n)
+    x = np.where(np.isfinite(x), x, np.inf)
+    window, held = np.full((rows, n), np.inf), np.zeros(rows, np.int64)
+    out, every = np.empty((rows, m)), np.arange(rows)
+    for k in range(-r, m):
+        if k - r - 1 >= 0:
+            old = x[:, k - r - 1]
+            gone = (window < old[:, None]).sum(axis=1)
+            held -= np.isfinite(old)
+            window = np.where(at >= gone[:, None], np.pad(window[:, 1:], ((0, 0), (0, 1)), constant_values=np.inf), window)
+        if k + r < m:
+            new = x[:, k + r]
+            place = (window < new[:, None]).sum(axis=1)
+            held += np.isfinite(new)
+            shifted = np.pad(window[:, :-1], ((0, 0), (1, 0)), constant_values=np.inf)
+            window = np.where(at < place[:, None], window, np.where(at == place[:, None], new[:, None], shifted))
+        if k >= 0:
+            low, high = window[every, np.maximum(held - 1, 0) // 2], window[every, np.minimum(held // 2, n - 1)]
+            with np.errstate(invalid="ignore"):
+                out[:, k] = np.where(held > 0, (low + high) / 2, np.nan)
+    return out

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import dsp
 from ..plans.config import Config
 
 EPS = 2.220446049250313e-16
@@ -13,34 +16,65 @@ EPS = 2.220446049250313e-16
 def cells_db(cells: DataFrame) -> DataFrame:
     """Adds db: 20 log10 of the magnitude over its clip's maximum."""
     top = F.max("mag").over(Window.partitionBy("clip"))
-    return cells.withColumn("db", F.when(top > 0, 20 * F.log10(F.col("mag") / top + F.lit(EPS))))
+    return cells.withColumn("db", F.when(top > 0, level_db(F.col("mag"), top)))
 
 
-def _frame(across: str, along: str, n: int):
-    return Window.partitionBy("clip", across).orderBy(along).rowsBetween(-(n // 2), n // 2)
+def level_db(mag, top):
+    return 20 * F.log10(mag / top + F.lit(EPS))
 
 
-def _separable(df: DataFrame, what, column: str, name: str, nbhd_f: int, nbhd_t: int) -> DataFrame:
-    """A centred moving aggregate over f and then over t, shrinking at the edges."""
-    for n in (nbhd_f, nbhd_t):
-        if n % 2 == 0 or n < 1:
-            raise ValueError("neighbourhoods must be odd")
-    return df.withColumn("__f", what(F.col(column)).over(_frame("t", "f", nbhd_f))).withColumn(name, what(F.col("__f")).over(_frame("f", "t", nbhd_t))).drop("__f")
+def check_neighbourhood(*sizes: int) -> None:
+    if any(n % 2 == 0 or n < 1 for n in sizes):
+        raise ValueError("neighbourhoods must be odd")
+
+
+#: Frames of a tile.
+TILE = 256
 
 
 def pick_fixed(cells: DataFrame, cfg: Config) -> DataFrame:
     """Cells that equal the maximum of their neighbourhood (ties all pass), are not below floor_db and not zero."""
-    p = cfg.peaks
-    df = _separable(cells_db(cells), F.max, "mag", "top", p.nbhd_f, p.nbhd_t)
-    return _peaks(df.where((F.col("mag") >= F.col("top")) & (F.col("mag") > 0) & (F.col("db") >= p.floor_db)))
+    return _pick(cells, cfg, None, cfg.peaks.floor_db)
 
 
 def pick_adaptive(cells: DataFrame, cfg: Config) -> DataFrame:
     """As pick_fixed, but above the separable local median by kappa_db instead of a floor."""
+    return _pick(cells, cfg, cfg.peaks.kappa_db, None)
+
+
+def _pick(cells: DataFrame, cfg: Config, kappa_db: float | None, floor_db: float | None) -> DataFrame:
+    """Peaks by tiles of TILE frames of a clip, each with the frames beside it that its neighbourhoods reach.
+
+    So a clip of any length is shuffled once, in pieces, and only peaks come back from the kernel, whose time does not depend on the neighbourhood's
+    size for maxima. A cell that is not there is in no maximum and no median.
+    """
     p = cfg.peaks
-    df = _separable(cells_db(cells), F.max, "mag", "top", p.nbhd_f, p.nbhd_t)
-    df = _separable(df, lambda x: F.percentile(x, F.lit(0.5)), "db", "median", p.nbhd_f, p.nbhd_t)
-    return _peaks(df.where((F.col("mag") >= F.col("top")) & (F.col("mag") > 0) & (F.col("db") >= F.col("median") + p.kappa_db)))
+    check_neighbourhood(p.nbhd_f, p.nbhd_t)
+    reach = p.nbhd_t // 2
+    tiles = F.sequence(F.floor((F.col("t") - 1 - reach) / TILE), F.floor((F.col("t") - 1 + reach) / TILE))
+    # the clip's maximum comes from an aggregation of its own, not from a window that would gather the clip
+    top = cells.groupBy(F.col("clip").alias("__clip")).agg(F.max("mag").alias("__top"))
+    rows = cells.select("clip", "t", "f", "mag", F.explode(tiles).alias("tile")).join(top, F.col("clip") == F.col("__clip")).where("__top > 0")
+    rows = rows.select("clip", "t", "f", "mag", level_db(F.col("mag"), F.col("__top")).alias("db"), "tile")
+    kinds = {c: k for c, k in rows.dtypes}
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        t, f, mag, db = (table.column(c).to_numpy() for c in ("t", "f", "mag", "db"))
+        i, j = (t - t.min()).astype(np.int64), (f - f.min()).astype(np.int64)
+        size = np.full((int(i.max()) + 1, int(j.max()) + 1), -np.inf)
+        size[i, j] = mag
+        peak = (mag >= dsp.moving_max(dsp.moving_max(size, p.nbhd_f).T, p.nbhd_t).T[i, j]) & (mag > 0) & ((t - 1) // TILE == key[1].as_py())
+        if kappa_db is None:
+            peak &= db >= floor_db
+        else:
+            level = np.full(size.shape, np.nan)
+            level[i, j] = db
+            with np.errstate(invalid="ignore"):
+                peak &= db >= dsp.moving_median(dsp.moving_median(level, p.nbhd_f).T, p.nbhd_t).T[i, j] + kappa_db
+        return table.filter(pa.array(peak)).select(["clip", "t", "f", "db"])
+
+    found = rows.groupBy("clip", "tile").applyInArrow(run, f"clip {kinds['clip']}, t {kinds['t']}, f {kinds['f']}, db double")
+    return _peaks(found)
 
 
 def _peaks(df: DataFrame) -> DataFrame:
