@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 #: name, Spark type, allowed values.
@@ -50,12 +50,26 @@ def parse_file_name(name: Column) -> dict[str, Column]:
 AUDIO = ("wav", "flac", "mp3", "m4a", "mp4", "aac", "ogg", "wma", "aif", "aiff", "au", "opus")
 
 
-def classify_paths(paths: DataFrame, column: str = "path") -> DataFrame:
-    """Audio files of a scan with repertoire (opm before american; rows of neither are left out) and role, from their folders; dot files are skipped."""
+def path_kinds(paths: DataFrame, column: str = "path") -> DataFrame:
+    """Adds repertoire (opm before american) and role, from the folders of a path, and skipped: why a scan leaves it out (hidden, no audio, no repertoire), else null."""
     parts = F.split(F.lower(F.col(column)), "[/\\\\]")
     name = F.element_at(parts, -1)
     out = paths.withColumn("repertoire", F.when(F.array_contains(parts, "opm"), "opm").when(F.array_contains(parts, "american"), "american")).withColumn("role", F.when(F.array_contains(parts, "holdout"), "holdout").otherwise("db"))
-    return out.where(~F.startswith(name, F.lit(".")) & F.regexp_extract(name, r"\.([^.]+)$", 1).isin(*AUDIO) & F.col("repertoire").isNotNull())
+    why = F.when(F.startswith(name, F.lit(".")), "hidden").when(~F.regexp_extract(name, r"\.([^.]+)$", 1).isin(*AUDIO), "no audio").when(F.col("repertoire").isNull(), "no repertoire")
+    return out.withColumn("skipped", why)
+
+
+def classify_paths(paths: DataFrame, column: str = "path") -> DataFrame:
+    """Audio files of a scan with repertoire (opm before american; rows of neither are left out) and role, from their folders; dot files are skipped."""
+    return path_kinds(paths, column).where("skipped is null").drop("skipped")
+
+
+def classify_observed(paths: DataFrame, column: str = "path") -> tuple[DataFrame, Observation]:
+    """classify_paths(), and what it left out: n_files, n_hidden, n_no_audio, n_no_repertoire, known once the rows have been read, from the same pass."""
+    seen = Observation()
+    number = lambda why: F.count(F.when(F.col("skipped") == why, 1)).alias("n_" + why.replace(" ", "_"))
+    rows = path_kinds(paths, column).observe(seen, F.count(F.lit(1)).alias("n_files"), *map(number, ("hidden", "no audio", "no repertoire")))
+    return rows.where("skipped is null").drop("skipped"), seen
 
 
 def merge_prior(scan: DataFrame, prior: DataFrame) -> DataFrame:
@@ -108,15 +122,16 @@ def missing_noise(bank: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def channel_one(files: DataFrame, code: str) -> DataFrame:
-    """The channel-01 recording of a code: the only one, or the only one in a 16k folder; an error otherwise."""
-    c = files.where(F.contains(F.lower("path"), F.lit(code.lower())) & F.contains(F.lower(F.element_at(F.split("path", "/"), -1)), F.lit("ch01"))).withColumn("k16", F.contains(F.lower("path"), F.lit("16k")))
-    all_ = Window.partitionBy(F.lit(1))
-    c = c.withColumn("n", F.count("*").over(all_)).withColumn("n16", F.count(F.when(F.col("k16"), 1)).over(all_)).where((F.col("n") == 1) | F.col("k16") | (F.col("n16") != 1))
-    ok = (F.col("n") == 1) | (F.col("n16") == 1)
-    return c.select(F.when(ok, F.col("path")).otherwise(F.raise_error(F.lit("channel 01 is not unique"))).alias("path"))
+    """The channel-01 recording of a code: the only one, or the only one in a 16k folder; an error if there is none or several remain."""
+    name = F.lower(F.element_at(F.split("path", "/"), -1))
+    c = files.where(F.contains(F.lower("path"), F.lit(code.lower())) & F.contains(name, F.lit("ch01"))).withColumn("k16", F.contains(F.lower("path"), F.lit("16k")))
+    one = c.agg(F.count("*").alias("n"), F.count(F.when(F.col("k16"), 1)).alias("n16"), F.min("path").alias("any"), F.min(F.when(F.col("k16"), F.col("path"))).alias("own"))
+    wrong = lambda why: F.raise_error(F.lit(f"channel 01 of {code} {why}"))
+    path = F.when(F.col("n") == 1, F.col("any")).when(F.col("n16") == 1, F.col("own")).when(F.col("n") == 0, wrong("is not there")).otherwise(wrong("is not unique"))
+    return one.select(path.cast("string").alias("path"))
 
 
 def composition(rows: DataFrame) -> DataFrame:
     """Counts by (repertoire, role, split), by repertoire and in total, from one pass of grouping sets."""
-    rows.createOrReplaceTempView("__catalog_rows")
-    return rows.sparkSession.sql("select repertoire, role, split, grouping_id(repertoire, role, split) as level, count(*) as n from __catalog_rows group by grouping sets ((repertoire, role, split), (repertoire), ())")
+    c = [F.col(x) for x in ("repertoire", "role", "split")]
+    return rows.groupingSets([c, c[:1], []], *c).agg(F.grouping_id(*c).alias("level"), F.count("*").alias("n"))

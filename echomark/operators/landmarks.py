@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import pack_hash
@@ -66,6 +66,14 @@ def prune(postings: DataFrame, most: int) -> DataFrame:
     return postings.join(postings.groupBy("h").count().where(F.col("count") <= most).select("h"), "h", "left_semi")
 
 
+def prune_observed(postings: DataFrame, most: int) -> tuple[DataFrame, Observation]:
+    """prune(), and what it dropped: n_keys, n_postings, dropped_keys, dropped_postings, known once the rows have been read, from the same pass."""
+    seen = Observation()
+    gone = F.when(F.col("count") > most, F.col("count"))
+    lengths = postings.groupBy("h").count().observe(seen, F.count(F.lit(1)).alias("n_keys"), F.coalesce(F.sum("count"), F.lit(0)).alias("n_postings"), F.count(gone).alias("dropped_keys"), F.coalesce(F.sum(gone), F.lit(0)).alias("dropped_postings"))
+    return postings.join(lengths.where(F.col("count") <= most).select("h"), "h", "left_semi"), seen
+
+
 def prune_report(postings: DataFrame, most: int) -> DataFrame:
     """(stage, n_keys, n_postings, max_len, emptied): the index before and after prune(), and whether nothing is left of it."""
     lengths = postings.groupBy("h").agg(F.count("*").alias("n"))

