@@ -74,31 +74,68 @@ def excerpt_starts(samples: DataFrame, lengths: DataFrame, reps: int, gate: floa
     return out.select(F.col("clip").alias("song_id"), "length_sec", "rep", start.alias("start_sample"), "mode")
 
 
-def manifest_invariants(rows: DataFrame, songs: DataFrame, noise: DataFrame, again: DataFrame, fs: int) -> DataFrame:
-    """(check, violations) of the properties that make conditions comparable; all are 0 in a sound manifest. again is the manifest built anew."""
-    several = lambda keys, c: rows.groupBy(*keys).agg(F.count_distinct(c).alias("n")).where("n > 1").agg(F.count("*").alias("violations"))
-    number = lambda df: df.agg(F.count("*").alias("violations"))
-    need = F.round(F.col("length_sec") * fs)
-    checks = {
-        "excerpt_shared": several(["song_id", "length_sec", "rep"], "start_sample"),
-        "noise_shared": several(["song_id", "length_sec", "rep", "noise_type"], "noise_start"),
-        "split_by_song": several(["song_id"], "split"),
-        "unique_id": several(["query_id"], F.struct("song_id", "length_sec", "rep", "noise_type", "snr_db")),
-        "clean_without_noise": number(rows.where("noise_type = 'none' and noise_start <> 0")),
-        "holdout_queried": number(songs.where("role = 'holdout'").join(rows.select("song_id").distinct(), "song_id", "left_anti")),
-        "excerpt_inside": number(rows.join(songs.select("song_id", "n_samples"), "song_id").where((F.col("start_sample") < 1) | (F.col("start_sample") - 1 + need > F.greatest("n_samples", need)))),
-        "noise_known": number(rows.where("noise_type <> 'none'").join(noise.select("noise_type"), "noise_type", "left_anti")),
-        # starts that crowd at the head of a bank leave most of its noise unheard
-        "noise_span": number(rows.where("noise_type <> 'none'").groupBy("noise_type").agg(F.max("noise_start").alias("last")).join(noise, "noise_type").where(F.col("last") < LEAST_SPAN * F.col("n_samples"))),
-        "regenerated": number(rows.exceptAll(again.select(*rows.columns))),
-    }
-    out = None
-    for name, df in checks.items():
-        df = df.select(F.lit(name).alias("check"), "violations")
-        out = df if out is None else out.unionByName(df)
+def manifest_invariants(rows: DataFrame, songs: DataFrame, noise: DataFrame, again: DataFrame, fs: int, checked: DataFrame | None = None, absent: DataFrame | None = None) -> DataFrame:
+    """(check, violations) of the properties that make conditions comparable; all are 0 in a sound manifest. again is the manifest built anew.
+
+    With checked, the rows of studies.spot_check(), also synthesis (SNRs at which a query has the wrong length, clips, or misses its SNR) and
+    regeneration; with absent, the noise types whose file is not there (catalog.missing_noise, or a listing), also noise_files.
+
+    The manifest is read twice, each time dealt out once: by song for what songs, excerpts and noises have in common, and by query id, together
+    with the manifest built anew, for ids and regeneration.
+    """
+    by_song = _violations_by_song(rows, songs, noise, fs)
+    by_id = _violations_by_id(rows, again)
+    both = by_song.crossJoin(by_id)  # one row each
+    names = ["excerpt_shared", "noise_shared", "split_by_song", "unique_id", "clean_without_noise", "holdout_queried", "excerpt_inside", "noise_known", "noise_span", "regenerated"]
+    out = both.select(F.inline(F.array(*(F.struct(F.lit(n).alias("check"), F.coalesce(n, F.lit(0)).cast("long").alias("violations")) for n in names))))
+    number = lambda df, name: df.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check"), "violations")
+    if checked is not None:
+        one = checked.agg(F.count(F.when(~(F.col("right_length") & F.col("in_range") & F.col("snr_kept")), 1)).alias("a"), F.count(F.when(~F.col("regenerates"), 1)).alias("b"))
+        out = out.unionByName(one.select(F.inline(F.array(*(F.struct(F.lit(n).alias("check"), F.col(c).alias("violations")) for n, c in (("synthesis", "a"), ("regeneration", "b")))))))
+    if absent is not None:
+        used = rows.where("noise_type <> 'none'").select("noise_type").distinct()
+        out = out.unionByName(number(used.join(absent.select("noise_type").distinct(), "noise_type", "left_semi"), "noise_files"))
     return out
 
 
+def _violations_by_song(rows: DataFrame, songs: DataFrame, noise: DataFrame, fs: int) -> DataFrame:
+    """One row of the violations that a song's rows show together."""
+    need = F.round(F.col("length_sec") * fs)
+    known = songs.select("song_id", F.col("role").alias("own_role"), "n_samples", F.lit(True).alias("is_song"))
+    kinds = noise.select("noise_type", F.col("n_samples").alias("bank"))
+    all_ = rows.join(known, "song_id", "full").join(F.broadcast(kinds), "noise_type", "left")  # kinds: one row for each noise type
+    noisy, count = F.col("noise_type") != "none", lambda c: F.count(F.when(c, 1))
+    cells = all_.groupBy("song_id", "length_sec", "rep", "noise_type").agg(
+        F.min("start_sample").alias("lo"), F.max("start_sample").alias("hi"), F.min("noise_start").alias("n_lo"), F.max("noise_start").alias("n_hi"), F.min("split").alias("s_lo"), F.max("split").alias("s_hi"),
+        count(~noisy & (F.col("noise_start") != 0)).alias("clean"), count(noisy & F.col("bank").isNull()).alias("unknown"),
+        count(F.col("is_song") & ((F.col("start_sample") < 1) | (F.col("start_sample") - 1 + need > F.greatest("n_samples", need)))).alias("outside"),
+        count((F.col("own_role") == "holdout") & F.col("query_id").isNull()).alias("unasked"), F.max("bank").alias("bank"),
+    )
+    # what a song's cells have in common needs no further shuffle once they are dealt by song
+    cells = cells.repartition("song_id")
+    excerpt, song = ["song_id", "length_sec", "rep"], ["song_id"]
+    first = lambda keys: F.row_number().over(Window.partitionBy(*keys).orderBy("noise_type" if keys is excerpt else F.struct("length_sec", "rep", "noise_type"))) == 1
+    differ = lambda lo, hi, keys: first(keys) & (F.min(lo).over(Window.partitionBy(*keys)) != F.max(hi).over(Window.partitionBy(*keys)))
+    cells = cells.withColumns({"e": differ("lo", "hi", excerpt), "s": differ("s_lo", "s_hi", song)})
+    kinds = cells.groupBy("noise_type").agg(
+        count(F.col("e")).alias("e"), count(F.col("s")).alias("s"), count(F.col("n_lo") != F.col("n_hi")).alias("n"), *(F.sum(c).alias(c) for c in ("clean", "unknown", "outside", "unasked")), F.max("n_hi").alias("last"), F.max("bank").alias("bank")
+    )
+    # starts that crowd at the head of a bank leave most of its noise unheard
+    span = (F.col("noise_type") != "none") & (F.col("last") < LEAST_SPAN * F.col("bank"))
+    sums = {"excerpt_shared": "e", "noise_shared": "n", "split_by_song": "s", "clean_without_noise": "clean", "excerpt_inside": "outside", "noise_known": "unknown", "holdout_queried": "unasked"}
+    return kinds.agg(*(F.sum(c).alias(name) for name, c in sums.items()), count(span).alias("noise_span"))
+
+
+def _violations_by_id(rows: DataFrame, again: DataFrame) -> DataFrame:
+    """One row: query ids that stand for several conditions, and rows that the manifest built anew lacks."""
+    columns = rows.columns
+    both = rows.withColumn("n", F.lit(1)).unionByName(again.select(*columns).withColumn("n", F.lit(-1)))
+    same = both.groupBy(*columns).agg(F.sum("n").alias("n"), F.sum(F.greatest("n", F.lit(0))).alias("here"))
+    condition = F.struct("song_id", "length_sec", "rep", "noise_type", "snr_db")
+    ids = same.groupBy("query_id").agg(F.count_distinct(F.when(F.col("here") > 0, condition)).alias("conditions"), F.sum(F.greatest("n", F.lit(0))).alias("gone"))
+    return ids.agg(F.count(F.when(F.col("conditions") > 1, 1)).alias("unique_id"), F.sum("gone").alias("regenerated"))
+
+
 #: Steps of a factor of two by which values are binned for exact quantiles.
 BIN_STEPS = 4096
 

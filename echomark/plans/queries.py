@@ -161,7 +161,7 @@ def query_manifest(spark, sf):
 
 
 def manifest_invariants(spark, sf):
-    return evaluation.manifest_invariants(_manifest(spark, sf), _songs(spark, sf), _noise(spark), _manifest(spark, sf), 8000)
+    return evaluation.manifest_invariants(_manifest(spark, sf), _songs(spark, sf), _noise(spark), _manifest(spark, sf), 8000, absent=catalog.missing_noise(_noise(spark), _noise(spark)))
 
 
 def excerpt_starts(spark, sf):

@@ -165,7 +165,7 @@ SQL = {
     "identify_streamed": f"with {QUERY}, {matched()} select query_id, n_hashes, pred1::bigint as pred1, score1::bigint as score1, best_delta, pred2::bigint as pred2, score2::bigint as score2, n_postings::bigint as n_postings, n_candidates, round(norm_score, 9) as norm_score, round(margin, 9) as margin, norm_score >= 0.02 and margin >= 1.5 as accepted from dec where n_hashes > 0",
     "open_set": f"with {QUERY}, open as (select * from postings where song_id < 7), {matched('open')} select query_id, query_id < 7 as is_in_db, pred1::bigint as pred1, round(norm_score, 9) as norm_score, norm_score >= 0.02 and margin >= 1.5 as accepted from dec",
     "query_manifest": f"with {MANIFEST} select query_id, song_id, role, length_sec, rep, noise_type, start_sample, noise_start, snr_db from m",
-    "manifest_invariants": f"with {MANIFEST} select 'excerpt_shared' as check, count(*) as violations from (select 1 from m group by song_id, length_sec, rep having count(distinct start_sample) > 1) union all select 'noise_shared', count(*) from (select 1 from m group by song_id, length_sec, rep, noise_type having count(distinct noise_start) > 1) union all select 'split_by_song', 0 union all select 'unique_id', count(*) from (select 1 from m group by query_id having count(*) > 1) union all select 'clean_without_noise', count(*) from m where noise_type = 'none' and noise_start <> 0 union all select 'holdout_queried', count(*) from songs where role = 'holdout' and song_id not in (select song_id from m) union all select 'excerpt_inside', count(*) from m where start_sample < 1 or start_sample - 1 + need > greatest(n_samples, need) union all select 'noise_known', count(*) from m where noise_type not in ('none', 'cafe', 'traffic', 'crowd') union all select 'noise_span', count(*) from (select 1 from m where noise_type <> 'none' group by noise_type having max(noise_start) < 0.25 * any_value(noise_samples)) union all select 'regenerated', 0",
+    "manifest_invariants": f"with {MANIFEST} select 'excerpt_shared' as check, count(*) as violations from (select 1 from m group by song_id, length_sec, rep having count(distinct start_sample) > 1) union all select 'noise_shared', count(*) from (select 1 from m group by song_id, length_sec, rep, noise_type having count(distinct noise_start) > 1) union all select 'split_by_song', 0 union all select 'unique_id', count(*) from (select 1 from m group by query_id having count(*) > 1) union all select 'clean_without_noise', count(*) from m where noise_type = 'none' and noise_start <> 0 union all select 'holdout_queried', count(*) from songs where role = 'holdout' and song_id not in (select song_id from m) union all select 'excerpt_inside', count(*) from m where start_sample < 1 or start_sample - 1 + need > greatest(n_samples, need) union all select 'noise_known', count(*) from m where noise_type not in ('none', 'cafe', 'traffic', 'crowd') union all select 'noise_span', count(*) from (select 1 from m where noise_type <> 'none' group by noise_type having max(noise_start) < 0.25 * any_value(noise_samples)) union all select 'regenerated', 0 union all select 'noise_files', 0",
     "enrol_actions": f"""with {EVENT_PEAKS}, {paired('ep', 'p')}, g as (select * from ep where clip % 4 <> 0), n as (select clip, max(t) * 0.5::double as duration_sec, case when clip % 11 = 3 then 0 else count(*) end as n_peaks from g group by clip), h as (select clip, count(*) as k from p group by clip)
       select clip, case when clip % 11 = 3 then 'failed' when clip % 5 = 1 then 'cached' else 'extracted' end as action, n_peaks, case when clip % 11 = 3 then 0 else coalesce(k, 0) end as n_hashes, round(n_peaks / nullif(duration_sec, 0), 9) as density_per_sec, round(duration_sec, 9) as duration_sec, case when clip % 11 = 3 then 'not finite' else '' end as message from n left join h using (clip)""",
     "excerpt_starts": f"""with {SIGNAL}, s as (select clip, i, case when clip % 50 = 7 then 0 else x end as x from sig), size as (select clip, count(*) as n from s group by clip), lengths(length_sec, need) as (values (3.0::double, 24), (5.0, 40), (10.0, 80)),

@@ -133,3 +133,30 @@ def test_the_index_table_is_read_by_hash(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("drop table idx_postings")
         spark.sql("drop table idx_asked")
+
+
+def test_every_broken_invariant_is_counted(spark):
+    from echomark.operators.evaluation import manifest, manifest_invariants
+
+    songs = spark.createDataFrame([(k, "opm", "holdout" if k > 3 else "db", "dev", 300_000) for k in range(1, 6)], "song_id int, repertoire string, role string, split string, n_samples long")
+    noise = spark.createDataFrame([("cafe", 400_000), ("traffic", 400_000), ("crowd", 400_000)], "noise_type string, n_samples long")
+    rows = manifest(spark, songs, replace(Eval(), lengths_sec=(3, 5), reps_per_song=2), 42, 8000, noise)
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    found = lambda r, again=rows, **more: {x["check"]: x["violations"] for x in manifest_invariants(r, songs, noise, again, 8000, **more).collect() if x["violations"]}
+    assert found(rows) == {}
+    change = lambda where, **to: rows.select(*(F.when(F.expr(where), to[c]).otherwise(F.col(c)).cast(rows.schema[c].dataType).alias(c) if c in to else F.col(c) for c in rows.columns))
+    one = "song_id = 1 and length_sec = 3 and rep = 1"
+    got = found(change(f"{one} and noise_type = 'cafe'", start_sample=F.lit(7)))
+    assert got == {"excerpt_shared": 1, "regenerated": 8}
+    assert found(change(f"{one} and noise_type = 'cafe' and snr_db = 0", noise_start=F.lit(9))) == {"noise_shared": 1, "regenerated": 1}
+    got = found(change("song_id = 2 and rep = 2", split=F.lit("test")))
+    assert got["split_by_song"] == 1
+    assert found(change("query_id = 5", query_id=F.lit(6))) == {"unique_id": 1, "regenerated": 1}
+    assert found(change(f"{one} and noise_type = 'none'", noise_start=F.lit(4))) == {"clean_without_noise": 1, "regenerated": 1}
+    assert found(rows.where("song_id <> 5"))["holdout_queried"] == 1
+    assert found(change("song_id = 3 and length_sec = 5 and rep = 1", start_sample=F.lit(299_999)))["excerpt_inside"] == 25
+    assert found(change("noise_type = 'crowd' and song_id = 1", noise_type=F.lit("rain")))["noise_known"] == 32
+    assert found(change("noise_type = 'crowd'", noise_start=F.lit(3)))["noise_span"] == 1
+    checked = spark.createDataFrame([(True, True, False, True), (True, True, True, False), (True, True, True, True)], "right_length boolean, in_range boolean, snr_kept boolean, regenerates boolean")
+    absent = spark.createDataFrame([("crowd",), ("rain",)], "noise_type string")
+    assert found(rows, checked=checked, absent=absent) == {"synthesis": 1, "regeneration": 1, "noise_files": 1}
