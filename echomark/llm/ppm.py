@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .blocks import arrow_schema, blocked, packed, rows_of, table_of, table_texts
-from .common import LOWER, mix, sliced, slices, span_hashes, word_bounds
+from .common import LOWER, Cut, mix, sliced, slices, span_hashes, word_bounds
 
 #: Bytes of the longest context.
 ORDER = 5
@@ -271,8 +271,10 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def corpus_facts(docs: DataFrame, text: str, parts: int) -> tuple[np.ndarray, int, int]:
     """Of the training rows: counts of byte pairs (at most 65,536), tokens, and different tokens.
 
-    Tasks send distinct tokens to parts, which count them; so no task or driver holds the vocabulary.
+    Tasks send distinct tokens to parts, which count them; counts of pairs and of tokens are summed by Spark, task by task and then by pair. So no task or driver
+    holds the vocabulary, nor what all tasks have sent.
     """
+    schema, arrow = arrow_schema(kind="long", part="long", n="long", keys="binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, tokens, seen = np.zeros(1 << 16, np.int64), 0, []
@@ -284,40 +286,31 @@ def corpus_facts(docs: DataFrame, text: str, parts: int) -> tuple[np.ndarray, in
             seen.append(counted(words)[0])
             if sum(map(len, seen)) > 2_000_000:
                 seen = [counted(np.concatenate(seen))[0]]
-        own = np.flatnonzero(pairs)
-        rows = [{"part": -1, "kind": 0} | packed(keys=own.astype(np.uint64), counts=pairs[own])] if len(own) else []
-        rows.append({"part": -1, "kind": 1, "block": tokens})
+        rows = [{"kind": 0, "part": k, "n": n} for k, n in zip(np.flatnonzero(pairs).tolist(), pairs[pairs > 0].tolist(), strict=True)]
+        rows.append({"kind": 1, "part": 0, "n": tokens})
         words = counted(np.concatenate(seen))[0] if seen else np.zeros(0, np.uint64)
         part = token_part(words, parts)
         order = np.argsort(part, kind="stable")
         bounds = np.searchsorted(part[order], np.arange(parts + 1))
         for p in np.flatnonzero(np.diff(bounds)).tolist():
-            rows.append({"part": p, "kind": 2} | packed(keys=words[order[bounds[p] : bounds[p + 1]]]))
-        yield table_of(rows, ASK_ARROW).combine_chunks().to_batches()[0]
-
-    def merge(key: tuple, sent: pa.Table) -> pa.Table:
-        if key[0].as_py() >= 0:
-            words = counted(np.frombuffer(b"".join(sent.column("keys").to_pylist()), np.uint64))[0]
-            return table_of([{"part": key[0].as_py(), "kind": 2, "block": len(words)}], ASK_ARROW)
-        pairs, tokens = np.zeros(1 << 16, np.int64), 0
-        for r in rows_of(sent):
-            if r["kind"] == 0:
-                pairs[np.frombuffer(r["keys"], np.uint64).astype(np.int64)] += np.frombuffer(r["counts"], np.int64)
-            else:
-                tokens += r["block"]
-        own = np.flatnonzero(pairs)
-        return table_of([{"part": -1, "kind": 0, "block": tokens} | packed(keys=own.astype(np.uint64), counts=pairs[own])], ASK_ARROW)
-
-    found = docs.select(text).mapInArrow(run, ASK).groupBy("part").applyInArrow(merge, ASK)
-    facts = found.groupBy("kind").agg(F.sum("block").alias("n"), F.max("keys").alias("keys"), F.max("counts").alias("counts")).collect()
-    pairs, tokens, different = np.zeros(1 << 16, np.int64), 0, 0
+            rows.append({"kind": 2, "part": p} | packed(keys=words[order[bounds[p] : bounds[p + 1]]]))
+        yield table_of(rows, arrow).combine_chunks().to_batches()[0]
+
+    def different(key: tuple, sent: pa.Table) -> pa.Table:
+        words = counted(np.frombuffer(b"".join(sent.column("keys").to_pylist()), np.uint64))[0]
+        return table_of([{"kind": 2, "part": key[0].as_py(), "n": len(words)}], arrow)
+
+    sent = Cut(docs.sparkSession).table(docs.select(text).mapInArrow(run, schema))
+    summed = sent.where("kind < 2").groupBy("kind", "part").agg(F.sum("n").alias("n"))
+    counts = sent.where("kind = 2").groupBy("part").applyInArrow(different, schema).groupBy("kind").agg(F.sum("n").alias("n")).select("kind", F.lit(0).cast("long").alias("part"), "n")
+    facts = summed.unionByName(counts).collect()  # 65,538 rows at most
+    pairs, total = np.zeros(1 << 16, np.int64), [0, 0, 0]
     for r in facts:
-        if r["kind"] == 2:
-            different = r["n"]
-        elif r["kind"] == 0:
-            tokens = r["n"]
-            pairs[np.frombuffer(bytes(r["keys"]), np.uint64).astype(np.int64)] = np.frombuffer(bytes(r["counts"]), np.int64)
-    return pairs, tokens, different + (tokens > 0)
+        if r["kind"]:
+            total[r["kind"]] = r["n"]
+        else:
+            pairs[r["part"]] = r["n"]
+    return pairs, total[1], total[2] + (total[1] > 0)
 
 
 def heavy_pairs(pairs: np.ndarray, parts: int) -> np.ndarray:

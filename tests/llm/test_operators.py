@@ -536,7 +536,7 @@ def test_paragraphs(spark, texts):
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_tables(spark, sf, tmp_path, name):
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
 
