@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dsp
 from ..operators import evaluation, landmarks, matching, peaks, signals
-from ..sources.tables import once
+from ..sources.files import register
+from ..sources.tables import once, write_csv
 from .config import Config
 from .enrolment import enrol, hashes_of_peaks, identify_clips
 
@@ -164,12 +165,29 @@ def pruning_dry_run(postings: DataFrame, limits: tuple[int, ...]) -> DataFrame:
     return out
 
 
+def ranked(rows: DataFrame, key: str, name: str) -> tuple[DataFrame, int]:
+    """rows with their place from 1 in order of key, and their number: sorted in ranges of the key, of which only the sizes meet in one place."""
+    placed = once(rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("__at", F.monotonically_increasing_id()), "ranked")
+    sizes = placed.groupBy(F.shiftright("__at", 33).alias("__p")).count()
+    before = sizes.select("__p", (F.sum("count").over(Window.orderBy("__p")) - F.col("count")).alias("__before"))
+    out = placed.withColumn("__p", F.shiftright("__at", 33)).join(F.broadcast(before), "__p")
+    return out.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1).drop("__p", "__at", "__before"), placed.count()
+
+
 def systematic_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     """n rows at even distances in order of key, first and last included."""
-    one = Window.partitionBy(F.lit(1))
-    r = rows.withColumn("__i", F.row_number().over(one.orderBy(key))).withColumn("__n", F.count("*").over(one))
-    at = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.round(1 + k * (F.col("__n") - 1) / max(n - 1, 1)).cast("int"))
-    return r.where(F.array_contains(at, F.col("__i"))).drop("__i", "__n")
+    placed, total = ranked(rows, key, "__i")
+    at = sorted({int(1 + k * (total - 1) / max(n - 1, 1) + 0.5) for k in range(n)})
+    return placed.where(F.col("__i").isin(at)).drop("__i")
+
+
+def write_demo(manifest: DataFrame, songs: DataFrame, noise: DataFrame, by: list[str], fs: int, path: str) -> None:
+    """The demo's queries as WAV files, one for each combination of `by` in a manifest, and their rows as CSV beside them; all files are there or none."""
+    register(manifest.sparkSession)
+    rows = evaluation.demo_rows(manifest, by)
+    name = F.format_string("query%06d.wav", F.col("clip"))
+    synthesize(rows, songs, noise, fs).select(name.alias("name"), "samples", "fs").write.format("audio").mode("overwrite").save(f"{path}/wav")
+    write_csv(rows.withColumn("file", F.format_string("wav/query%06d.wav", F.col("query_id"))), f"{path}/manifest")
 
 
 def constellation_axes(peaks_: DataFrame, cfg: Config) -> DataFrame:
