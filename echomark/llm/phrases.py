@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, Cut, join_counted, mix, sliced
+from .common import LOWER, Cut, mix, sliced
 
 #: What ends a piece, and what only separates its words.
 BREAK = np.zeros(256, bool)
@@ -22,6 +22,9 @@ GAP[[*b" \t"]] = True
 SHARD_BYTES = 8 << 20
 #: Occurrences of phrases that one part of the key space counts.
 PART_KEYS = 1 << 21
+#: Rows and bytes of words that a join broadcasts at most, after counting both; more are shuffled.
+BROADCAST_ROWS = 250_000
+BROADCAST_BYTES = 16 << 20
 #: Bits of a key by which shards deal their filters; where there are more parts, groups of shards are merged first.
 FIRST_BITS = 10
 _ROUNDS = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -247,6 +250,13 @@ def with_dense_ids(spark: SparkSession, cut: Cut, words: DataFrame) -> tuple[Dat
     return out, out.count()
 
 
+def joined(rows: DataFrame, table: DataFrame, on: str, weight: str | None = None) -> DataFrame:
+    """rows joined with a written table of one row per key, which is broadcast where it is small in rows, and in bytes of the column weight."""
+    bytes_ = F.coalesce(F.sum(F.octet_length(weight)), F.lit(0)) if weight else F.lit(0)
+    n, size = table.agg(F.count("*"), bytes_).first()
+    return rows.join(F.broadcast(table) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else table, on)
+
+
 def phrase_counts(spark: SparkSession, docs: DataFrame, least: int, text: str, lang: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Phrases of two and three words with least occurrences or more, their words, and how many words each language has.
 
@@ -266,9 +276,8 @@ def phrase_counts(spark: SparkSession, docs: DataFrame, least: int, text: str, l
     first = min(prefix, FIRST_BITS)
     groups = 1 << (prefix - first)
 
-    entry = F.struct("lang", "word").alias("entry")
-    ids = words.select(entry, "id")
-    answers = join_counted(entries.select("shard", "code", entry), ids, "entry").select(F.col("shard").alias("to"), "code", "id")
+    known = joined(entries.withColumnRenamed("lang", "l"), words.withColumnRenamed("lang", "own").drop("n"), "word", "word").where("l = own")
+    answers = known.select(F.col("shard").alias("to"), "code", "id")
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
         raw = b"".join(left.column("codes").to_pylist())
@@ -331,15 +340,15 @@ def collocations(spark: SparkSession, docs: DataFrame, least: int = 10, top: int
     """
     phrases, words, totals = phrase_counts(spark, docs, least, text, lang)
     cut = Cut(spark)
-    by_id = lambda k: words.select(F.col("id").alias(f"w{k}"), F.col("word").alias(f"word{k}"), F.col("n").alias(f"n{k}"))
+    by_id = lambda k: (words.select(F.col("id").alias(f"w{k}"), F.col("word").alias(f"word{k}"), F.col("n").alias(f"n{k}")), f"w{k}", f"word{k}")
     pairs = cut.table(phrases.where("w3 = 0").select(F.struct("w1", "w2").alias("pair"), F.col("a")))
     triples = cut.table(phrases.where("w3 > 0"))
 
     # every word a phrase names has an id, and every pair inside a triple is a candidate, so no join loses a row
-    t = join_counted(triples.withColumn("pair", F.struct("w1", "w2")), pairs.withColumnRenamed("a", "n12"), "pair").drop("pair")
-    t = join_counted(t.withColumn("pair", F.struct(F.col("w2").alias("w1"), F.col("w3").alias("w2"))), pairs.withColumnRenamed("a", "n23"), "pair").drop("pair")
+    t = joined(triples.withColumn("pair", F.struct("w1", "w2")), pairs.withColumnRenamed("a", "n12"), "pair").drop("pair")
+    t = joined(t.withColumn("pair", F.struct(F.col("w2").alias("w1"), F.col("w3").alias("w2"))), pairs.withColumnRenamed("a", "n23"), "pair").drop("pair")
     for k in (1, 2, 3):
-        t = join_counted(t, by_id(k), f"w{k}")
+        t = joined(t, *by_id(k))
     t = t.withColumns({"first": strength(F.col("a"), F.col("n1"), F.col("n23")), "second": strength(F.col("a"), F.col("n12"), F.col("n3"))})
     early = F.col("first") <= F.col("second")
     spaced = lambda *c: F.concat_ws(" ", *(F.col(x).cast("string") for x in c)).alias("phrase")
@@ -348,17 +357,17 @@ def collocations(spark: SparkSession, docs: DataFrame, least: int = 10, top: int
     inside = triples.select(F.struct("w1", "w2").alias("pair"), "a").unionByName(triples.select(F.struct(F.col("w2").alias("w1"), F.col("w3").alias("w2")).alias("pair"), "a"))
     longer = inside.groupBy("pair").agg(F.max("a").alias("longer"))
     p = pairs.join(longer, "pair", "left").where(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("a"))).select("pair.w1", "pair.w2", "a")
-    p = join_counted(join_counted(p, by_id(1), "w1"), by_id(2), "w2")
+    p = joined(joined(p, *by_id(1)), *by_id(2))
     p = p.select("w1", spaced("word1", "word2"), "a", F.col("n1").alias("l"), F.col("n2").alias("r"), strength(F.col("a"), F.col("n1"), F.col("n2")).alias("score"))
 
-    both = join_counted(p.unionByName(t), words.select(F.col("id").alias("w1"), "lang"), "w1")
+    both = joined(p.unionByName(t), words.select(F.col("id").alias("w1"), "lang"), "w1", "lang")
     # the first of each share of a language, then the first of these: no task orders more than about the root of what a language has
     best = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     shares = 1 + int((phrases.count() / max(1, top)) ** 0.5)
     both = both.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(shares)))
     first = both.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*best))).where(F.col("rank") <= top)
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best))).where(F.col("rank") <= top)
-    return join_counted(ranked, totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
+    return joined(ranked, totals, "lang", "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
 
 
 PHRASE_SQL = """

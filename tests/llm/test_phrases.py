@@ -71,7 +71,7 @@ def test_small_tables_and_limits(spark, rows, monkeypatch):
     assert found(spark, [("A b c. " * 10, "en")]) == brute([("a b c. " * 10, "en")], 10, 2000) == [("en", 1, "a b c", 10, 10, 10, 30, 10**6)]
     assert found(spark, rows[:0]) == []
     assert found(spark, rows, least=3, top=7) == brute(rows, 3, 7)
-    monkeypatch.setattr("echomark.llm.common.BROADCAST_IDS", 2)
+    monkeypatch.setattr(phrases, "BROADCAST_ROWS", 2)
     assert found(spark, rows, least=3) == brute(rows, 3, 2000)
 
 
