@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,25 @@ def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.col("user_id").alias("clip"), i.cast("long").alias("i"), F.col("value").alias("x"))
 
 
+#: Samples of a tone of 8 kHz.
+TONE = 960
+
+
+def tunes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as clips (clip, samples, fs): each user's values as tones that fade, one after another, from 200 Hz up."""
+    rows = signal(spark, sf_dir).groupBy("clip").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda r: r["x"]).alias("values"))
+
+    def run(batches):
+        seconds = np.arange(TONE) / 8000
+        for b in batches:
+            for clip, values in zip(b["clip"], b["values"], strict=True):
+                hz = 200 + 6.5 * np.asarray(values)
+                x = 0.5 * np.sin(2 * np.pi * hz[:, None] * seconds) * np.exp(-8 * seconds)
+                yield pd.DataFrame({"clip": [clip], "samples": [x.reshape(-1).tolist()], "fs": [8000]})
+
+    return rows.mapInPandas(run, "clip long, samples array<double>, fs int")
+
+
 def results(spark: SparkSession, sf_dir: str, system: str = "a") -> DataFrame:
     """events as results of a system: every column follows from event_id, user_id and value."""
     e = read(spark, sf_dir, "events")

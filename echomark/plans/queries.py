@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import catalog, evaluation, landmarks, matching, packed, peaks, signals, tuning
-from ..sources import audio, files, tables
+from ..sources import files, tables
 from ..sources.segments import SegmentedIndex
 from ..streaming import stateful
 from . import bindings as B
@@ -421,17 +421,28 @@ def excerpt_gate(spark, sf):
 
 
 def peak_budget(spark, sf):
-    return _rounded(peaks.budget_audit(spark, baseline_config())).select("band", "n_bins", "ceiling_per_sec", "budget_k", "reachable", "total_ceiling", "cap_can_bind", "headroom", "suggested_nbhd")
+    """The budget of each band, with the most peaks that a second of it has before and after the cap."""
+    cfg = B.SMALL
+    each = peaks.with_cell(peaks.pick_fixed(B.cells(spark, sf), cfg), cfg).groupBy("clip", "sec", "band").agg(F.count("*").alias("n"))
+    found = each.groupBy("band").agg(F.max("n").alias("most_found"), F.max(F.least("n", F.lit(peaks.band_budget(cfg)))).alias("most_kept"))
+    audit = _rounded(peaks.budget_audit(spark, cfg)).select("band", "n_bins", "ceiling_per_sec", "budget_k", "reachable", "total_ceiling", "cap_can_bind", "headroom", "suggested_nbhd")
+    return audit.join(found, "band", "left").na.fill(0, ["most_found", "most_kept"])
 
 
 def query_config(spark, sf):
+    """What each system resolves for the lengths of the results, and how many of these have the length."""
     rows = [(s, x, *resolve_query(system_config(s), x)[:2]) for s in SYSTEMS for x in (3.0, 5.0, 10.0)]
-    return spark.createDataFrame(rows, "system string, seconds double, fanout int, dt_max int")
+    lengths = B.results(spark, sf).groupBy(F.col("length_sec").alias("seconds")).agg(F.count("*").alias("n_queries"))
+    return spark.createDataFrame(rows, "system string, seconds double, fanout int, dt_max int").join(lengths, "seconds")
 
 
 def system_registry(spark, sf):
+    """The registered systems, and how many results the thresholds of each accept."""
     rows = [(s, c.name, c.peaks.mode, c.peaks.nbhd_f, c.hash.fanout, c.hash.dt_max, c.denoise.enable, c.short_query.enable, c.match.tau, c.match.rho) for s in SYSTEMS for c in [system_config(s)]]
-    return spark.createDataFrame(rows, "system string, name string, mode string, nbhd int, fanout int, dt_max int, denoise boolean, short_query boolean, tau double, rho double")
+    known = spark.createDataFrame(rows, "system string, name string, mode string, nbhd int, fanout int, dt_max int, denoise boolean, short_query boolean, tau double, rho double")
+    scores = B.results(spark, sf).select("norm_score", "margin")
+    passed = F.count(F.when(matching.decide(F.col("norm_score"), F.col("margin"), F.col("tau"), F.col("rho")), 1)).alias("n_accepted")
+    return scores.join(F.broadcast(known), F.lit(True)).groupBy(*known.columns).agg(passed)  # one row for each system
 
 
 def enrol_actions(spark, sf):
@@ -445,12 +456,14 @@ def enrol_actions(spark, sf):
 
 
 def wav_selfmatch(spark, sf):
-    """Synthetic WAV tracks end to end: every 10 s excerpt finds its own track."""
+    """Users' tunes end to end: written as WAV files, read again, enrolled, and found by the middle half of each."""
+    files.register(spark)
+    at = tables.work_dir(spark, "tunes")
+    B.tunes(spark, sf).select(F.format_string("%d.wav", "clip").alias("name"), "samples", "fs").write.format("audio").mode("append").save(at)
     cfg = baseline_config()
-    clips = _tracks(spark)
-    cut = clips.select("clip", F.slice("samples", F.col("fs") * 10 + 1, F.col("fs") * 10).alias("samples"), "fs")
-    out = identify_clips(cut, enrol(clips, cfg), cfg)
-    return out.select("query_id", "pred1", "score1", "accepted")
+    clips = spark.read.format("audio").load(at).select(F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("long").alias("clip"), "samples", "fs").repartition("clip")
+    cut = clips.select("clip", F.slice("samples", F.floor(F.size("samples") / 4).cast("int") + 1, F.floor(F.size("samples") / 2).cast("int")).alias("samples"), "fs")
+    return identify_clips(cut, enrol(clips, cfg), cfg).select("query_id", F.col("pred1").cast("long").alias("pred1"), "accepted")
 
 
 def identify_streamed(spark, sf):
@@ -534,17 +547,17 @@ def systematic_sample(spark, sf):
     return studies.systematic_sample(B.read(spark, sf, "supplier").select("s_suppkey"), "s_suppkey", 7)
 
 
-def _tracks(spark):
-    return audio.decoded(audio.toy_corpus(spark)).repartition(5, "clip")
+def _tunes(spark, sf):
+    return tables.once(B.tunes(spark, sf), "tunes").repartition("clip")
 
 
 def neighbourhood_sweep(spark, sf):
-    """Index sizes of the synthetic tracks for three neighbourhoods."""
-    return studies.neighbourhood_sweep(_tracks(spark), baseline_config(), (21, 17, 13))
+    """Index sizes of users' tunes for three neighbourhoods."""
+    return studies.neighbourhood_sweep(_tunes(spark, sf), baseline_config(), (21, 17, 13))
 
 
 def enrol_gate(spark, sf):
-    return studies.enrol_gate(_tracks(spark), baseline_config())
+    return studies.enrol_gate(_tunes(spark, sf), baseline_config())
 
 
 QUERIES = {f.__name__: f for f in (

