@@ -192,9 +192,12 @@ def test_what_a_lost_attempt_wrote_does_not_count(tmp_path):
     with pytest.raises(RuntimeError):
         writer.write(lost())
     message = writer.write(iter([batch]))
-    assert len(all_files(tmp_path)) == 3
+    assert len(all_files(tmp_path)) == 4  # one of the lost attempt, two of the other, and the sign that the write goes on
     writer.commit([message, None])
     assert all_files(tmp_path) == ["0.wav", "1.wav", "_SUCCESS"]
+    with pytest.raises(RuntimeError, match="aborted"):
+        writer.write(iter([batch]))
+    assert len(all_files(tmp_path)) == 3
 
 
 # ---------------------------------------------------------------- index

@@ -97,3 +97,12 @@ def test_windowed_counts_of_a_stream(spark, tmp_path):
 def test_demo_rows_are_the_first_of_their_groups(spark):
     rows = spark.createDataFrame([(k, k % 3) for k in range(1, 20)], "query_id long, g long")
     assert [r["query_id"] for r in evaluation.demo_rows(rows, ["g"]).collect()] == [1, 2, 3]
+
+
+def test_the_synthetic_corpus_is_seeded_and_as_declared(spark):
+    rows = audio.toy_corpus(spark)
+    got = {r["clip"]: (r["fs"], len(r["samples"]), dsp.level_dbfs(np.array(r["samples"]))) for r in audio.decoded(rows).collect()}
+    for k, (fs, _, seconds, dbfs) in enumerate(audio.TOY, 1):
+        assert got[k][:2] == (fs, fs * seconds) and got[k][2] == pytest.approx(dbfs, abs=0.3)
+    again = {r["clip"]: r["content"] for r in audio.toy_corpus(spark).collect()}
+    assert again == {r["clip"]: r["content"] for r in rows.collect()}
