@@ -23,8 +23,8 @@ SHARD_BYTES = 8 << 20
 #: Occurrences of phrases that one part of the key space counts.
 PART_KEYS = 1 << 21
 #: Rows and bytes of words that a join broadcasts at most, after counting both; more are shuffled.
-BROADCAST_ROWS = 250_000
-BROADCAST_BYTES = 16 << 20
+BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 #: Bits of a key by which shards deal their filters; where there are more parts, groups of shards are merged first.
 FIRST_BITS = 10
 _ROUNDS = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
