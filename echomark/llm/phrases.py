@@ -19,7 +19,7 @@ GAP = BREAK.copy()
 GAP[[*b" \t"]] = True
 
 #: Bytes of text in a shard, unless a single text is longer.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 5 << 20
 #: Occurrences of phrases that one part of the key space counts.
 PART_KEYS = 1 << 21
 #: Rows and bytes of words that a join broadcasts at most, after counting both; more are shuffled.
