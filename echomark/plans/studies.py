@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import replace
 
 import numpy as np
@@ -15,7 +15,7 @@ from ..operators import evaluation, landmarks, matching, peaks, signals
 from ..sources.files import register
 from ..sources.tables import once, write_csv
 from .config import Config
-from .enrolment import enrol, hashes_of_peaks, identify_clips
+from .enrolment import hashes_of_peaks, identify_clips, identify_excerpts, postings_of
 
 #: Places in a track, as parts of its length, at which a holdout song is probed; neighbourhoods of the sweep (fixed values).
 PROBES = (0.20, 0.40, 0.60, 0.80)
@@ -122,17 +122,22 @@ def neighbourhood_sweep(clips: DataFrame, cfg: Config, sizes=NEIGHBOURHOODS) ->
         s = landmarks.index_stats(postings)
         d = peaks.density(p, own).agg(F.sum("n_peaks").alias("n_peaks"), F.avg("density_per_sec").alias("density_mean"), F.percentile("density_per_sec", 0.5).alias("density_median"))
         cap = peaks.budget_audit(clips.sparkSession, own).agg(F.max("cap_can_bind").alias("cap_can_bind"))
-        row = d.join(s, F.lit(True)).join(cap, F.lit(True)).join(enrol_gate(clips, own, postings=postings), F.lit(True))
+        row = d.join(s, F.lit(True)).join(cap, F.lit(True)).join(enrol_gate(clips, own), F.lit(True))
         row = row.select(F.lit(n).alias("nbhd"), "n_peaks", "density_mean", "density_median", "cap_can_bind", "n_postings", "n_keys", "bytes", "top1")
         out = row if out is None else out.unionByName(row)
     return out
 
 
+def _at_place(at, seconds: float) -> tuple:
+    """(start, n) of an excerpt at a place of a clip (samples, fs), as a part of its length."""
+    n = F.least((F.col("fs") * seconds).cast("int"), F.size("samples"))
+    return F.greatest(F.lit(1), F.least(F.round(at * F.size("samples")).cast("int"), F.size("samples") - n + 1)), n
+
+
 def probes(clips: DataFrame, seconds: float = 10.0, places=PROBES) -> DataFrame:
     """(song_id, probe, clip, samples, fs): excerpts of each clip at fixed places."""
     rows = clips.select(F.col("clip").alias("song_id"), "fs", "samples", F.posexplode(F.array(*map(F.lit, places))).alias("probe", "at"))
-    n = F.least((F.col("fs") * seconds).cast("int"), F.size("samples"))
-    start = F.greatest(F.lit(1), F.least(F.round(F.col("at") * F.size("samples")).cast("int"), F.size("samples") - n + 1))
+    start, n = _at_place(F.col("at"), seconds)
     return rows.select("song_id", "probe", (F.col("song_id") * len(places) + F.col("probe")).alias("clip"), F.slice("samples", start, n).alias("samples"), "fs")
 
 
@@ -143,11 +148,22 @@ def holdout_duplicates(clips: DataFrame, postings: DataFrame, cfg: Config) -> Da
     return evaluation.holdout_check(p.select("song_id", "probe", "clip").join(found, "clip"))
 
 
-def enrol_gate(clips: DataFrame, cfg: Config, least: float = 0.95, postings: DataFrame | None = None) -> DataFrame:
-    """One row: clean accuracy of a 10 s probe from a third of each track, and whether it passes; postings of the clips, if they are there already."""
-    cut = probes(clips, places=(1 / 3,))
-    found = identify_clips(cut.select("clip", "samples", "fs"), enrol(clips, cfg) if postings is None else postings, cfg)
-    return found.agg(F.avg((F.col("pred1") == F.col("query_id")).cast("double")).alias("top1")).withColumn("passed", F.col("top1") >= least)
+def gate_peaks(clips: DataFrame, cfgs: Sequence[Config]) -> DataFrame:
+    """fingerprint_with_excerpts() of a 10 s probe from a third of each clip, written once."""
+    start, n = _at_place(F.lit(1 / 3), 10.0)
+    return once(signals.fingerprint_with_excerpts(clips.withColumns({"start": start, "n": n}), cfgs), "peaks")
+
+
+def _top1(found: DataFrame, postings: DataFrame, cfg: Config) -> DataFrame:
+    """One row: the part of excerpts (clip, seconds, peaks) that find their own clip among postings."""
+    out = identify_excerpts(found, postings, cfg)
+    return out.agg(F.avg((F.col("pred1") == F.col("query_id")).cast("double")).alias("top1"))
+
+
+def enrol_gate(clips: DataFrame, cfg: Config, least: float = 0.95) -> DataFrame:
+    """One row: clean accuracy of a 10 s probe from a third of each track, and whether it passes. Peaks, hashes and blocks of them are written, no waveform is."""
+    rows = gate_peaks(clips, [cfg])
+    return _top1(rows.where("excerpt"), postings_of(rows, cfg), cfg).withColumn("passed", F.col("top1") >= least)
 
 
 def layouts_agree(query_hashes: DataFrame, postings: DataFrame) -> DataFrame:
