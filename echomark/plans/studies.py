@@ -113,16 +113,17 @@ def spot_check(manifest: DataFrame, songs: DataFrame, noise: DataFrame, fs: int,
 
 
 def neighbourhood_sweep(clips: DataFrame, cfg: Config, sizes=NEIGHBOURHOODS) -> DataFrame:
-    """(nbhd, n_peaks, density_mean, density_median, cap_can_bind, n_postings, n_keys, bytes, top1) of an index for each neighbourhood; top1 is the accuracy of clean probes."""
-    out = None
-    for n in sizes:
-        own = replace(cfg, peaks=replace(cfg.peaks, nbhd_f=n, nbhd_t=n))
-        p = once(signals.fingerprint(clips, own, denoise=False), "peaks")
+    """(nbhd, n_peaks, density_mean, density_median, cap_can_bind, n_postings, n_keys, bytes, top1) of an index for each neighbourhood; top1 is the accuracy of clean probes. Clips are read once for all sizes."""
+    cfgs = [replace(cfg, peaks=replace(cfg.peaks, nbhd_f=n, nbhd_t=n)) for n in sizes]
+    rows, out = gate_peaks(clips, cfgs), None
+    for k, (n, own) in enumerate(zip(sizes, cfgs, strict=True)):
+        found = rows.where(F.col("own") == k)
+        p = found.where("not excerpt").select("clip", F.inline("peaks"))
         postings = once(landmarks.build_index(landmarks.hashes(p, own)), "postings")
         s = landmarks.index_stats(postings)
         d = peaks.density(p, own).agg(F.sum("n_peaks").alias("n_peaks"), F.avg("density_per_sec").alias("density_mean"), F.percentile("density_per_sec", 0.5).alias("density_median"))
         cap = peaks.budget_audit(clips.sparkSession, own).agg(F.max("cap_can_bind").alias("cap_can_bind"))
-        row = d.join(s, F.lit(True)).join(cap, F.lit(True)).join(enrol_gate(clips, own), F.lit(True))
+        row = d.join(s, F.lit(True)).join(cap, F.lit(True)).join(_top1(found.where("excerpt"), postings, own), F.lit(True))
         row = row.select(F.lit(n).alias("nbhd"), "n_peaks", "density_mean", "density_median", "cap_can_bind", "n_postings", "n_keys", "bytes", "top1")
         out = row if out is None else out.unionByName(row)
     return out
